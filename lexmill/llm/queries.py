@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import mixing, representative, splitter
+from lexmill.llm import contamination, mixing, representative, splitter
 from lexmill.session import table
 
 
@@ -31,6 +31,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where(F.col("piece_no") == 2).select("table_name", "row_key").distinct()
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked part of a test item with its place in the document."""
+    return contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the test items they leak."""
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that leak, without the leaked spans."""
+    return contamination.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix of documents."""
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -46,6 +61,9 @@ QUERIES = {
     "p3_survivors": p3_survivors,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p8_cleaned": p8_cleaned,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
 }

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, mixing, representative, splitter
+from lexmill.llm import contamination, markup, mixing, representative, splitter
 from lexmill.session import table
 
 
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every value with leftover notation."""
+    return markup.clean_fields(table(spark, d, "decisions"), "record_id", ["ementa", "tese"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values with leftover notation."""
+    return p1_clean(spark, d).select("record_id", "field_name").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The rows that supply the fields of decisions collected more than once."""
     return representative.field_sources(table(spark, d, "decisions"), table(spark, d, "source_catalogue"))
@@ -57,6 +67,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
     "p6_found": p6_found,

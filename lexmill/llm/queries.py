@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, markup, mixing, representative, splitter
+from lexmill.llm import contamination, encoding, markup, mixing, representative, splitter
 from lexmill.session import table
 
 
@@ -19,6 +19,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_clean(spark, d).select("record_id", "field_name").distinct()
 
 
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Restored text of every value with a wrongly decoded stretch."""
+    return encoding.restore_fields(table(spark, d, "decisions"), "record_id", ["ementa", "inteiro_teor"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values with a wrongly decoded stretch."""
+    return p2_restored(spark, d).select("record_id", "field_name").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The rows that supply the fields of decisions collected more than once."""
     return representative.field_sources(table(spark, d, "decisions"), table(spark, d, "source_catalogue"))
@@ -69,6 +79,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
     "p6_found": p6_found,

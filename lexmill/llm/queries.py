@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, encoding, markup, mixing, representative, splitter
+from lexmill.llm import contamination, encoding, markup, mixing, representative, scans, splitter
 from lexmill.session import table
 
 
@@ -39,6 +39,18 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return representative.survivors(table(spark, d, "decisions"), table(spark, d, "source_catalogue"))
 
 
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Repaired text of everything with faults of scanning, and its faults by kind."""
+    nodes = table(spark, d, "legal_nodes").select(F.lit("legal_nodes").alias("table_name"), F.col("node_id").alias("row_key"), F.col("source_text").alias("text"))
+    decisions = table(spark, d, "decisions").select(F.lit("decisions").alias("table_name"), F.col("record_id").cast("string").alias("row_key"), F.col("inteiro_teor").alias("text"))
+    return scans.repair_scans(nodes.unionByName(decisions))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with faults of scanning."""
+    return p4_repaired(spark, d).select("table_name", "row_key").distinct()
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Texts above their limit as ordered pieces."""
     nodes = table(spark, d, "legal_nodes").select(F.lit("legal_nodes").alias("table_name"), F.col("node_id").alias("row_key"), "kind", F.col("source_text").alias("text"))
@@ -83,6 +95,8 @@ QUERIES = {
     "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p8_found": p8_found,

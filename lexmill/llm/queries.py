@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, encoding, markup, mixing, representative, scans, splitter
+from lexmill.llm import contamination, encoding, furniture, markup, mixing, representative, scans, splitter
 from lexmill.session import table
 
 
@@ -51,6 +51,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_repaired(spark, d).select("table_name", "row_key").distinct()
 
 
+def p5_main(spark: SparkSession, d: str) -> DataFrame:
+    """The main text of every value mixed with page furniture."""
+    return furniture.main_text(table(spark, d, "decisions"), "record_id", ["inteiro_teor", "ementa"], "url_oficial")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values that hold page furniture."""
+    return furniture.template_elements(table(spark, d, "decisions"), "record_id", ["inteiro_teor", "ementa"], "url_oficial").select("record_id", "field_name").distinct()
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Texts above their limit as ordered pieces."""
     nodes = table(spark, d, "legal_nodes").select(F.lit("legal_nodes").alias("table_name"), F.col("node_id").alias("row_key"), "kind", F.col("source_text").alias("text"))
@@ -97,6 +107,8 @@ QUERIES = {
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
+    "p5_found": p5_found,
+    "p5_main": p5_main,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p8_found": p8_found,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import contamination, encoding, furniture, markup, mixing, representative, scans, splitter
+from lexmill.llm import contamination, encoding, furniture, markup, mixing, quality, representative, scans, splitter
 from lexmill.session import table
 
 
@@ -98,6 +98,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of every document and its shares of prose, list, table and junk."""
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents more than half of whose characters are no running sentences."""
+    got = p10_quality(spark, d)
+    return got.where(F.col("list_share") + F.col("table_share") + F.col("junk_share") > 0.5).select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
@@ -116,6 +127,8 @@ QUERIES = {
     "p8_cleaned": p8_cleaned,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_quality": p10_quality,
 }
 ORACLES = {
     "p6_found": """

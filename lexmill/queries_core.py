@@ -1,26 +1,1093 @@
-"""Queries of the core: name -> (query, oracle SQL or None)."""
+"""Queries of the core over a data folder, and the same in SQL where SQL can say it on whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import timestamps
+from lexmill.functions import dates as D
+from lexmill.functions import scores as S
+from lexmill.functions import text as X
+from lexmill.functions import vectors as V
+from lexmill.operators import acceptance, evaluation, gate, index, legal, metadata, pages, records, retrieval, timestamps
+from lexmill.plans import filters
 from lexmill.session import table
+from lexmill.sources import html
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def fold_sql(c: str) -> str:
+    """Folding as in the expressions."""
+    return f"lower(translate({c}, '{X.MARKED}', '{X.PLAIN}'))"
+
+
+def tokens_sql(c: str) -> str:
+    """Tokens as in the expressions."""
+    return f"regexp_extract_all({fold_sql(c)}, '{X.TOKEN}')"
+
 
 DATE_FIELDS = ["data", "data_publicacao", "data_autuacao"]
 
 
-def p7_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    """Every date field of every decision as one unambiguous day or instant."""
-    return timestamps.normalise_timestamps(table(spark, d, "decisions"), "record_id", DATE_FIELDS)
+# --- timestamps -------------------------------------------------------------------------------------------------------
 
 
+@query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that write a day and a time whose day in UTC is another."""
     got = p7_timestamps(spark, d)
     return got.where((F.col("kind") == "instant") & (F.col("day") != F.col("day_utc"))).select("record_id", "field_name").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p7_timestamps": p7_timestamps}
-ORACLES: dict[str, str] = {}
+@query()
+def p7_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """Every date field of every decision as one unambiguous day or instant."""
+    return timestamps.normalise_timestamps(table(spark, d, "decisions"), "record_id", DATE_FIELDS)
+
+
+# --- search -----------------------------------------------------------------------------------------------------------
+# Query sets: rows whose id is divisible by 20, against all rows.
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "query")
+
+
+def _bm25(spark: SparkSession, d: str, where: object = True, k: int = 40) -> DataFrame:
+    docs = table(spark, d, "documents").where(F.lit(where) if isinstance(where, bool) else where)
+    got = retrieval.bm25(docs, _questions(spark, d)).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(got, k)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("int").alias("label"))
+
+
+def _vector_questions(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _dense(spark: SparkSession, d: str, k: int, exclude_self: bool = False) -> DataFrame:
+    return retrieval.dense_top_k(_vectors(spark, d), _vector_questions(spark, d), k, extra=["label"], exclude_self=exclude_self)
+
+
+def bm25_sql(where: str = "true", k: int = 40) -> str:
+    """CTEs up to ``sparse``: query_id, doc_id, score, rank."""
+    return f"""
+    q AS (SELECT item_id AS query_id, unnest(list_distinct({tokens_sql('query')})) AS term FROM eval_items WHERE item_id % 20 = 0),
+    docs AS (SELECT doc_id, {tokens_sql("coalesce(text, '')")} AS t FROM documents WHERE {where}),
+    sized AS (SELECT doc_id, t, len(t)::DOUBLE AS dl FROM docs),
+    whole AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM sized),
+    words AS (SELECT doc_id, dl, unnest(t) AS term FROM sized),
+    tf AS (SELECT doc_id, dl, term, count(*)::DOUBLE AS tf FROM words WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+    scored AS (SELECT q.query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+               FROM tf JOIN df USING (term) JOIN q USING (term), whole GROUP BY ALL),
+    sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k})"""
+
+
+def dense_sql(k: int, exclude_self: bool = False) -> str:
+    """CTEs up to ``dense``: query_id, vec_id, label, score, rank."""
+    return f"""
+    v AS (SELECT vec_id, label::INT AS label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    sims AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(a.e, b.e), 6) AS score
+             FROM v a JOIN v b ON a.vec_id % 20 = 0 {"AND a.vec_id <> b.vec_id" if exclude_self else ""}),
+    dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims QUALIFY rank <= {k})"""
+
+
+@query(f"WITH {bm25_sql()} SELECT query_id, doc_id, score, rank::INT AS rank FROM sparse")
+def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse search: 40 best documents of each question."""
+    return _bm25(spark, d)
+
+
+@query(f"WITH {dense_sql(20)} SELECT query_id, vec_id, score, label, rank::INT AS rank FROM dense")
+def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Dense search: 20 nearest vectors of each query vector."""
+    return _dense(spark, d, 20)
+
+
+def _dense_docs(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
+    """The dense arm of the questions: a question's vector is the one of its id, a document's too."""
+    asked = _questions(spark, d).join(_vectors(spark, d).withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "embedding")
+    return retrieval.dense_top_k(_vectors(spark, d), asked, k).withColumnRenamed("vec_id", "doc_id").select("query_id", "doc_id", "score", "rank")
+
+
+_ARM_SQL = """
+    v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    sims AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.e, b.e), 6) AS score
+             FROM v a JOIN v b ON a.vec_id IN (SELECT item_id FROM eval_items WHERE item_id % 20 = 0)),
+    dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims QUALIFY rank <= 40)"""
+_FUSED_SQL = """
+    fused AS (SELECT query_id, doc_id, sum(1.0 / (2 + rank - 1)) AS s FROM (SELECT query_id, doc_id, rank FROM sparse UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY ALL),
+    hybrid AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM fused QUALIFY rank <= 40)"""
+
+
+def _hybrid(spark: SparkSession, d: str, where: object = True) -> DataFrame:
+    dense = _dense_docs(spark, d)
+    if not isinstance(where, bool):
+        allowed = table(spark, d, "documents").where(where).select("doc_id")
+        asked = _questions(spark, d).join(_vectors(spark, d).withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "embedding")
+        rows = _vectors(spark, d).join(allowed, F.col("vec_id") == F.col("doc_id"), "left_semi")
+        dense = retrieval.dense_top_k(rows, asked, 40).withColumnRenamed("vec_id", "doc_id").select("query_id", "doc_id", "score", "rank")
+    arms = [_bm25(spark, d, where).select("query_id", "doc_id", "rank"), dense]
+    every = arms[0].unionByName(arms[1].select("query_id", "doc_id", "rank"))
+    sums = every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (2 + F.col("rank") - 1)), 6).alias("score"))
+    return retrieval.top_k(sums, 40)
+
+
+@query(f"WITH {bm25_sql()}, {_ARM_SQL}, {_FUSED_SQL} SELECT query_id, doc_id, score, rank::INT AS rank FROM hybrid")
+def q_rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion of the sparse and the dense arm."""
+    return _hybrid(spark, d)
+
+
+@query(
+    f"WITH {bm25_sql(chr(108) + 'ang = ' + repr('pt'))}, "
+    + _ARM_SQL.replace("ON a.vec_id IN", "ON b.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'pt') AND a.vec_id IN")
+    + f", {_FUSED_SQL} SELECT query_id, doc_id, score, rank::INT AS rank FROM hybrid"
+)
+def q_hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same with one filter put below both arms."""
+    return _hybrid(spark, d, F.col("lang") == "pt")
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_catalogue").select(F.col("id").alias("source"), "authority_level", F.col("source_role").alias("role"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as points: units are a process or the document, confidence stands for the text's quality."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("numero_processo", F.col("doc_id").cast("string")).alias("unit_id"), pages.confidence(F.col("text")).alias("extraction_confidence"))
+    return docs.join(_catalogue(spark, d), "source", "left").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "unit_id", "extraction_confidence", "authority_level", metadata.normative_rank(F.col("role"), F.lit("lei")).alias("normative_rank"), F.lit("federal").alias("jurisdicao"))
+
+
+@query()
+def q_hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion, then weighting by evidence, authority and quality, a cap of two for a unit, the best six of each question."""
+    fused = _hybrid(spark, d).select("query_id", "doc_id", F.col("score").alias("fused"))
+    scored = retrieval.weighted(fused.join(_points(spark, d), "doc_id").withColumn("logit", 4 * F.col("fused") - 1), F.lit("federal"))
+    got = retrieval.rerank(scored, 6)
+    return got.select("query_id", "doc_id", "source", "unit_id", F.round("evidence", 6).alias("evidence"), F.round("retrieval", 6).alias("retrieval"), "rank")
+
+
+@query("SELECT vec_id AS query_id, vec_id, label FROM embeddings WHERE false")
+def q_empty_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search with no query gives nothing: base context never replaces missing evidence."""
+    none = _vector_questions(spark, d).where(F.lit(False))
+    return retrieval.dense_top_k(_vectors(spark, d), none, 5, extra=["label"]).select("query_id", "vec_id", "label")
+
+
+@query(f"WITH {dense_sql(10**9)} SELECT query_id, label, arg_max(vec_id, (score, -vec_id)) AS vec_id, max(score) AS score FROM sims GROUP BY query_id, label")
+def q_base_context_top1(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vector of each label for each query: one aggregation over blocks of queries."""
+    v = _vectors(spark, d)
+    asked = _vector_questions(spark, d)
+    labels = [r[0] for r in v.select("label").distinct().collect()]  # the base sources, a few
+    out = None
+    for x in sorted(labels):
+        got = retrieval.dense_top_k(v.where(F.col("label") == x), asked, 1, extra=["label"])
+        out = got if out is None else out.unionByName(got)
+    return out.select("query_id", "label", "vec_id", "score")
+
+
+@query(
+    """
+    SELECT doc_id, round(e, 6) AS evidence, round(a, 6) AS authority, round(greatest(0, least(1, 0.68 * e + 0.20 * a + 0.12 * j)), 6) AS retrieval
+    FROM (SELECT doc_id, 1 / (1 + exp(-greatest(-30, least(30, n_chars / 1000.0 - 2)))) AS e,
+                 CASE authority_level WHEN 1 THEN 0.92 WHEN 2 THEN 0.62 WHEN 3 THEN 0.40 WHEN 4 THEN 0.20 ELSE 0.10 END AS a,
+                 CASE WHEN lang IS NULL THEN 0.5 WHEN lang = 'pt' THEN 1.0 ELSE 0.0 END AS j
+          FROM documents d LEFT JOIN source_catalogue c ON d.source = c.id)
+    """
+)
+def q_weighted_score(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence, authority, jurisdiction and their weighted sum for every document."""
+    docs = table(spark, d, "documents").join(_catalogue(spark, d), "source", "left")
+    own = F.when(F.col("lang") == "pt", "federal").when(F.col("lang").isNotNull(), "estadual_sp")
+    e, a = S.evidence_score(F.col("n_chars") / 1000.0 - 2), S.authority_score(F.col("authority_level"), F.lit(2))
+    r = S.retrieval_score(e, F.lit(1.0), a, S.jurisdiction_score(F.lit("federal"), own))
+    return docs.select("doc_id", F.round(e, 6).alias("evidence"), F.round(a, 6).alias("authority"), F.round(r, 6).alias("retrieval"))
+
+
+@query(
+    """
+    WITH p AS (SELECT o_orderkey, o_custkey, o_orderpriority, round(o_totalprice, 2) AS s FROM orders),
+    c AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY s DESC, o_orderkey) AS u FROM p QUALIFY u <= 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY s DESC, o_orderkey) AS rank FROM c QUALIFY rank <= 50)
+    SELECT o_orderpriority, o_orderkey, o_custkey, s AS total, rank::INT AS rank FROM r WHERE s >= 1000
+    """
+)
+def q_rerank_cap(spark: SparkSession, d: str) -> DataFrame:
+    """At most two of a unit, then the best fifty of a query, then a threshold: orders of customers by priority."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.round("o_totalprice", 2).alias("total"))
+    order = [F.col("total").desc(), F.col("o_orderkey")]
+    capped = records.group_cap(rows, ["o_orderpriority", "o_custkey"], order, 2).drop("place")
+    ranked = records.group_cap(capped, ["o_orderpriority"], order, 50).withColumnRenamed("place", "rank")
+    return ranked.where(F.col("total") >= 1000).select("o_orderpriority", "o_orderkey", "o_custkey", "total", "rank")
+
+
+@query(
+    """
+    WITH h AS (SELECT l_orderkey AS u, l_linenumber AS c, round(l_discount, 4) AS e FROM lineitem WHERE l_quantity >= 45),
+    f AS (SELECT l.l_orderkey, l.l_linenumber, h.e, abs(l.l_linenumber - h.c) AS d FROM lineitem l JOIN h ON l.l_orderkey = h.u WHERE abs(l.l_linenumber - h.c) <= 1 OR l.l_linenumber = 1)
+    SELECT l_orderkey, l_linenumber::INT AS l_linenumber, max(e) AS priority, min(d)::INT AS distance, min(d) = 0 AS is_hit FROM f GROUP BY ALL
+    """
+)
+def q_expand_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks within one of a hit and the first chunk of its unit: lines of orders, hits are large quantities."""
+    lines = table(spark, d, "lineitem")
+    chunks = lines.select(F.lit("o").alias("source"), F.col("l_orderkey").cast("string").alias("unit_id"), F.lit("artigo").alias("unit_kind"), F.col("l_linenumber").cast("int").alias("chunk_index"))
+    hits = lines.where(F.col("l_quantity") >= 45).select(F.lit("o").alias("source"), F.col("l_orderkey").cast("string").alias("unit_id"), F.col("l_linenumber").cast("int").alias("chunk_index"), F.round("l_discount", 4).alias("evidence"))
+    got = retrieval.expand(hits, chunks, first=1)
+    return got.select(F.col("unit_id").cast("bigint").alias("l_orderkey"), F.col("chunk_index").alias("l_linenumber"), "priority", F.col("distance").cast("int").alias("distance"), "is_hit")
+
+
+@query(
+    """
+    SELECT doc_id, source, 0 AS stage FROM documents WHERE lang = 'es'
+    UNION ALL
+    SELECT d.doc_id, d.source, 1 FROM documents d JOIN source_catalogue c ON d.source = c.id WHERE c.source_role = 'doutrina' AND d.doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')
+    """
+)
+def q_base_append(spark: SparkSession, d: str) -> DataFrame:
+    """Base documents that aren't among the primary ones, after them."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    base = docs.join(_catalogue(spark, d).where(F.col("role") == "doutrina"), "source", "left_semi")
+    return retrieval.append_base(docs.where(F.col("lang") == "es").select("doc_id", "source"), base.select("doc_id", "source"), ["doc_id"])
+
+
+@query()
+def q_context_budget(spark: SparkSession, d: str) -> DataFrame:
+    """What fits into 16 000 characters for each question: the best forty documents in order, every fourth only as context."""
+    best = _bm25(spark, d).join(table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size")), "doc_id")
+    items = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("key"), "size", (F.col("rank") % 4 != 0).alias("primary")))).alias("items"))
+    kept = retrieval.within_budget(F.col("items"), 16_000)
+    return items.select("query_id", kept["used"].alias("used"), kept["stop"].alias("stopped"), F.size(kept["kept"]).alias("n_kept"), F.array_join(F.transform(kept["kept"], lambda x: x.cast("string")), ",").alias("kept"))
+
+
+@query("SELECT l_returnflag || l_linestatus AS value, count(*) AS n FROM lineitem GROUP BY 1")
+def q_facet_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts of a field's values."""
+    return index.facet(table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("flag")), "flag")
+
+
+@query("SELECT value, count(*) AS n FROM (SELECT record_id, unnest(list_distinct(assunto)) AS value FROM decisions) WHERE value IS NOT NULL GROUP BY 1")
+def q_facet_array(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts of an array field's entries, each once a row."""
+    return index.facet(table(spark, d, "decisions"), "assunto")
+
+
+@query("SELECT count(*) AS points, count(DISTINCT source) AS sources, count(*) FILTER (lang IS NULL) AS without_lang FROM documents")
+def q_point_count(spark: SparkSession, d: str) -> DataFrame:
+    """Exact counts of a collection."""
+    return table(spark, d, "documents").agg(F.count("*").alias("points"), F.count_distinct("source").alias("sources"), F.count_if(F.col("lang").isNull()).alias("without_lang"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 256")
+def q_scroll_page(spark: SparkSession, d: str) -> DataFrame:
+    """The next page of 256 points after a key."""
+    return index.page(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 100, 256)
+
+
+@query("SELECT coalesce(source_role, '-') AS role, coalesce(lang, '-') AS lang, grouping(source_role, lang)::INT AS level, count(*) AS n FROM documents GROUP BY CUBE (source_role, lang)")
+def q_facet_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by role and language with all their totals."""
+    return table(spark, d, "documents").cube("source_role", "lang").agg(F.grouping_id("source_role", "lang").cast("int").alias("level"), F.count("*").alias("n")).select(F.coalesce("source_role", F.lit("-")).alias("role"), F.coalesce("lang", F.lit("-")).alias("lang"), "level", "n")
+
+
+# --- filters ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT record_id, tribunal FROM decisions WHERE situacao = 'vigente' AND tipo_documento = 'acordao'")
+def q_filter_match(spark: SparkSession, d: str) -> DataFrame:
+    """Equality; a row without a value doesn't match."""
+    f = filters.Filter
+    return table(spark, d, "decisions").where(f(["vigente"]).column(F.col("situacao")) & f(["acordao"]).column(F.col("tipo_documento"))).select("record_id", "tribunal")
+
+
+@query("SELECT record_id FROM decisions WHERE tribunal IN ('TCU', 'STJ') AND list_has_any(assunto, ['Licitação', 'Reajuste'])")
+def q_filter_any(spark: SparkSession, d: str) -> DataFrame:
+    """Any of some values, of a field and of an array's entries."""
+    f = filters.Filter
+    return table(spark, d, "decisions").where(f(["TCU", "STJ"]).column(F.col("tribunal")) & f(["Licitação", "Reajuste"]).column(F.col("assunto"), True)).select("record_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_shipdate >= DATE '1995-01-01'")
+def q_filter_range(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds, pushed down to the scan."""
+    f = filters.Filter(bounds={">=": 10, "<": 20})
+    return table(spark, d, "lineitem").where(f.column(F.col("l_quantity")) & (F.col("l_shipdate") >= F.to_date(F.lit("1995-01-01")))).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT record_id, situacao FROM decisions WHERE NOT coalesce(situacao IN ('superada', 'N/D'), false)")
+def q_filter_must_not(spark: SparkSession, d: str) -> DataFrame:
+    """Exclusion that keeps rows without a value."""
+    return table(spark, d, "decisions").where(filters.none_of(F.col("situacao"), ["superada", "N/D"])).select("record_id", "situacao")
+
+
+@query("SELECT doc_id FROM documents WHERE coalesce(lang = 'en', false) OR coalesce(source = 'atas-sessao', false) OR coalesce(n_chars > 5000, false)")
+def q_filter_should(spark: SparkSession, d: str) -> DataFrame:
+    """At least one of several conditions."""
+    return table(spark, d, "documents").where(filters.any_of(F.col("lang") == "en", F.col("source") == "atas-sessao", F.col("n_chars") > 5000)).select("doc_id")
+
+
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as validity intervals: from the order's day to 90 days on; open where the status is O."""
+    o = table(spark, d, "orders")
+    start = F.date_format("o_orderdate", "yyyy-MM-dd")
+    end = F.when(F.col("o_orderstatus") == "F", F.date_format(F.date_add(F.to_date("o_orderdate"), 90), "yyyy-MM-dd"))
+    status = F.when(F.col("o_orderstatus") == "O", "open_end")
+    return o.select("o_orderkey", D.validity(start, end, status).alias("v")).select("o_orderkey", F.col("v.from_day").alias("effective_from_day"), F.col("v.to_day").alias("effective_to_day"), F.col("v.status").alias("status"), F.col("v.error").alias("error"))
+
+
+_INTERVALS_SQL = """
+    iv AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d')::INT AS effective_from_day,
+             CASE WHEN o_orderstatus = 'O' THEN 99991231 WHEN o_orderstatus = 'F' THEN strftime(o_orderdate::DATE + 90, '%Y%m%d')::INT END AS effective_to_day,
+             CASE WHEN o_orderstatus = 'O' THEN 'open_end' WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'unknown' END AS status FROM orders)"""
+
+
+@query(f"WITH {_INTERVALS_SQL} SELECT *, NULL::VARCHAR AS error FROM iv")
+def q_effective_range(spark: SparkSession, d: str) -> DataFrame:
+    """Validity as day numbers, with sentinels only for ends declared open."""
+    return _intervals(spark, d)
+
+
+@query(f"WITH {_INTERVALS_SQL} SELECT o_orderkey FROM iv WHERE effective_from_day <= 19960615 AND effective_to_day >= 19960615")
+def q_validity_point(spark: SparkSession, d: str) -> DataFrame:
+    """In force on a day; unknown intervals never are."""
+    return _intervals(spark, d).where(filters.valid_on(date(1996, 6, 15))).select("o_orderkey")
+
+
+@query(f"WITH {_INTERVALS_SQL} SELECT o_orderkey FROM iv WHERE effective_from_day <= 19971231 AND effective_to_day >= 19970101")
+def q_validity_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """In force on some day of a year."""
+    return _intervals(spark, d).where(filters.valid_in(date(1997, 1, 1), date(1997, 12, 31))).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d')::INT AS day FROM orders")
+def q_date_key(spark: SparkSession, d: str) -> DataFrame:
+    """Days as numbers."""
+    return table(spark, d, "orders").select("o_orderkey", D.date_key(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
+
+
+@query()
+def q_temporal_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Days and spans that questions name: the fixed test questions and some that compare times, read as on the driver for one."""
+    asked = [(r["item_id"], r["query"] or "") for r in table(spark, d, "eval_items").select("item_id", "query").collect()]
+    asked += list(enumerate(["o que valia em março de 2022", "antes de 2021-04-01 e depois de maio de 2023", "em 05/10/2020", "durante 2019 e em 2024", "lei 14.133, de 1º de abril de 2021"], start=-5))
+    rows = [(i, *(str(x) if x else None for x in (w.on, w.start, w.end))) for i, q in asked for w in filters.windows(q)]
+    return spark.createDataFrame(rows, "item_id bigint, on string, start string, end string")
+
+
+@query()
+def q_inline_filters(spark: SparkSession, d: str) -> DataFrame:
+    """A question with inline filters made into one pushed predicate over the decisions."""
+    plan = filters.plan("@tribunal=TCU,TCESP @tipo_documento=acordao o que diz a lei sobre reajuste")
+    df = table(spark, d, "decisions")
+    return df.where(plan.predicate(df)).select("record_id", "tribunal", "tipo_documento")
+
+
+@query(f"SELECT item_id, {fold_sql('query')} LIKE '%antes de%' OR {fold_sql('query')} LIKE '%depois de%' AS historical, {fold_sql('query')} LIKE '%verdade%' AS asks_truth FROM eval_items")
+def q_query_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of comparison and of the past in questions, accents aside."""
+    return table(spark, d, "eval_items").select("item_id", X.holds_any(F.col("query"), ["antes de", "depois de"]).alias("historical"), X.holds_any(F.col("query"), ["verdade"]).alias("asks_truth"))
+
+
+def terms_sql(c: str) -> str:
+    """Distinct terms in order of first occurrence."""
+    every = f"regexp_extract_all({fold_sql(c)}, '{X.TERM}')"
+    return f"list_filter({every}, lambda t, i: list_position({every}, t) = i AND t NOT IN ({', '.join(repr(w) for w in X.TERM_STOPWORDS)}) AND NOT regexp_full_match(t, '[0-9]{{1,3}}') AND length(t) > 1)"
+
+
+@query(f"SELECT item_id, array_to_string({terms_sql('query')}, ' ') AS terms, len({terms_sql('query')})::INT AS n FROM eval_items")
+def q_query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the questions."""
+    t = X.query_terms(F.col("query"))
+    return table(spark, d, "eval_items").select("item_id", F.array_join(t, " ").alias("terms"), F.size(t).alias("n"))
+
+
+_ASKED = "reajuste de preços, contrato e vinculação ao edital"
+
+
+def hits_sql(c: str) -> str:
+    words = f"' ' || regexp_replace({fold_sql(c)}, '[^a-z0-9./]+', ' ', 'g')"
+    return f"len(list_filter({terms_sql(repr(_ASKED))}, lambda t: contains({words}, ' ' || t)))::INT"
+
+
+@query(f"SELECT doc_id, {hits_sql('text')} AS hits FROM documents WHERE text IS NOT NULL")
+def q_query_score(spark: SparkSession, d: str) -> DataFrame:
+    """How many terms of a question begin a word of each document."""
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", X.term_hits(X.query_terms(F.lit(_ASKED)), F.col("text")).alias("hits"))
+
+
+@query(f"SELECT record_id FROM (SELECT record_id, {hits_sql('ementa')} AS h, len({terms_sql(repr(_ASKED))}) AS n FROM decisions WHERE ementa IS NOT NULL) WHERE h >= greatest(2, ceil(n / 2.0))")
+def q_query_match(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions that hold at least half of a question's terms."""
+    t = X.query_terms(F.lit(_ASKED))
+    return table(spark, d, "decisions").where(F.col("ementa").isNotNull()).where(X.terms_match(t, X.term_hits(t, F.col("ementa")))).select("record_id")
+
+
+@query(f"SELECT item_id, unnest(list_distinct(list_filter([trim(query), array_to_string(({terms_sql('query')})[1:2], ' ')] || {terms_sql('query')}, lambda x: length(x) > 0))) AS variant FROM eval_items")
+def q_query_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of each question: whole, first two terms, each term."""
+    return table(spark, d, "eval_items").select("item_id", F.explode(X.query_variants(F.col("query"))).alias("variant"))
+
+
+# --- acceptance -------------------------------------------------------------------------------------------------------
+
+_SUBST = "len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x)) >= 40))"
+_SHELL = " + ".join(f"contains({fold_sql(chr(99) + 'oalesce(text, ' + repr('') + ')')}, '{s}')::INT" for s in acceptance.SHELL)
+
+
+@query(
+    f"""
+    SELECT doc_id, CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) < 800 THEN 'short' WHEN {_SUBST} < 6 THEN 'few lines'
+        WHEN ({_SHELL}) >= 2 AND {_SUBST} <= 8 THEN 'shell' END AS reason, {_SUBST}::INT AS lines FROM documents
+    """
+)
+def q_doc_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Why a document is rejected; null where it is accepted."""
+    return table(spark, d, "documents").select("doc_id", acceptance.reject_reason(F.col("text"), F.lit(False)).alias("reason"), acceptance.substantive_lines(F.col("text")).alias("lines"))
+
+
+@query("SELECT doc_id, round(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE length(regexp_replace(text, '\\s', '', 'g')) / length(text) END, 6) AS density FROM documents")
+def q_text_density(spark: SparkSession, d: str) -> DataFrame:
+    """Share of characters that are no white space."""
+    return table(spark, d, "documents").select("doc_id", F.round(acceptance.density(F.col("text")), 6).alias("density"))
+
+
+@query(
+    f"""
+    SELECT doc_id FROM (SELECT doc_id, {fold_sql("coalesce(title, '')")} AS t, {fold_sql("coalesce(text, '')")} AS b FROM documents)
+    WHERE contains(t, 'licitacao') OR contains(t, 'contrato') OR (contains(b, 'licitacao')::INT + contains(b, 'contrato')::INT >= 2 AND NOT contains(b, 'pregao'))
+    """
+)
+def q_topic_match(spark: SparkSession, d: str) -> DataFrame:
+    """Documents about a topic: in the title, or twice in the text without an excluded word."""
+    return table(spark, d, "documents").where(acceptance.topic_match(F.col("title"), F.col("text"), ["licitacao", "contrato"], ["pregao"])).select("doc_id")
+
+
+# --- gate -------------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(repr(w) for w in X.EVIDENCE_STOPWORDS)
+
+
+def evidence_sql(c: str) -> str:
+    return f"list_filter(list_distinct({tokens_sql(c)}), lambda t: t NOT IN ({_STOP}))"
+
+
+def stem_sql(t: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({t}, '{s}') AND length({t}) >= {len(s) + 4} THEN left({t}, length({t}) - {len(s)})" for s in X.STEM_SUFFIXES) + f" ELSE {t} END"
+
+
+@query(f"SELECT item_id, array_to_string(list_sort({evidence_sql('answer')}), ' ') AS tokens FROM eval_items")
+def q_gate_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of answers that carry evidence."""
+    return table(spark, d, "eval_items").select("item_id", F.array_join(F.array_sort(X.evidence_tokens(F.col("answer"))), " ").alias("tokens"))
+
+
+@query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_transform({evidence_sql('answer')}, lambda t: {stem_sql('t')}))), ' ') AS stems FROM eval_items")
+def q_gate_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Stems of the tokens of answers."""
+    return table(spark, d, "eval_items").select("item_id", F.array_join(F.array_sort(X.evidence_stems(F.col("answer"))), " ").alias("stems"))
+
+
+@query(
+    f"""
+    WITH e AS (SELECT item_id, {evidence_sql('answer')} AS a, {evidence_sql('passage')} AS b FROM eval_items),
+    s AS (SELECT item_id, a, b, list_distinct(list_transform(a, lambda t: {stem_sql('t')})) AS sa, list_distinct(list_transform(b, lambda t: {stem_sql('t')})) AS sb FROM e)
+    SELECT item_id, round(len(list_intersect(a, b)) / len(a), 6) AS direct, round(len(list_intersect(sa, sb)) / len(sa), 6) AS stems, len(list_intersect(sa, sb))::INT AS shared FROM s
+    """
+)
+def q_gate_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of an answer's tokens and stems that its passage holds."""
+    o = gate.overlap(F.col("answer"), F.col("passage"))
+    return table(spark, d, "eval_items").select("item_id", F.round(o["direct"], 6).alias("direct"), F.round(o["stems"], 6).alias("stems"), o["shared"].alias("shared"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with citations: of the passage, of a source that isn't there, or none, by the case's type."""
+    items = table(spark, d, "eval_items")
+    mark = F.when(F.col("case_type") == "false_premise", "").when(F.col("case_type") == "uncited", "").when(F.col("case_type") == "out_of_corpus", " [F7]").otherwise(" 【 F1 】")
+    return items.select("item_id", "expected_accept", F.concat(F.coalesce("answer", F.lit("")), mark).alias("answer"), F.array("passage", "query").alias("sources"))
+
+
+@query()
+def q_gate_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of answers in their normal form."""
+    a = _answers(spark, d)
+    n = gate.normal_answer(F.col("answer"))
+    return a.select("item_id", n.alias("answer"), F.array_join(F.transform(gate.citations(n), lambda x: x.cast("string")), ",").alias("cited"))
+
+
+@query()
+def q_gate_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's verdict on every answer."""
+    return _answers(spark, d).select("item_id", gate.verdict(F.col("answer"), F.col("sources")).alias("reason"))
+
+
+@query()
+def q_gate_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of the gate over all answers."""
+    v = _answers(spark, d).select("expected_accept", gate.verdict(F.col("answer"), F.col("sources")).isNull().alias("accepted")).where(F.col("expected_accept").isNotNull())
+    return evaluation.gate_rates(v)
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+
+def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ten nearest of each query vector (not itself), and its own label as what is expected."""
+    got = _dense(spark, d, 10, exclude_self=True).select(F.col("query_id").alias("case_id"), "rank", F.col("label").cast("string").alias("source"))
+    cases = _vectors(spark, d).where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("case_id"), F.array(F.col("label").cast("string")).alias("expected"))
+    return got, cases
+
+
+_RANK_SQL = f"{dense_sql(10, True)}, r AS (SELECT d.query_id AS case_id, d.rank, d.label = v.label AS hit FROM dense d JOIN v ON v.vec_id = d.query_id)"
+
+
+@query(f"WITH {_RANK_SQL} SELECT case_id, max((hit AND rank <= 1)::INT)::DOUBLE AS recall_1, max((hit AND rank <= 5)::INT)::DOUBLE AS recall_5, max(hit::INT)::DOUBLE AS recall_10 FROM r GROUP BY 1")
+def q_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    """Share of expected sources among the first k."""
+    return evaluation.case_metrics(*_rankings(spark, d), [1, 5, 10]).select("case_id", "recall_1", "recall_5", "recall_10")
+
+
+@query(f"WITH {_RANK_SQL} SELECT case_id, round(coalesce(1.0 / min(rank) FILTER (hit), 0), 6) AS reciprocal_rank FROM r GROUP BY 1")
+def q_mrr(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal rank of the first expected source."""
+    return evaluation.case_metrics(*_rankings(spark, d), [10]).select("case_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@query(f"WITH {_RANK_SQL} SELECT case_id, round(sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_raw_10, round(coalesce(1 / log2(min(rank) FILTER (hit) + 1), 0), 6) AS ndcg_10 FROM r GROUP BY 1")
+def q_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    """Discounted gain against the ideal, by point and by distinct source."""
+    return evaluation.case_metrics(*_rankings(spark, d), [10]).select("case_id", F.round("ndcg_raw_10", 6).alias("ndcg_raw_10"), F.round("ndcg_10", 6).alias("ndcg_10"))
+
+
+@query(f"WITH {_RANK_SQL} SELECT case_id, round(avg((NOT hit)::INT), 6) AS fp_rate_10 FROM r GROUP BY 1")
+def q_fp_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the first ten that isn't expected."""
+    return evaluation.case_metrics(*_rankings(spark, d), [10]).select("case_id", F.round("fp_rate_10", 6).alias("fp_rate_10"))
+
+
+@query(
+    f"""WITH {_RANK_SQL}, m AS (SELECT case_id, coalesce(1.0 / min(rank) FILTER (hit), 0) AS rr, max(hit::INT) AS rc FROM r GROUP BY 1)
+    SELECT count(*) AS cases, round(avg(rr), 6) AS reciprocal_rank, round(avg(rc), 6) AS recall_10 FROM m"""
+)
+def q_eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means over the cases."""
+    s = evaluation.summary(evaluation.case_metrics(*_rankings(spark, d), [10]))
+    return s.select("cases", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("recall_10", 6).alias("recall_10"))
+
+
+@query(f"WITH {_INTERVALS_SQL} SELECT o_orderkey, CASE WHEN effective_to_day IS NOT NULL THEN effective_from_day <= 19951231 AND effective_to_day >= 19950101 END AS matches FROM iv")
+def q_temporal_match(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an interval meets a span; null where it is unknown."""
+    none = F.lit(None).cast("int")
+    return _intervals(spark, d).select("o_orderkey", evaluation.temporal_match(none, F.lit(19950101), F.lit(19951231), F.col("effective_from_day"), F.col("effective_to_day")).alias("matches"))
+
+
+# --- records ----------------------------------------------------------------------------------------------------------
+
+_SQ = lambda c: f"coalesce(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+_URL = "regexp_replace(url_oficial, '(?i);jsessionid=[^?#]*', '')"
+_KEY_SQL = (
+    "left(sha256(concat_ws('|', "
+    + ", ".join(_SQ(c) for c in ("tribunal", "tipo_documento", "numero_processo", "numero_sumula", "numero_decisao", "tipo_decisao"))
+    + f", CASE WHEN length({_SQ('numero_decisao')}) = 0 THEN left({_SQ('ementa')}, 800) END, CASE WHEN length({_SQ('numero_processo')}) = 0 THEN regexp_replace({_SQ('url_oficial')}, '(?i);jsessionid=[^?#]*', '') END)), 20)"
+)
+
+
+@query(f"SELECT record_id, {_KEY_SQL} AS document_key FROM decisions")
+def q_document_key(spark: SparkSession, d: str) -> DataFrame:
+    """Key of every record."""
+    df = table(spark, d, "decisions")
+    return df.select("record_id", records.document_key(df).alias("document_key"))
+
+
+@query()
+def q_version_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Hash of every record's content."""
+    df = table(spark, d, "decisions")
+    return df.select("record_id", records.version_hash(df, ["ementa", "tese", "decisao", "inteiro_teor", "url_oficial", "relator", "assunto"]).alias("version"))
+
+
+@query("SELECT record_id, coalesce(nullif(trim(ementa), ''), nullif(trim(tese), ''), nullif(trim(decisao), '')) AS summary, coalesce(nullif(trim(numero_decisao), ''), nullif(trim(numero_sumula), '')) AS number FROM decisions")
+def q_alias_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical columns from the first filled of their aliases."""
+    df = table(spark, d, "decisions")
+    return records.alias_values(df, {"record_id": ["record_id"], "summary": ["resumo", "ementa", "tese", "decisao"], "number": ["numero_decisao", "numero_sumula"]}).withColumn("record_id", F.col("record_id").cast("bigint"))
+
+
+@query(
+    """
+    SELECT record_id, array_to_string(list_filter([
+        CASE WHEN NOT coalesce(upper(trim(tribunal)) IN ('TCU', 'TCESP', 'STJ', 'STF', 'TJSP'), false) THEN 'tribunal' END,
+        CASE WHEN NOT coalesce(tipo_documento = 'sumula', false) AND length(trim(coalesce(numero_processo, ''))) = 0 THEN 'numero_processo' END,
+        CASE WHEN coalesce(tipo_documento = 'sumula', false) AND NOT coalesce(regexp_full_match(numero_sumula, '[0-9]+'), false) THEN 'numero_sumula' END,
+        CASE WHEN length(trim(coalesce(url_oficial, ''))) > 0 AND NOT regexp_matches(url_oficial, '^https?://') THEN 'url_oficial' END], lambda x: x IS NOT NULL), ',') AS faults FROM decisions
+    """
+)
+def q_record_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Everything wrong with each record."""
+    df = table(spark, d, "decisions")
+    return df.select("record_id", F.array_join(records.faults(df), ",").alias("faults"))
+
+
+@query()
+def q_index_text(spark: SparkSession, d: str) -> DataFrame:
+    """Records as labelled text, by its hash and length."""
+    df = table(spark, d, "decisions")
+    t = records.index_text(df)
+    return df.select("record_id", F.length(t).alias("n_chars"), F.sha2(t, 256).alias("sha256"))
+
+
+@query(
+    "SELECT numero_processo, arg_min(record_id, record_id) AS record_id, arg_min(tribunal, record_id) AS tribunal FROM decisions GROUP BY numero_processo"
+)
+def q_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each key; an aggregation, as one key may hold much of the table."""
+    return records.keep_best(table(spark, d, "decisions").select("numero_processo", "record_id", "tribunal"), ["numero_processo"], F.struct("record_id")).select("numero_processo", "record_id", "tribunal")
+
+
+@query("SELECT numero_sumula, max(record_id) AS record_id FROM decisions WHERE regexp_full_match(numero_sumula, '[0-9]+') GROUP BY 1")
+def q_dedup_last(spark: SparkSession, d: str) -> DataFrame:
+    """The last row of each number."""
+    df = table(spark, d, "decisions").where(records.sumula_number(F.col("numero_sumula")).isNotNull()).select("numero_sumula", "record_id")
+    return records.keep_best(df, ["numero_sumula"], F.struct((-F.col("record_id")).alias("o"))).select("numero_sumula", "record_id")
+
+
+@query("SELECT tribunal, record_id, row_number() OVER (PARTITION BY tribunal ORDER BY retrieved_at, record_id)::INT AS place FROM decisions QUALIFY place <= 200")
+def q_group_cap(spark: SparkSession, d: str) -> DataFrame:
+    """At most 200 records of a court, the limit of a collection."""
+    return records.group_cap(table(spark, d, "decisions").select("tribunal", "record_id", "retrieved_at"), ["tribunal"], [F.col("retrieved_at").asc_nulls_last(), F.col("record_id")], 200).select("tribunal", "record_id", "place")
+
+
+@query("SELECT regexp_replace(lower(regexp_extract(url_oficial, '^[A-Za-z]+://([^/:;?#]+)', 1)), '^www\\.', '') AS host, min(record_id) AS record_id FROM decisions WHERE url_oficial IS NOT NULL GROUP BY 1")
+def q_domain_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first record of each host."""
+    return table(spark, d, "decisions").where(F.col("url_oficial").isNotNull()).groupBy(X.host(F.col("url_oficial")).alias("host")).agg(F.min("record_id").alias("record_id"))
+
+
+@query("SELECT tipo_documento, record_id, row_number() OVER (PARTITION BY tipo_documento ORDER BY record_id)::INT AS turn FROM decisions WHERE tipo_documento IS NOT NULL")
+def q_interleave(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of several arms in turn."""
+    df = table(spark, d, "decisions").where(F.col("tipo_documento").isNotNull()).select("tipo_documento", "record_id")
+    return records.interleave(df, "tipo_documento", [F.col("record_id")])
+
+
+@query("SELECT tribunal, count(*) AS n FROM decisions GROUP BY 1 HAVING count(*) < 150")
+def q_too_few(spark: SparkSession, d: str) -> DataFrame:
+    """Courts with fewer records than asked for."""
+    return records.too_few(table(spark, d, "decisions"), "tribunal", 150)
+
+
+@query("SELECT record_id, trim(p) AS part FROM (SELECT record_id, unnest(regexp_split_to_array(decisao, '[;\\n|,]+')) AS p FROM decisions WHERE decisao IS NOT NULL) WHERE length(trim(p)) > 0")
+def q_list_split(spark: SparkSession, d: str) -> DataFrame:
+    """Lists written in one text, as rows."""
+    return table(spark, d, "decisions").where(F.col("decisao").isNotNull()).select("record_id", F.explode(X.split_list(F.regexp_replace("decisao", ",", ";"))).alias("part"))
+
+
+@query()
+def q_web_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates as pages write them."""
+    return table(spark, d, "decisions").select("record_id", D.web_date(F.col("data")).alias("data"), D.web_date(F.col("data_publicacao")).alias("publicacao"))
+
+
+# --- index ------------------------------------------------------------------------------------------------------------
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The current index (documents loaded before 2024) and what comes in (collected since 2023)."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", "loaded_at", "collected_at")
+    cols = ["doc_id", "source", "lang", "n_chars"]
+    return docs.where(F.col("loaded_at") < F.lit("2024-01-01").cast("timestamp")).select(*cols), docs.where(F.col("collected_at") >= F.lit("2023-01-01").cast("timestamp")).select("doc_id", "source", "lang", (F.col("n_chars") + 1).alias("n_chars"))
+
+
+_CUR = "cur AS (SELECT doc_id, source, lang, n_chars FROM documents WHERE loaded_at < TIMESTAMP '2024-01-01'), new AS (SELECT doc_id, source, lang, n_chars + 1 AS n_chars FROM documents WHERE collected_at >= TIMESTAMP '2023-01-01')"
+
+
+@query(f"WITH {_CUR} SELECT * FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new")
+def q_merge_replace(spark: SparkSession, d: str) -> DataFrame:
+    """An index after a merge: documents replaced whole, new ones added."""
+    return index.replace_documents(*_halves(spark, d))
+
+
+@query(f"WITH {_CUR} SELECT doc_id FROM cur EXCEPT SELECT doc_id FROM new")
+def q_prune_stale(spark: SparkSession, d: str) -> DataFrame:
+    """Indexed documents that are no longer active."""
+    return index.stale(*_halves(spark, d))
+
+
+@query(f"WITH {_CUR} SELECT new.* FROM new LEFT JOIN cur USING (doc_id) WHERE cur.doc_id IS NULL OR cur.n_chars IS DISTINCT FROM new.n_chars OR cur.lang IS DISTINCT FROM new.lang")
+def q_skip_unchanged(spark: SparkSession, d: str) -> DataFrame:
+    """Incoming rows that differ from the current ones in more than what is ignored."""
+    cur, new = _halves(spark, d)
+    return index.changed(cur, new, "doc_id", ["source"])
+
+
+@query(
+    """
+    WITH c AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents), n AS (SELECT doc_id, 1 + length(coalesce(text, '')) // 1000 AS chunks, n_chars // 1000 + 1 AS indexed FROM documents)
+    SELECT c.doc_id, coalesce(chunks = indexed AND indexed > 0, false) AS skip FROM c JOIN n USING (doc_id)
+    """
+)
+def q_incremental_skip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to skip: unchanged, and all their chunks indexed (stated sizes stand for the index)."""
+    docs = table(spark, d, "documents")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    cand = docs.select("doc_id", sha.alias("sha256"), F.lit("f1").alias("fingerprint"))
+    cache = cand.join(docs.select("doc_id", (1 + F.floor(F.length(F.coalesce("text", F.lit(""))) / 1000)).alias("chunks")), "doc_id").withColumn("version", F.lit(3))
+    counts = docs.select("doc_id", (F.floor(F.col("n_chars") / 1000) + 1).alias("indexed"))
+    return index.to_process(cand, cache, counts, 3).select("doc_id", "skip")
+
+
+@query(
+    """
+    WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('|', doc_id::VARCHAR, coalesce(source, ''), '0'))) AS h FROM documents)
+    SELECT doc_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', 1 + (strpos('0123456789abcdef', h[17:17]) - 1) % 4, 1) || h[18:20], h[21:32]) AS point_id FROM h
+    """
+)
+def q_point_id(spark: SparkSession, d: str) -> DataFrame:
+    """Name-based ids of points."""
+    return table(spark, d, "documents").select("doc_id", metadata.uuid5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("source", F.lit("")), F.lit("0"))).alias("point_id"))
+
+
+@query(
+    """
+    WITH p AS (SELECT label::INT AS label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, (1 + vec_id % 3)::DOUBLE AS w FROM embeddings),
+    m AS (SELECT label, i, sum(x * w) / sum(w) AS m FROM p GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1)
+    SELECT m.label, (i - 1)::INT AS place, round(m / n, 6) AS value FROM m JOIN n USING (label)
+    """
+)
+def q_pool_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted mean of each label's vectors, scaled to length one."""
+    got = index.pooled(_vectors(spark, d), ["label"], "embedding", 1 + F.col("vec_id") % 3)
+    return got.select("label", F.posexplode("vector").alias("place", "v")).select("label", "place", F.round("v", 6).alias("value"))
+
+
+@query("SELECT vec_id, 'dimension' AS reason FROM embeddings WHERE len(embedding) <> 64")
+def q_vector_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that can't be used; none are here."""
+    return index.vector_faults(_vectors(spark, d), "embedding", 64, "vec_id")
+
+
+@query()
+def q_hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Default vectors of excerpts: hashed bags of tokens."""
+    v = V.hashed_bag(X.tokens(F.col("text")), 32)
+    return table(spark, d, "excerpts").where(F.col("text").isNotNull()).select("source_id", F.size(v).alias("n"), F.round(V.norm(v), 6).alias("norm"))
+
+
+# --- pages ------------------------------------------------------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.split_pages(table(spark, d, "documents"), "doc_id", "text", "\n\n")
+
+
+_PAGES_SQL = "pg AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS page_text, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS page FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {_PAGES_SQL} SELECT doc_id, page::INT AS page, length(page_text)::INT AS n FROM pg")
+def q_page_split(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages (paragraphs stand for pages)."""
+    return _pages(spark, d).select("doc_id", "page", F.length("page_text").alias("n"))
+
+
+@query(f"WITH {_PAGES_SQL} SELECT doc_id, page::INT AS page, coalesce(sum(length(page_text) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM pg")
+def q_page_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each page begins."""
+    return pages.page_offsets(_pages(spark, d), "doc_id").select("doc_id", "page", "start")
+
+
+@query(
+    f"""WITH {_PAGES_SQL}, o AS (SELECT doc_id, page, coalesce(sum(length(page_text) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM pg),
+    pt AS (SELECT doc_id, unnest([0, 500, 1000, 2000]) AS at FROM documents WHERE text IS NOT NULL)
+    SELECT pt.doc_id, pt.at::INT AS at, max(o.page)::INT AS page FROM pt JOIN o ON o.doc_id = pt.doc_id AND o.start <= pt.at GROUP BY ALL"""
+)
+def q_page_of_offset(spark: SparkSession, d: str) -> DataFrame:
+    """The page of an offset: as-of join."""
+    offsets = pages.page_offsets(_pages(spark, d), "doc_id")
+    points = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array(*[F.lit(x) for x in (0, 500, 1000, 2000)])).alias("at"))
+    return pages.page_of(offsets, points.withColumn("_off", F.col("at")), "doc_id", "_off").select("doc_id", "at", "page")
+
+
+@query()
+def q_extract_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Trust in each document's text."""
+    return table(spark, d, "documents").select("doc_id", pages.confidence(F.col("text")).alias("confidence"))
+
+
+@query()
+def q_page_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, origin and mean confidence of each document's pages."""
+    rows = _pages(spark, d).withColumns({"extraction_confidence": pages.confidence(F.col("page_text")), "text_origin": F.when(F.length("page_text") < 80, "ocr").otherwise("native")})
+    return pages.span_quality(rows, ["doc_id"])
+
+
+@query()
+def q_edge_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that stand at the edges of several pages of a source's document."""
+    return pages.repeated_edges(_pages(spark, d), "doc_id")
+
+
+@query()
+def q_without_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without repeated lines at their edges."""
+    return pages.without_edges(_pages(spark, d), "doc_id").select("doc_id", "page", F.length("page_text").alias("n"))
+
+
+@query(
+    """
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, line_no, trim(line) AS line, lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l)
+    SELECT doc_id, line_no::INT AS line_no, line FROM b WHERE length(line) > 0 AND line = before
+    """
+)
+def q_consecutive_dups(spark: SparkSession, d: str) -> DataFrame:
+    """Lines equal to the line before them."""
+    return pages.repeated_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def q_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of nodes put in order: spaces, broken words, page numbers."""
+    return table(spark, d, "legal_nodes").where(F.col("source_text").isNotNull()).select("node_id", F.sha2(pages.sanitize(F.col("source_text")), 256).alias("sha256")).distinct()
+
+
+# --- metadata ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def q_norm_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Kind, number and year of every norm."""
+    n = table(spark, d, "legal_nodes").where(F.col("kind") == "norma").select("node_id", metadata.norm_header(F.col("source_text")).alias("h")).distinct()
+    return n.select("node_id", "h.kind", "h.number", "h.year")
+
+
+@query(
+    "SELECT id, authority_level, source_role, CASE source_role WHEN 'norma' THEN 1 WHEN 'jurisprudencia' THEN 2 WHEN 'jurisprudencia_controle' THEN 2 WHEN 'controle_estadual' THEN 2 WHEN 'orientacao_oficial' THEN 3 WHEN 'taxonomia' THEN 3 WHEN 'descoberta_legislativa' THEN 3 WHEN 'doutrina' THEN 4 END::INT AS level_of_role FROM source_catalogue"
+)
+def q_authority_level(spark: SparkSession, d: str) -> DataFrame:
+    """Level of each source's role beside the catalogue's."""
+    return table(spark, d, "source_catalogue").select("id", "authority_level", "source_role", metadata.authority_level(F.col("source_role")).alias("level_of_role"))
+
+
+@query("SELECT id, count(*) AS n FROM source_catalogue GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 0 FROM source_catalogue WHERE title IS NULL OR len(urls) = 0 OR authority_level NOT BETWEEN 1 AND 4 OR (follow_links AND max_follow IS NULL)")
+def q_catalogue_check(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of the catalogue: repeated ids, missing fields; none are here."""
+    c = table(spark, d, "source_catalogue")
+    twice = c.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    bad = c.where(F.col("title").isNull() | (F.size("urls") == 0) | ~F.col("authority_level").between(1, 4) | (F.col("follow_links") & F.col("max_follow").isNull()))
+    return twice.unionByName(bad.select("id", F.lit(0).cast("bigint").alias("n")))
+
+
+@query()
+def q_regime(spark: SparkSession, d: str) -> DataFrame:
+    """Own and cited regimes of every document."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", metadata.regime(F.coalesce("source", F.lit("")), F.coalesce("title", F.lit("")), F.col("text"), F.col("source_role")).alias("regime"), F.array_join(metadata.cited_regimes(F.col("text")), ",").alias("cited"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(coalesce(text, '')), 'pregão eletrônico') THEN 'Pregão Eletrônico' WHEN contains(lower(coalesce(text, '')), 'pregão presencial') THEN 'Pregão Presencial' WHEN contains(lower(coalesce(text, '')), 'concorrência eletrônica') THEN 'Concorrência Eletrônica' WHEN contains(lower(coalesce(text, '')), 'concorrência') THEN 'Concorrência' WHEN contains(lower(coalesce(text, '')), 'dispensa eletrônica') THEN 'Dispensa Eletrônica' WHEN contains(lower(coalesce(text, '')), 'inexigibilidade de licitação') THEN 'Inexigibilidade de Licitação' WHEN contains(lower(coalesce(text, '')), 'chamamento público') THEN 'Chamamento Público' WHEN contains(lower(coalesce(text, '')), 'credenciamento') THEN 'Credenciamento' WHEN contains(lower(coalesce(text, '')), 'leilão') THEN 'Leilão' END AS modality FROM documents")
+def q_modality(spark: SparkSession, d: str) -> DataFrame:
+    """Kind of tender that each document names."""
+    return table(spark, d, "documents").select("doc_id", metadata.first_named(F.col("text"), metadata.MODALITIES).alias("modality"))
+
+
+@query("SELECT source_id, sha256 = sha256(text) AS fresh FROM excerpts")
+def q_stale_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an excerpt's stated hash is its text's."""
+    return table(spark, d, "excerpts").select("source_id", (F.col("sha256") == F.sha2("text", 256)).alias("fresh"))
+
+
+@query()
+def q_source_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Organ, jurisdiction and role that file names tell."""
+    n = table(spark, d, "legal_nodes").select("doc_id").distinct().select("doc_id", metadata.source_rules(F.concat("doc_id", F.lit(".txt"))).alias("r"))
+    return n.select("doc_id", "r.orgao", "r.jurisdicao", "r.source_role", "r.ambiguous")
+
+
+@query("SELECT doc_id, '[REGIME: - | SOURCE: ' || coalesce(nullif(trim(source), ''), '-') || ' | STATUS: - | ESFERA: - | JURISDIÇÃO: ' || coalesce(nullif(trim(lang), ''), '-') || ']' AS prefix FROM documents")
+def q_embedding_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Headings put before embedded texts."""
+    none = F.lit(None).cast("string")
+    return table(spark, d, "documents").select("doc_id", metadata.embedding_prefix(none, F.col("source"), none, none, F.col("lang")).alias("prefix"))
+
+
+# --- legal texts ------------------------------------------------------------------------------------------------------
+
+
+def _editions(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "legal_nodes").where((F.col("kind") == "norma") & F.col("source_text").isNotNull())
+    return n.select(F.concat_ws("@", "doc_id", F.col("edition").cast("string")).alias("doc_id"), F.col("source_text").alias("text")).distinct()
+
+
+@query()
+def q_legal_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of every edition, read from its text."""
+    t = legal.tree(_editions(spark, d))
+    return t.select("doc_id", "node_id", "parent_id", "kind", "ref", "source_start", "source_end", F.array_join("path", " > ").alias("path"), "anexo_ref")
+
+
+@query()
+def q_legal_tree_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the table's nodes, how many the reader finds with the same kind, start and end."""
+    have = table(spark, d, "legal_nodes").where(F.col("source_text").isNotNull()).select(F.concat_ws("@", "doc_id", F.col("edition").cast("string")).alias("doc_id"), "kind", "source_start", "source_end").distinct()
+    got = legal.tree(_editions(spark, d)).select("doc_id", "kind", "source_start", "source_end", F.lit(1).alias("hit"))
+    return have.join(got, ["doc_id", "kind", "source_start", "source_end"], "left").groupBy("kind").agg(F.count("*").alias("nodes"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"))
+
+
+@query()
+def q_legal_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every excerpt with their place, path and changes."""
+    ex = table(spark, d, "excerpts").select(F.col("source_id").alias("doc_id"), "text")
+    c = legal.chunks(ex)
+    return c.select("doc_id", "unit_id", "unit_kind", "chunk_index", "start", "end", "segment_kind", F.length("text").alias("n"), "amendment", F.array_join("amendment_operations", ",").alias("operations"), F.array_join("target_articles", ",").alias("targets"))
+
+
+@query("SELECT 0::BIGINT AS faults")
+def q_span_invariant(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose text isn't the slice of their document: none."""
+    ex = table(spark, d, "excerpts").select(F.col("source_id").alias("doc_id"), "text")
+    c = legal.chunks(ex).select("doc_id", F.col("start").alias("source_start"), F.col("end").alias("source_end"), F.col("text").alias("source_text"))
+    return legal.span_faults(c, ex.withColumnRenamed("text", "full_text"), "doc_id").agg(F.count("*").alias("faults"))
+
+
+@query(
+    """
+    WITH n AS (SELECT DISTINCT doc_id, edition, node_id, source_start, source_end, source_text FROM legal_nodes WHERE source_text IS NOT NULL AND kind <> 'norma'),
+    t AS (SELECT DISTINCT doc_id, edition, source_text AS full_text FROM legal_nodes WHERE kind = 'norma' AND source_text IS NOT NULL)
+    SELECT n.node_id, substr(full_text, source_start + 1, source_end - source_start) = source_text AS exact FROM n JOIN t USING (doc_id, edition)
+    """
+)
+def q_span_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each node's text is the slice of its edition that its offsets say."""
+    n = table(spark, d, "legal_nodes").where(F.col("source_text").isNotNull())
+    nodes = n.where(F.col("kind") != "norma").select("doc_id", "edition", "node_id", "source_start", "source_end", "source_text").distinct()
+    texts = n.where(F.col("kind") == "norma").select("doc_id", "edition", F.col("source_text").alias("full_text")).distinct()
+    exact = F.substring("full_text", F.col("source_start") + 1, F.col("source_end") - F.col("source_start")) == F.col("source_text")
+    return nodes.join(texts, ["doc_id", "edition"]).select("node_id", exact.alias("exact"))
+
+
+@query(
+    """
+    WITH n AS (SELECT DISTINCT doc_id, edition, kind, ref, source_start FROM legal_nodes),
+    a AS (SELECT * FROM n WHERE kind = 'artigo'), h AS (SELECT * FROM n WHERE kind IN ('titulo', 'capitulo'))
+    SELECT concat_ws('@', a.doc_id, a.edition::VARCHAR) AS doc, a.source_start AS at, arg_max(h.ref, h.source_start) AS heading FROM a LEFT JOIN h ON h.doc_id = a.doc_id AND h.edition = a.edition AND h.source_start <= a.source_start GROUP BY ALL
+    """
+)
+def q_headings_in_force(spark: SparkSession, d: str) -> DataFrame:
+    """The heading in force at each article: as-of join."""
+    n = table(spark, d, "legal_nodes").select(F.concat_ws("@", "doc_id", F.col("edition").cast("string")).alias("doc"), "kind", "ref", F.col("source_start").alias("at")).distinct()
+    heads = n.where(F.col("kind").isin("titulo", "capitulo")).select("doc", "at", F.col("ref").alias("heading"))
+    return legal.headings_in_force(n.where(F.col("kind") == "artigo").select("doc", "at"), heads, "doc")
+
+
+@query()
+def q_device_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Unit and place below it for every node of an article."""
+    n = table(spark, d, "legal_nodes").where(F.col("kind").isin("artigo", "paragrafo", "inciso", "alinea"))
+    return n.select("node_id", legal.device_id(F.col("path"), F.lit("artigo")).alias("device_id")).distinct()
+
+
+@query()
+def q_amendments(spark: SparkSession, d: str) -> DataFrame:
+    """What changing acts change."""
+    ex = table(spark, d, "excerpts").where(F.col("role") == "alteradora").select(F.col("source_id").alias("doc_id"), "text")
+    c = legal.chunks(ex).where(F.col("amendment"))
+    return c.select("doc_id", "unit_id", F.array_join("amendment_operations", ",").alias("operations"), F.array_join("target_articles", ",").alias("targets")).distinct()
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT node_id, kind FROM legal_nodes WHERE kind IN ('artigo', 'anexo')) GROUP BY 1")
+def q_unit_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Articles and annexes of all editions."""
+    return table(spark, d, "legal_nodes").where(F.col("kind").isin("artigo", "anexo")).select("node_id", "kind").distinct().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_split_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents split by size alone."""
+    c = legal.chunks(table(spark, d, "documents").select("doc_id", "text"), role=F.lit("doutrina"))
+    return c.select("doc_id", "chunk_index", "start", "end")
+
+
+# --- pages of the web -------------------------------------------------------------------------------------------------
+
+
+@query()
+def q_html_text(spark: SparkSession, d: str) -> DataFrame:
+    """Visible text of summaries that hold tags."""
+    return table(spark, d, "decisions").where(F.col("ementa").rlike("<[a-zA-Z/]")).select("record_id", html.text_of(F.col("ementa")).alias("text"))
+
+
+@query()
+def q_html_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of tables in summaries."""
+    rows = table(spark, d, "decisions").where(F.col("ementa").contains("<td")).select("record_id", F.posexplode(html.rows_of(F.col("ementa"))))
+    return rows.select("record_id", "pos", F.array_join("col", "\t").alias("cells"))
+
+
+@query()
+def q_html_links(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of sources, classified as links."""
+    c = table(spark, d, "source_catalogue").select("id", F.explode("urls").alias("url"))
+    page = F.concat(F.lit('<a href="/doc/1">Documento 1</a><a href="lista?pagina=2">Próxima</a><a href="teor.pdf">Inteiro teor</a><a href="https://outro.example/x">Fora</a>'))
+    found = html.links(c.withColumn("html", page).withColumn("key", F.concat_ws(" ", "id", "url")), "key", "url", F.col("html"))
+    return html.discover(found, "key", [], [r"\.png$"], 12).select("key", "link", html.link_kind(F.col("link"), F.col("label")).alias("kind"))
+
+
+# --- joins ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM source_catalogue c WHERE c.id = d.source AND c.source_role = 'norma')")
+def q_source_semi(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of norms: semi join with the catalogue."""
+    return table(spark, d, "documents").join(_catalogue(spark, d).where(F.col("role") == "norma"), "source", "left_semi").select("doc_id")
+
+
+@query("SELECT i.item_id, count(d.doc_id) AS n FROM (SELECT item_id, unnest(expected_source_ids) AS source FROM eval_items) i LEFT JOIN documents d ON d.source = i.source GROUP BY 1")
+def q_eval_join(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents the expected sources of each case hold: sources are counted before the join."""
+    counts = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    items = table(spark, d, "eval_items").select("item_id", F.explode("expected_source_ids").alias("source"))
+    return items.join(counts, "source", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+@query(
+    """
+    SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1
+    """
+)
+def q_join_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by nation of the customer."""
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def q_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per hour of event time; the batch form of the streaming operator."""
+    from lexmill.streaming.ingest import windowed_counts
+
+    got = windowed_counts(table(spark, d, "events"), "ts", "1 day", "1 hour", None, ["event_type"])
+    return got.select("event_type", F.col("frame.start").alias("hour"), "n")

@@ -108,7 +108,7 @@ def one_as() -> list[tuple[str, dict[int, str]]]:
 
 _FOREIGN = "".join(sorted({chr(g) for _, t in one_as() for g in t} - set(MARKED)))
 #: A word with a sign of garbling: a character that is no Portuguese letter, or a capital mark after a small letter.
-_WORD = re.compile(rf"[^\s]*(?:[{re.escape(_FOREIGN)}]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ])[^\s]*")
+_WORD = re.compile(rf"(?<!\S)[^\s]*(?:[{re.escape(_FOREIGN)}]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ])[^\s]*")
 #: Texts without any of this need no look; for the JVM's regular expressions.
 SUSPECT = (
     rf"[^\x00-\x7f{MARKED}§°²³–—“”‘’•…·»©↑→½¼€\xa0\xad\u2010\u2011¬]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ“‘’”•…·»€°§][A-Za-zÀ-ÿ]"
@@ -120,7 +120,7 @@ SUSPECT = (
 _PROPER = re.compile(rf"[\x21-\x7e{MARKED}§°–—‐\xad¬…“”‘’]*")
 #: A word of the lexicon is at least this share of all marked words: the lexicon has at most 1 / WORD_SHARE entries.
 WORD_SHARE = 1e-5
-_MARKED_WORD = re.compile(rf"[A-Za-z]*[{MARKED}][A-Za-z{MARKED}]*")
+_MARKED_WORD = re.compile(rf"(?<![A-Za-z{MARKED}])[A-Za-z]*[{MARKED}][A-Za-z{MARKED}]*")
 
 
 def _class(c: str) -> str:
@@ -213,7 +213,7 @@ class Restorer:
             top = scores.most_common(2)
             return top[0][0] if top and (len(top) == 1 or top[0][1] >= 4 * top[1][1]) else word
 
-        return re.sub(rf"[A-Za-z0-9{MARKED}{LOST}]*{LOST}[A-Za-z0-9{MARKED}{LOST}]*", fill, text)
+        return re.sub(rf"(?<![A-Za-z0-9{MARKED}{LOST}])[A-Za-z0-9{MARKED}]*{LOST}[A-Za-z0-9{MARKED}{LOST}]*", fill, text)
 
     def restore(self, text: str) -> tuple[str, int, set[str]]:
         """(restored text, number of garbled stretches, pairs)."""

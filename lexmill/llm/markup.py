@@ -49,7 +49,7 @@ _MARKDOWN = [
     ("emphasis", re.compile(r"(?<![\w*(])\*(?=[^\s*)\d])[^*\n]{1,200}?(?<=[^\s*(])\*(?![\w*])")),
     ("emphasis", re.compile(r"(?<![\w_/.])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_])")),
     ("strike", re.compile(r"~~(?=\S)[^~\n]+~~")),
-    ("link", re.compile(r"!?\[[^\]\n]*\]\((?:https?://|/|#|mailto:|www\.)[^)\s]*\)")),
+    ("link", re.compile(r"!?\[[^\[\]\n]*\]\((?:https?://|/|#|mailto:|www\.)[^)\s]*\)")),
     ("table", re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?$", re.M)),
     ("quote", re.compile(r"^>[ \t]+(?!R\$|[\d<>=])(?=\S)", re.M)),
     ("bullet", re.compile(r"^[*+][ \t]+(?=[^\W\d_]|\*\*)", re.M)),
@@ -101,12 +101,15 @@ def notations(text: str) -> dict[str, int]:
 class Node:
     """An element; children are nodes and strings."""
 
-    __slots__ = ("tag", "children", "parent", "points", "hidden")
+    __slots__ = ("tag", "children", "parent", "points", "hidden", "depth")
 
     def __init__(self, tag: str, parent: Node | None = None, hidden: bool = False) -> None:
         self.tag, self.parent, self.children, self.points, self.hidden = tag, parent, [], 0.0, hidden
+        self.depth = parent.depth + 1 if parent else 0
 
 
+#: Elements nested deeper stand beside one another.
+MAX_DEPTH = 120
 _VOID = frozenset("br hr img input meta link base col source embed param wbr".split())
 _DROPPED = frozenset("script style noscript template head title iframe object svg form button select textarea nav aside footer".split())
 _RAW = frozenset("script style".split())
@@ -150,7 +153,7 @@ def parse(text: str) -> Node:
                 here = up.parent
         node = Node(tag, here, hidden=bool(re.search(r"display\s*:\s*none|\bhidden\b", m[3] or "", re.I)))
         here.children.append(node)
-        if tag not in _VOID and not m[4]:
+        if tag not in _VOID and not m[4] and node.depth < MAX_DEPTH:
             here = node
             if tag in _RAW:
                 raw = tag
@@ -280,7 +283,7 @@ def _from_markdown(text: str) -> str:
         p = re.sub(r"^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?$\n?", "\x00", p, flags=re.M)
         if "\x00" in p:
             p = re.sub(r"^[ \t]*\|(.*)\|[ \t]*$", lambda m: "\t".join(x.strip() for x in m[1].split("|")), p, flags=re.M).replace("\x00", "")
-        p = re.sub(r"!?\[([^\]\n]*)\]\((?:https?://|/|#|mailto:|www\.)[^)\s]*\)", r"\1", p)
+        p = re.sub(r"!?\[([^\[\]\n]*)\]\((?:https?://|/|#|mailto:|www\.)[^)\s]*\)", r"\1", p)
         p = re.sub(r"^[*+-][ \t]+(?=\*\*)|^[*+][ \t]+(?=[^\W\d_])", "• ", p, flags=re.M)
         p = re.sub(r"^(?:\*[ \t]*){3,}$", "", p, flags=re.M)
         p = re.sub(r"\*{2,}(?=[^\s*])|(?<=[^\s*])\*{2,}", "", p)

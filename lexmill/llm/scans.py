@@ -32,11 +32,11 @@ L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _TOKEN = re.compile(rf"[{L}]+")
 #: Hyphens at line ends, as written and as they look when garbled afterwards.
 _HYPHEN = r"(?:-|‐|¬|(?<!Ã)\xad|Â[¬\xad]|â[€\x80]\x90|¬[¨≠])"
-_BREAK = re.compile(rf"([{L}]+)({_HYPHEN}) ?\n[ \t]*([a-zß-öø-ÿ]+)")
+_BREAK = re.compile(rf"(?<![{L}])([{L}]+)({_HYPHEN}) ?\n[ \t]*([a-zß-öø-ÿ]+)")
 _INLINE = re.compile(rf"(?<![{L}-])([{L}]+)({_HYPHEN}) ([a-zß-öø-ÿ]+)(?![{L}-])")
 _SPACED = re.compile(rf"(?<![{L}\d’'.-])[{L}](?:(?: [A-ZÀ-ÖØ-Þ]){{3,}}|(?: [a-zß-öø-ÿ]){{3,}})(?![{L}])")
 #: Words with signs or figures for letters; what is joined to further signs (addresses, keys) is left alone.
-_MIXED = re.compile(rf"(?<![{L}\d@|=/_+.&#$-])(?=[{L}\d@|]*[@|\d])(?=[{L}\d@|]*[{L}])[{L}\d@|ﬁﬂ]{{3,25}}(?![{L}\d@|=/_+&#]|\.[{L}\d])|[{L}]*[ﬁﬂ][{L}ﬁﬂ]*")
+_MIXED = re.compile(rf"(?<![{L}\d@|=/_+.&#$-])(?=[{L}\d@|]*[@|\d])(?=[{L}\d@|]*[{L}])[{L}\d@|ﬁﬂ]{{3,25}}(?![{L}\d@|=/_+&#]|\.[{L}\d])|(?<![{L}ﬁﬂ])[{L}]*[ﬁﬂ][{L}ﬁﬂ]*")
 
 #: Confusions: what is read -> [(what it was, log probability)].
 CONFUSIONS = {

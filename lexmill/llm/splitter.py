@@ -43,6 +43,7 @@ def split_oversized(texts: DataFrame, limits: DataFrame) -> DataFrame:
     Result: table_name, row_key, piece_no, start_char (of the piece with its overlap), overlap (characters shared with
     the piece before), piece_text. Without the first ``overlap`` characters of each, the pieces joined are the text.
     """
+    texts = texts.select("table_name", "row_key", "kind", "text")
     bounds = limits.where(F.col("max_chars") >= 1).groupBy("table_name", "kind").agg(F.min("max_chars").alias("_max"), F.max(F.coalesce("overlap_chars", F.lit(0))).alias("_over"))
     bounds = bounds.withColumn("_over", F.greatest(F.lit(0), F.least("_over", F.col("_max") - 1)))
     long = texts.join(bounds, ["table_name", "kind"]).where(F.length("text") > F.col("_max")).dropDuplicates(["table_name", "row_key", "kind", "text"])

@@ -56,12 +56,9 @@ _HEAD = (
 )
 _LINE = re.compile(rf"^[ \t]*(?:{_HEAD}(?:[ \t]+{_PAGE})?|{_PAGE}(?:[ \t]+{_HEAD})?)[ \t]*$", re.M)
 #: Texts without these need no closer look.
-_MAY_BREAK = re.compile(rf"(?:[-‐¬\xad\x90¨≠]) ?\n|[a-zß-öø-ÿ](?:[-‐¬\xad\x90¨≠]) [a-zß-öø-ÿ]")
-_MAY_MIX = re.compile(rf"[{L}][@|\dﬁﬂ]|[@|\dﬁﬂ][{L}]")
-_BARE = re.compile(r"\d{1,4}")
-_WANTS_NUMBER = re.compile(r"(?:nº|n°|arts?\.|§§?|R\$|inciso|item|de|às?|os?|das?|em|e|[,;|\t]|\d)$", re.I)
-#: Sections stand on lines of their own and are no headers of pages.
-_SECTION = re.compile(r"(?:RELATÓRIO|VOTO|DISPOSITIVO|EMENTA|ACÓRDÃO|DECISÃO|TESE|CONCLUSÃO|ANEXO(?: [IVXLC]+| ÚNICO)?)")
+_MAY_BREAK = re.compile(r"[-‐¬\xad\x90¨≠](?: ?\n| [a-zß-öø-ÿ])")
+_MAY_MIX = re.compile(rf"[@|\dﬁﬂ](?:(?=[{L}])|(?<=[{L}].))")
+_MAY_SPACE = re.compile(rf" [{L}] [{L}] [{L}](?![{L}])")
 
 
 class Lexicon:
@@ -227,7 +224,8 @@ class Repairer:
             text = _INLINE.sub(inline, _BREAK.sub(broken, text))
             if n == had:
                 break
-        text = _SPACED.sub(spaced, text)
+        if _MAY_SPACE.search(text):
+            text = _SPACED.sub(spaced, text)
         return text, n, k
 
     def _suspects(self, text: str) -> set[str]:

@@ -23,7 +23,6 @@ from itertools import product
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmill.session import cut
 
@@ -109,7 +108,7 @@ def one_as() -> list[tuple[str, dict[int, str]]]:
 _FOREIGN = "".join(sorted({chr(g) for _, t in one_as() for g in t} - set(MARKED)))
 #: A word with a sign of garbling: a character that is no Portuguese letter, or a capital mark after a small letter.
 _WORD = re.compile(rf"(?<!\S)[^\s]*(?:[{re.escape(_FOREIGN)}]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ])[^\s]*")
-#: Texts without any of this need no look; for the JVM's regular expressions.
+#: Texts without any of this need no look.
 SUSPECT = (
     rf"[^\x00-\x7f{MARKED}§°²³–—“”‘’•…·»©↑→½¼€\xa0\xad\u2010\u2011¬]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ“‘’”•…·»€°§][A-Za-zÀ-ÿ]"
     r"|[ÃÂ][^A-Za-zÀ-ÖØ-öø-ÿ\s.,;:)–-]|Ã[ \xa0][a-z ]|¬[^\sA-Za-zÀ-ÿ]"
@@ -289,22 +288,23 @@ def marked_letters(df: DataFrame, fields: list[str]) -> tuple[dict[str, int], di
     return {r["gram"]: r["n"] for r in rows if r["kind"] == "g"}, {r["gram"]: r["n"] for r in rows if r["kind"] == "w"}
 
 
-RESTORED = T.StructType([T.StructField("text", T.StringType()), T.StructField("stretches", T.IntegerType()), T.StructField("pairs", T.StringType())])
-
-
 def restore_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, field_name, restored_text, stretches, pairs, complete: a row for each value with a garbled stretch."""
     model = df.sparkSession.sparkContext.broadcast(marked_letters(df, fields))
+    src = df.select(F.col(key).alias("_key"), *fields)
+    names = list(fields)
 
-    @F.pandas_udf(RESTORED)
-    def restore(v: pd.Series) -> pd.DataFrame:
-        r = Restorer(*model.value)
-        rows = [r.restore(x) for x in v]
-        return pd.DataFrame([(t, n, ", ".join(sorted(p))) for t, n, p in rows], columns=["text", "stretches", "pairs"])
-
-    pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])
-    long = df.select(F.col(key), F.explode(pairs).alias("p")).select(key, "p.field_name", "p.text").where(F.col("text").rlike(SUSPECT))
-    got = long.select(key, "field_name", restore("text").alias("r")).where(F.col("r.stretches") > 0)
-    return got.select(
-        key, "field_name", F.col("r.text").alias("restored_text"), F.col("r.stretches").alias("stretches"), F.col("r.pairs").alias("pairs"), (~F.col("r.text").contains(LOST)).alias("complete")
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r, suspect = Restorer(*model.value), re.compile(SUSPECT)
+        for pdf in batches:
+            rows = []
+            for name in names:
+                for k, t in zip(pdf["_key"], pdf[name], strict=True):
+                    if t and suspect.search(t):
+                        text, n, pairs = r.restore(t)
+                        if n:
+                            rows.append((k, name, text, n, ", ".join(sorted(pairs)), LOST not in text))
+            yield pd.DataFrame(rows, columns=["_key", "field_name", "restored_text", "stretches", "pairs", "complete"])
+
+    kind = src.schema["_key"].dataType.simpleString()
+    return src.mapInPandas(run, f"_key {kind}, field_name string, restored_text string, stretches int, pairs string, complete boolean").withColumnRenamed("_key", key)

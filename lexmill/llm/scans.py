@@ -30,6 +30,7 @@ from lexmill.session import cut
 WORD_SHARE, PAIR_SHARE = 2e-6, 4e-6
 L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _TOKEN = re.compile(rf"[{L}]+")
+_ANY = re.compile(rf"[{L}\d@|ﬁﬂ]+")
 #: Hyphens at line ends, as written and as they look when garbled afterwards.
 _HYPHEN = r"(?:-|‐|¬|(?<!Ã)\xad|Â[¬\xad]|â[€\x80]\x90|¬[¨≠])"
 _BREAK = re.compile(rf"(?<![{L}])([{L}]+)({_HYPHEN}) ?\n[ \t]*([a-zß-öø-ÿ]+)")
@@ -124,6 +125,9 @@ class Lexicon:
         layers: list[dict[str, tuple[float, str | None, bool]]] = []
         for t, opts in zip(tokens, options, strict=True):
             low = t.lower()
+            if not opts and layers and len(layers[-1]) == 1:  # nothing to choose here
+                layers.append({low: (0.0, next(iter(layers[-1])), False)})
+                continue
             mixed = any(c in _SIGNS for c in low)
             states = [(w, p, True) for w, p in opts] + ([(low, -12.0 if mixed else -0.1, False)] if not (mixed and opts) else [])
             layer: dict[str, tuple[float, str | None, bool]] = {}
@@ -250,12 +254,15 @@ class Repairer:
         if not suspects and not mixed:
             return text, 0
         n = 0
-        token = re.compile(rf"(?:{'|'.join(sorted(map(re.escape, mixed), key=len, reverse=True))})(?![{L}])|[{L}]+") if mixed else _TOKEN
+        token = _ANY if mixed else _TOKEN
+        wanted = suspects | mixed
         lines = text.split("\n")
         for i, line in enumerate(lines):
+            if not any(w in line for w in wanted):
+                continue
             found = list(token.finditer(line))
             tokens = [m.group() for m in found]
-            if suspects.isdisjoint(tokens) and mixed.isdisjoint(tokens):
+            if wanted.isdisjoint(tokens):
                 continue
             options = [self.lexicon.candidates(t) if t in suspects or t in mixed else () for t in tokens]
             chosen = self.lexicon.line(tokens, options)

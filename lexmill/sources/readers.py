@@ -42,9 +42,14 @@ def kind_of(content: Column, content_type: Column, path: Column) -> Column:
     return F.when(head.startswith("%pdf") | ct.contains("pdf") | p.endswith(".pdf"), "pdf").when(head.startswith("<?xml") | ct.contains("xml") | p.endswith(".xml"), "xml").otherwise("html")
 
 
+#: What Windows-1252 has where Latin-1 has control characters.
+_C1 = [(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 where they are, else as Windows-1252."""
-    return F.regexp_replace(F.when(F.is_valid_utf8(F.decode(content, "ISO-8859-1")) & F.try_validate_utf8(content.cast("string")).isNotNull(), content.cast("string")).otherwise(F.decode(content, "windows-1252")), "^﻿", "")
+    """Bytes as UTF-8 where they are, else as Windows-1252; a byte order mark is left out."""
+    western = F.translate(F.decode(content, "ISO-8859-1"), "".join(a for a, _ in _C1), "".join(b for _, b in _C1))
+    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), western), "^\ufeff", "")
 
 
 def csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -61,7 +66,8 @@ def json_rows(raw: Column, schema: str) -> Column:
     row = f"array<struct<{schema}>>"
     flat = "struct<" + ",".join(f"{k}:{row}" for k in ROW_KEYS) + f",result:struct<{','.join(f'{k}:{row}' for k in ROW_KEYS)}>>"
     j = F.from_json(raw, flat)
-    return F.coalesce(F.from_json(raw, row), *[j[k] for k in ROW_KEYS], *[j["result"][k] for k in ROW_KEYS], F.array().cast(row))
+    listed = F.when(F.ltrim(raw).startswith("["), F.from_json(raw, row))
+    return F.coalesce(listed, *[j[k] for k in ROW_KEYS], *[j["result"][k] for k in ROW_KEYS], F.array().cast(row))
 
 
 def search_hits(raw: Column, schema: str) -> Column:

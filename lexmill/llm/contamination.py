@@ -210,7 +210,9 @@ def align(part: list[str], doc: list[str], places: dict[tuple[str, ...], list[in
                         if doc[q] == part[p]:
                             found[p], at = 1, q + 1
                             break
-        found[k : k + RUN] = b"\x01" * RUN
+        # a run that begins within the one before, out of step with it, uses no word of the document twice
+        used = max(0, last[1] + RUN - j) if last and k - last[0] != j - last[1] else 0
+        found[k + used : k + RUN] = b"\x01" * (RUN - used)
         last = (k, j)
     return sum(found) / len(part), best, chain[0][1], chain[-1][1] + RUN - 1
 

@@ -61,7 +61,7 @@ _WIKI = [
     ("link", re.compile(r"\[\[[^\[\]\n]*\]\]")),
     ("link", re.compile(r"\[https?://[^\s\]]+(?: [^\]\n]*)?\]")),
     ("template", re.compile(r"\{\{[^\s{}|\d][^{}|\n]*(?=\||\}\})")),
-    ("table", re.compile(r"^\{\|.*$|^\|\}|^\|-.*$", re.M)),
+    ("table", re.compile(r"^\{\|.*$|^\|\}|^\|-(?!-).*$", re.M)),
 ]
 _COMMAND = re.compile(r"\\(?:[A-Za-z]{2,}\*?(?=[\s{\[\\_^$)\]]|$)|[A-Za-z](?=[\s\\{_^$,.])|[\[\]()%$&#_{},;!~])")
 _MATH = re.compile(r"(?<![A-Z$\\\w])\$(?=[^\s$\d])[^$\n]{1,300}?(?<=\S)\$(?![\d$])")
@@ -299,10 +299,10 @@ def _from_markdown(text: str) -> str:
 def _from_wiki(text: str) -> str:
     text = re.sub(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", r"\2", text, flags=re.M)
     if "{|" in text:
-        text = re.sub(r"^\{\|.*$\n?|^\|\}\s?|^\|-.*$\n?", "", text, flags=re.M)
+        text = re.sub(r"^\{\|.*$\n?|^\|\}\s?|^\|-(?!-).*$\n?", "", text, flags=re.M)
         text = re.sub(r"^[!|][ \t]*(.*)$", lambda m: "\t".join(x.strip() for x in re.split(r"!!|\|\|", m[1])), text, flags=re.M)
     else:
-        text = re.sub(r"^\|\}\s?|^\|-.*$\n?", "", text, flags=re.M)
+        text = re.sub(r"^\|\}\s?|^\|-(?!-).*$\n?", "", text, flags=re.M)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[https?://[^\s\]]+(?: ([^\]\n]*))?\]", lambda m: m[1] or "", text)
     for _ in range(3):

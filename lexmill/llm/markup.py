@@ -273,6 +273,9 @@ def _from_html(text: str) -> str:
 # --- other notations --------------------------------------------------------------------------------------------------
 
 
+_RULED = re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?$\n?", re.M)
+
+
 def _from_markdown(text: str) -> str:
     parts = re.split(r"^[ \t]*```[^\n]*$", text, flags=re.M)
     for i, p in enumerate(parts):
@@ -280,9 +283,8 @@ def _from_markdown(text: str) -> str:
             parts[i] = "\n".join("    " + x if x.strip() else x for x in p.strip("\n").split("\n"))
             continue
         p = re.sub(r"^ {0,3}#{1,6}[ \t]+(.*?)[ \t]*#*$", r"\1", p, flags=re.M)
-        p = re.sub(r"^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?$\n?", "\x00", p, flags=re.M)
-        if "\x00" in p:
-            p = re.sub(r"^[ \t]*\|(.*)\|[ \t]*$", lambda m: "\t".join(x.strip() for x in m[1].split("|")), p, flags=re.M).replace("\x00", "")
+        if _RULED.search(p):
+            p = re.sub(r"^[ \t]*\|(.*)\|[ \t]*$", lambda m: "\t".join(x.strip() for x in m[1].split("|")), _RULED.sub("", p), flags=re.M)
         p = re.sub(r"!?\[([^\[\]\n]*)\]\((?:https?://|/|#|mailto:|www\.)[^)\s]*\)", r"\1", p)
         p = re.sub(r"^[*+-][ \t]+(?=\*\*)|^[*+][ \t]+(?=[^\W\d_])", "• ", p, flags=re.M)
         p = re.sub(r"^(?:\*[ \t]*){3,}$", "", p, flags=re.M)

@@ -15,20 +15,30 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import scores as S
 from lexmill.functions import text as X
+from lexmill.session import cut
 from lexmill.settings import Settings
 
+#: Terms of a query set that are looked up where the texts lie; a larger set is joined.
+VOCABULARY = 10_000
+
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", settings: Settings = Settings()) -> DataFrame:
     """query_id, key, score: every document that shares a term with a query.
 
-    Only the queries' terms are counted in the documents; document lengths come from the same pass over the text.
+    One pass over the texts gives each document's length and its occurrences of the queries' terms; that is written out
+    (checkpoint), as the corpus's figures are needed before the scores. Nothing of other terms leaves the pass.
     """
     k1, b = settings.bm25_k1, settings.bm25_b
     terms = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(query_text)))).alias("term"))
-    vocabulary = terms.select("term").distinct()
-    sized = docs.select(F.col(key).alias("_key"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select("_key", "_t", F.size("_t").cast("double").alias("dl"))
+    vocabulary = [r["term"] for r in terms.select("term").distinct().orderBy("term").limit(VOCABULARY + 1).collect()]
+    found = X.tokens(F.coalesce(F.col(text), F.lit("")))
+    known = F.filter("_t", lambda t: t.isin(*vocabulary)) if len(vocabulary) <= VOCABULARY else F.col("_t")
+    sized = cut(docs.select(F.col(key).alias("_key"), found.alias("_t")).select("_key", F.size("_t").cast("double").alias("dl"), known.alias("_t")))
     whole = sized.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("w")).scalar()
-    tf = sized.select("_key", "dl", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("_key", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
+    words = sized.select("_key", "dl", F.explode("_t").alias("term"))
+    if len(vocabulary) > VOCABULARY:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    tf = words.groupBy("_key", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weights = df.select("term", "df", whole.alias("_w")).select("term", F.col("_w.avgdl").alias("avgdl"), F.log1p((F.col("_w.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

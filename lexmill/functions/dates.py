@@ -59,3 +59,8 @@ def validity(start: Column, end: Column, status: Column) -> Column:
     low = F.when(kind == "open_start", OPEN_FROM).otherwise(a)
     high = F.when(kind == "open_end", OPEN_TO).otherwise(b)
     return F.struct(F.when(error.isNull(), low).alias("from_day"), F.when(error.isNull(), high).alias("to_day"), kind.alias("status"), error.alias("error"))
+
+
+def pdf_date(c: Column) -> Column:
+    """Day of a PDF's D:yyyymmdd mark."""
+    return F.try_to_date(F.nullif(F.regexp_extract(c, r"^D:(\d{8})", 1), F.lit("")), "yyyyMMdd")

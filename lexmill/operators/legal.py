@@ -119,6 +119,15 @@ def marks(text: str) -> list[re.Match]:
     return list(_MARK.finditer(seen))
 
 
+def _title_after(text: str, at: int) -> str | None:
+    """A line in capitals of up to 90 characters among the next two is a heading's title."""
+    for line in text[at : at + 400].split("\n")[1:3]:
+        t = " ".join(line.split())
+        if t:
+            return t if len(t) <= 90 and t == t.upper() and re.search(r"[A-ZÀ-Ý]{2}", t) and not _MARK.match(t) and not re.match(r"§|\d", t) else None
+    return None
+
+
 def parse(text: str, doc: str = "") -> list[Node]:
     """The nodes of a norm in order of their start. Articles hold what stands below them, headings only themselves; a
     node below an article ends where the next mark begins."""
@@ -167,7 +176,10 @@ def parse(text: str, doc: str = "") -> list[Node]:
                 heads.pop()
             n_heads += 1
             parent = heads[-1] if heads else root
-            node = Node(kind, " ".join(line.split()), at, at + len(line), parent=parent, path=[h.ref for h in heads] + [" ".join(line.split())])
+            ref = " ".join(line.split())
+            if title := _title_after(text, at + len(line)):
+                ref = f"{ref} — {title}"
+            node = Node(kind, ref, at, at + len(line), parent=parent, path=[h.ref for h in heads] + [ref])
             named(node, f"{doc}/header:{n_heads}@{at}")
             heads.append(node)
         elif kind == "anexo":
@@ -301,6 +313,14 @@ def split_spans(text: str, most: int, overlap: int = 0, length: Callable[[str],
     return trimmed
 
 
+def budget(most: int, overlap: int, dense_max: int, prefix: int) -> tuple[int, int]:
+    """Size and overlap left for a chunk's own text beside its prefix and a reserve for its path."""
+    size = min(most, dense_max - prefix - min(64, dense_max // 8))
+    if size <= 0:
+        raise ValueError("the prefix leaves no room")
+    return size, min(overlap, size - 1)
+
+
 def short_caput(caput: str, most: int) -> str:
     """An article's head cut in its middle: 30 % from its start and 70 % from its end."""
     if len(caput) <= most:

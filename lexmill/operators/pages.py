@@ -85,3 +85,22 @@ def span_quality(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.groupBy(*keys).agg(
         F.min("page").alias("page"), F.max("page").alias("page_end"), F.when(F.size(kinds) > 1, "mixed").otherwise(kinds[0]).alias("text_origin"), F.round(F.avg("extraction_confidence"), 4).alias("extraction_confidence")
     )
+
+
+def ocr_confidence(words: Column) -> Column:
+    """Mean of the words' confidences (0 to 100, negative where there is no word) as a share."""
+    known = F.filter(words, lambda c: c >= 0)
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, c: s + c.cast("double")), F.size(known)) / 100
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(mean, F.lit(0.0)))), 4)
+
+
+def choose_text(native: Column, native_conf: Column, ocr: Column, ocr_conf: Column) -> Column:
+    """Struct (text, text_origin, extraction_confidence): the native text unless it is short or doubtful and a scan was
+    read; where reading failed (null) a doubtful text keeps at most 0.35."""
+    doubtful = (F.length(F.trim(F.coalesce(native, F.lit("")))) < 80) | (native_conf < 0.60)
+    read = doubtful & ocr.isNotNull()
+    return F.struct(
+        F.when(read, ocr).otherwise(native).alias("text"),
+        F.when(read, "ocr").otherwise("native").alias("text_origin"),
+        F.when(read, ocr_conf).when(doubtful, F.least(native_conf, F.lit(0.35))).otherwise(native_conf).alias("extraction_confidence"),
+    )

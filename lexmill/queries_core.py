@@ -15,7 +15,7 @@ from lexmill.functions import vectors as V
 from lexmill.operators import acceptance, evaluation, gate, index, legal, metadata, pages, records, retrieval, timestamps
 from lexmill.plans import filters
 from lexmill.session import table
-from lexmill.sources import html
+from lexmill.sources import catalog, courts, html
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -934,6 +934,46 @@ def q_embedding_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", metadata.embedding_prefix(none, F.col("source"), none, none, F.col("lang")).alias("prefix"))
 
 
+@query()
+def q_extract_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """All metadata of every document, from its source, text and nothing given."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("local")), F.lit(".txt")).alias("name"), "text")
+    m = metadata.extract(docs, "name", "text")
+    return m.select("doc_id", "modalidade", "tipo", "processo", "norm_numero", "norm_ano", "source_role", "authority_level", "normative_rank", "regime_juridico", F.array_join("cited_regimes", ",").alias("cited"))
+
+
+@query("SELECT id, authority_level FROM source_catalogue WHERE source_role IN ('orientacao_oficial', 'norma') AND coalesce(follow_links, false) = true AND authority_level <= 3")
+def q_select_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of a run: official guidance and norms whose links are followed."""
+    return catalog.select_sources(table(spark, d, "source_catalogue"), ["orientacao_oficial", "norma"], following=True, most_level=3).select("id", "authority_level")
+
+
+@query("SELECT id, host FROM (SELECT id, regexp_replace(lower(regexp_extract(urls[1], '^[A-Za-z]+://([^/:;?#]+)', 1)), '^www\\.', '') AS host FROM source_catalogue WHERE source_role = 'orientacao_oficial') QUALIFY row_number() OVER (PARTITION BY host ORDER BY id) = 1")
+def q_one_per_host(spark: SparkSession, d: str) -> DataFrame:
+    """The first source of each host."""
+    return catalog.one_per_host(table(spark, d, "source_catalogue"), ["orientacao_oficial"]).select("id", "host")
+
+
+@query("SELECT id, CASE WHEN follow_links THEN least(coalesce(max_follow, 12), 12) ELSE max_follow END AS max_follow FROM source_catalogue")
+def q_runtime_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Limits of following in a run of at most twelve links a page."""
+    return catalog.with_limit(table(spark, d, "source_catalogue"), 12).select("id", "max_follow")
+
+
+@query("SELECT id, (generate_subscripts(list_distinct(urls), 1) - 1)::INT AS place, len(list_distinct(urls))::INT AS n FROM source_catalogue")
+def q_source_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of each source, each once."""
+    u = catalog.urls(table(spark, d, "source_catalogue"))
+    n = table(spark, d, "source_catalogue").select("id", F.size(F.array_distinct("urls")).alias("n"))
+    return u.join(n, "id").select("id", "place", "n")
+
+
+@query()
+def q_process_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Process number and summary found in the full text of decisions."""
+    return table(spark, d, "decisions").where(F.col("inteiro_teor").isNotNull()).select("record_id", courts.process_number(F.col("inteiro_teor")).alias("processo"), F.length(courts.summary_text(F.col("inteiro_teor"))).alias("summary_chars"))
+
+
 # --- legal texts ------------------------------------------------------------------------------------------------------
 
 

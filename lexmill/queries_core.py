@@ -364,10 +364,10 @@ _INTERVALS_SQL = """
              CASE WHEN o_orderstatus = 'O' THEN 'open_end' WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'unknown' END AS status FROM orders)"""
 
 
-@query(f"WITH {_INTERVALS_SQL} SELECT *, NULL::VARCHAR AS error FROM iv")
+@query(f"WITH {_INTERVALS_SQL} SELECT o_orderkey, effective_from_day::VARCHAR AS from_day, effective_to_day::VARCHAR AS to_day, status, coalesce(NULL, '-') AS error FROM iv")
 def q_effective_range(spark: SparkSession, d: str) -> DataFrame:
     """Validity as day numbers, with sentinels only for ends declared open."""
-    return _intervals(spark, d)
+    return _intervals(spark, d).select("o_orderkey", F.col("effective_from_day").cast("string").alias("from_day"), F.col("effective_to_day").cast("string").alias("to_day"), "status", F.coalesce("error", F.lit("-")).alias("error"))
 
 
 @query(f"WITH {_INTERVALS_SQL} SELECT o_orderkey FROM iv WHERE effective_from_day <= 19960615 AND effective_to_day >= 19960615")
@@ -954,10 +954,10 @@ def q_one_per_host(spark: SparkSession, d: str) -> DataFrame:
     return catalog.one_per_host(table(spark, d, "source_catalogue"), ["orientacao_oficial"]).select("id", "host")
 
 
-@query("SELECT id, CASE WHEN follow_links THEN least(coalesce(max_follow, 12), 12) ELSE max_follow END AS max_follow FROM source_catalogue")
+@query("SELECT id, CASE WHEN follow_links THEN least(coalesce(max_follow, 12), 12) ELSE max_follow END::VARCHAR AS max_follow FROM source_catalogue")
 def q_runtime_limits(spark: SparkSession, d: str) -> DataFrame:
     """Limits of following in a run of at most twelve links a page."""
-    return catalog.with_limit(table(spark, d, "source_catalogue"), 12).select("id", "max_follow")
+    return catalog.with_limit(table(spark, d, "source_catalogue"), 12).select("id", F.col("max_follow").cast("string").alias("max_follow"))
 
 
 @query("SELECT id, (generate_subscripts(list_distinct(urls), 1) - 1)::INT AS place, len(list_distinct(urls))::INT AS n FROM source_catalogue")

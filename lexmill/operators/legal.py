@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators.ordering import as_of
 
 #: Levels of headings; a heading closes those of its level and deeper.
 LEVELS = {"norma": 0, "parte": 1, "livro": 2, "titulo": 3, "capitulo": 4, "secao": 5, "subsecao": 6}
@@ -462,9 +463,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", role: Colum
 
 def headings_in_force(points: DataFrame, headings: DataFrame, key: str) -> DataFrame:
     """Adds heading: the last heading at or before each point of a document. points: key, at; headings: key, at, heading."""
-    best = headings.select(key, F.col("at").alias("_h"), F.col("heading"))
-    joined = points.join(best, [key], "left").where(F.col("_h").isNull() | (F.col("_h") <= F.col("at")))
-    return joined.groupBy(key, "at").agg(F.max_by("heading", "_h").alias("heading"))
+    return as_of(points, headings, [key], "at", "heading")
 
 
 def child_kind(mark: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators.ordering import as_of
 
 
 def split_pages(docs: DataFrame, key: str, text: str, mark: str = "\f") -> DataFrame:
@@ -20,11 +21,9 @@ def page_offsets(pages: DataFrame, key: str) -> DataFrame:
 
 
 def page_of(offsets: DataFrame, points: DataFrame, key: str, at: str) -> DataFrame:
-    """Adds page: the last page that starts at or before an offset. An as-of join by union and carry-forward, one sort."""
-    starts = offsets.select(key, F.col("start").alias("_at"), F.col("page").alias("_page"), F.lit(0).alias("_side"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema if f.name != key])
-    asked = points.select(key, F.col(at).cast("bigint").alias("_at"), F.lit(None).cast("int").alias("_page"), F.lit(1).alias("_side"), *[c for c in points.columns if c != key])
-    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return starts.unionByName(asked).withColumn("page", F.last("_page", ignorenulls=True).over(w)).where(F.col("_side") == 1).drop("_at", "_page", "_side")
+    """Adds page: the last page that starts at or before an offset."""
+    marks = offsets.select(key, F.col("start").cast("bigint").alias(at), "page")
+    return as_of(points.withColumn(at, F.col(at).cast("bigint")), marks, [key], at, "page")
 
 
 def confidence(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators.ordering import numbered
 
 COURTS = ["TCU", "TCESP", "STJ", "STF", "TJSP"]
 VOLATILE = ["retrieved_at", "loaded_at", "version_sha256", "sha256"]
@@ -70,8 +71,8 @@ def group_cap(df: DataFrame, group: list[str], order: list[Column], n: int) -> D
 
 
 def interleave(df: DataFrame, arm: str, order: list[Column]) -> DataFrame:
-    """Places rows of several arms in turn: turn (of the arm), then arm."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(arm).orderBy(*order)))
+    """Places rows of several arms in turn: turn (of the arm), then arm. An arm of any size is numbered in many tasks."""
+    return numbered(df, [arm], order, "turn")
 
 
 def too_few(df: DataFrame, group: str, least: int) -> DataFrame:

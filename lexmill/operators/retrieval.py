@@ -99,6 +99,39 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     return top_k(out, k, "query_id", key)
 
 
+def dense_best_per_group(vectors: DataFrame, queries: DataFrame, group: str, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", block: int = 4096) -> DataFrame:
+    """query_id, group, key, score: the nearest row of each group for each query; one scan for each block of queries.
+
+    Each batch of rows keeps one row a query and group, so what is shuffled is as small as the answer, times batches.
+    """
+    sc = vectors.sparkSession.sparkContext
+    fields = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema = f"query_id bigint, {group} {fields[group]}, {key} {fields[key]}, score double"
+    out: DataFrame | None = None
+    rows = queries.select(query_key, vector).where(F.col(vector).isNotNull()).toLocalIterator()
+    while pending := [r for _, r in zip(range(block), rows, strict=False)]:
+        ids = np.array([r[0] for r in pending], dtype=np.int64)
+        q = np.array([r[1] for r in pending], dtype=np.float64)
+        held = sc.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, q = held.value
+            for pdf in batches:
+                pdf = pdf.sort_values(key)
+                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                sim = np.round((x / np.where(n > 0, n, 1)) @ q.T, 6)
+                for g, at in pdf.reset_index(drop=True).groupby(group, dropna=True).indices.items():
+                    best = at[np.argmax(sim[at], axis=0)]  # the first of equals has the smallest key
+                    yield pd.DataFrame({"query_id": ids, group: g, key: pdf[key].to_numpy()[best], "score": sim[best, np.arange(len(ids))]})
+
+        got = vectors.where(F.col(vector).isNotNull()).select(key, vector, group).mapInPandas(scan, schema)
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return best_per_group(out, ["query_id", group], key)
+
+
 def fuse(arms: list[DataFrame], k: int, key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (query_id, key, rank from 1): query_id, key, score, rank."""
     rows = [a.select("query_id", key, (1.0 / (settings.rrf_k + F.col("rank") - 1 + settings.rank_base)).alias("part")) for a in arms]
@@ -145,18 +178,20 @@ def expand(hits: DataFrame, chunks: DataFrame, settings: Settings = Settings(),
     """Chunks of the hits' units within ``context_neighbors`` of a hit, and the first chunk of an article.
 
     hits: unit columns source, unit_id, chunk_index, evidence; chunks: source, unit_id, unit_kind, chunk_index and more.
-    The join is on the unit; the distance is checked within it. Adds is_hit, evidence, priority, distance.
+    Each hit names the places it asks for; these are put together by place before an equi-join with the chunks, so a
+    unit of many chunks and hits forms no pairs. Adds is_hit, evidence, priority, distance.
     """
     n = settings.context_neighbors
-    h = hits.select(F.col("source").alias("_s"), F.col("unit_id").alias("_u"), F.col("chunk_index").alias("_c"), F.col("evidence").alias("_e"))
-    unit = (chunks["source"] == h["_s"]) & (chunks["unit_id"] == h["_u"]) & (F.length("source") > 0) & (F.length("unit_id") > 0)
-    near = F.abs(F.col("chunk_index") - F.col("_c"))
+    here = F.col("chunk_index")
+    asked = F.array_union(F.sequence(here - n, here + n), F.array(F.lit(first)))
+    h = hits.where((F.length("source") > 0) & (F.length("unit_id") > 0)).select("source", "unit_id", F.col("evidence").alias("_e"), here.alias("_c"), F.explode(asked).alias("chunk_index"))
+    far = F.abs(F.col("chunk_index") - F.col("_c"))
+    near = F.when(far <= n, F.col("_e"))
+    wanted = h.groupBy("source", "unit_id", "chunk_index").agg(F.max(F.when(far == 0, F.col("_e"))).alias("evidence"), F.max(near).alias("_near"), F.max("_e").alias("_any"), F.min(far).alias("distance"))
     forced = (F.col("unit_kind") == "artigo") & (F.col("chunk_index") == first)
-    found = chunks.join(h, unit).where((near <= n) | forced)
-    others = [c for c in chunks.columns if c not in ("source", "unit_id", "chunk_index")]
-    return found.groupBy("source", "unit_id", "chunk_index", *others).agg(
-        F.max(F.when(near == 0, F.col("_e"))).alias("evidence"), F.max("_e").alias("priority"), F.min(near).alias("distance"), (F.min(near) == 0).alias("is_hit")
-    )
+    # chunks delivered twice count once; the join's partitioning serves
+    found = chunks.join(wanted, ["source", "unit_id", "chunk_index"]).where(F.col("_near").isNotNull() | forced).dropDuplicates()
+    return found.withColumn("priority", F.when(forced, F.col("_any")).otherwise(F.col("_near"))).withColumn("is_hit", F.col("distance") == 0).drop("_near", "_any")
 
 
 def context_order() -> list[Column]:

@@ -198,15 +198,8 @@ def q_empty_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {dense_sql(10**9)} SELECT query_id, label, arg_max(vec_id, (score, -vec_id)) AS vec_id, max(score) AS score FROM sims GROUP BY query_id, label")
 def q_base_context_top1(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest vector of each label for each query: one aggregation over blocks of queries."""
-    v = _vectors(spark, d)
-    asked = _vector_questions(spark, d)
-    labels = [r[0] for r in v.select("label").distinct().collect()]  # the base sources, a few
-    out = None
-    for x in sorted(labels):
-        got = retrieval.dense_top_k(v.where(F.col("label") == x), asked, 1, extra=["label"])
-        out = got if out is None else out.unionByName(got)
-    return out.select("query_id", "label", "vec_id", "score")
+    """The nearest vector of each label for each query: one scan, one small aggregation."""
+    return retrieval.dense_best_per_group(_vectors(spark, d), _vector_questions(spark, d), "label").select("query_id", "label", "vec_id", "score")
 
 
 @query(
@@ -828,7 +821,7 @@ def q_page_of_offset(spark: SparkSession, d: str) -> DataFrame:
     """The page of an offset: as-of join."""
     offsets = pages.page_offsets(_pages(spark, d), "doc_id")
     points = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array(*[F.lit(x) for x in (0, 500, 1000, 2000)])).alias("at"))
-    return pages.page_of(offsets, points.withColumn("_off", F.col("at")), "doc_id", "_off").select("doc_id", "at", "page")
+    return pages.page_of(offsets, points, "doc_id", "at").select("doc_id", F.col("at").cast("int").alias("at"), "page")
 
 
 @query()

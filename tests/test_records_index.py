@@ -78,8 +78,8 @@ def test_pages(spark):
     docs = spark.createDataFrame([(1, "TOPO\num texto\n9\fTOPO\noutro con-\n texto\n10\fLEI X\nfim"), (2, None)], "doc_id int, t string")
     p = P.split_pages(docs, "doc_id", "t")
     assert [(r["page"], r["start"]) for r in P.page_offsets(p, "doc_id").orderBy("page").collect()] == [(1, 0), (2, 16), (3, 42)]
-    pts = spark.createDataFrame([(1, 0), (1, 15), (1, 16), (1, 999)], "doc_id int, at int").withColumn("off", F.col("at"))
-    assert sorted((r["at"], r["page"]) for r in P.page_of(P.page_offsets(p, "doc_id"), pts, "doc_id", "off").collect()) == [(0, 1), (15, 1), (16, 2), (999, 3)]
+    pts = spark.createDataFrame([(1, 0), (1, 15), (1, 16), (1, 999)], "doc_id int, at int")
+    assert sorted((r["at"], r["page"]) for r in P.page_of(P.page_offsets(p, "doc_id"), pts, "doc_id", "at").collect()) == [(0, 1), (15, 1), (16, 2), (999, 3)]
     assert [(r["line"], r["pages"]) for r in P.repeated_edges(p, "doc_id").collect()] == [("topo", 2)]
     assert {r["page"]: r["page_text"] for r in P.without_edges(p, "doc_id").collect()}[1] == "um texto\n9"
     clean = [r[0] for r in p.orderBy("page").select(P.sanitize(F.col("page_text"))).collect()]
@@ -94,3 +94,18 @@ def test_metadata(spark):
     assert tuple(r["h"]) == ("lei", "14133", 2021) and r["p"] == "12/2020" and r["m"] == "Pregão Eletrônico" and r["c"] == ["lei_14133", "lei_8666", "lei_10520"] and r["r"] == "lei_14133"
     names = spark.createDataFrame([("sp-lei14133.txt",), ("acordao_tcu.pdf",), ("lei_1.txt",), ("nada.txt",)], "n string")
     assert [(x["ambiguous"], x["source_role"]) for x in (r[0] for r in names.select(M.source_rules(F.col("n"))).collect())] == [(True, "desconhecido"), (False, "jurisprudencia_controle"), (False, "norma"), (False, "desconhecido")]
+
+
+def test_numbered_and_as_of(spark):
+    from lexmill.operators.ordering import as_of, numbered
+
+    rows = [("a" if i % 5 else None, (i * 7919) % 1000, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, o int, i int").repartition(9)
+    got = {(r["g"], r["i"]): r["place"] for r in numbered(df, ["g"], [F.col("o"), F.col("i")], "place").collect()}
+    for g in ("a", None):
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))
+        assert [got[(g, r[2])] for r in want] == list(range(1, len(want) + 1))
+    assert numbered(df.limit(0), ["g"], [F.col("i")], "place").count() == 0
+    pts = spark.createDataFrame([("k", 1, "p"), ("k", 5, "q"), ("k", 5, "r"), ("m", 3, "s")], "key string, at int, x string")
+    marks = spark.createDataFrame([("k", 5, "five"), ("k", 2, "two"), ("z", 1, "no")], "key string, at int, v string")
+    assert {(r["x"], r["v"]) for r in as_of(pts, marks, ["key"], "at", "v").collect()} == {("p", None), ("q", "five"), ("r", "five"), ("s", None)}

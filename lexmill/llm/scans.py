@@ -61,7 +61,7 @@ _MAY_BREAK = re.compile(r"[-‐¬\xad\x90¨≠](?: ?\n| [a-zß-öø-ÿ])")
 _MAY_MIX = re.compile(rf"[@|\dﬁﬂ](?:(?=[{L}])|(?<=[{L}].))")
 _MAY_SPACE = re.compile(rf" [{L}] [{L}] [{L}](?![{L}])")
 _BARE = re.compile(r"\d{1,4}")
-_WANTS_NUMBER = re.compile(r"(?:nº|n°|arts?\.|§§?|R\$|inciso|item|de|às?|os?|das?|em|e|[,;|\t]|\d)$", re.I)
+_WANTS_NUMBER = re.compile(r"(?:nº|n°|arts?\.|§§?|R\$|inciso|item|[|\t])$", re.I)
 #: Sections stand on lines of their own and are no headers of pages.
 _SECTION = re.compile(r"(?:RELATÓRIO|VOTO|DISPOSITIVO|EMENTA|ACÓRDÃO|DECISÃO|TESE|CONCLUSÃO|ANEXO(?: [IVXLC]+| ÚNICO)?)")
 

@@ -28,6 +28,8 @@ from lexmill.session import cut
 
 #: Marked letters and signs of Portuguese.
 MARKED = "áàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇºª"
+#: Signs that are restored beside letters of the same pair only.
+SIGNS = "§°«»·©½²³"
 _PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CONTEXT = frozenset(_PLAIN + MARKED)
 _AROUND = re.compile(f"[{MARKED}]")
@@ -94,13 +96,13 @@ def one_as() -> list[tuple[str, dict[int, str]]]:
     out = []
     for was, read in ONE_AS:
         table = {}
-        for c in MARKED + "§°":
+        for c in MARKED + SIGNS:
             try:
                 g = _read(c.encode(was), read)
             except UnicodeEncodeError:
                 continue
             if g != c:
-                table[ord(g)] = c
+                table.setdefault(ord(g), c)
         out.append((f"{was}>{read}", table))
     return out
 
@@ -116,7 +118,7 @@ SUSPECT = (
 
 
 #: What a restored word may consist of.
-_PROPER = re.compile(rf"[\x21-\x7e{MARKED}§°–—‐\xad¬…“”‘’]*")
+_PROPER = re.compile(rf"[\x21-\x7e{MARKED}§°«»·©½²³–—‐\xad¬…“”‘’]*")
 #: A word of the lexicon is at least this share of all marked words: the lexicon has at most 1 / WORD_SHARE entries.
 WORD_SHARE = 1e-5
 _MARKED_WORD = re.compile(rf"(?<![A-Za-z{MARKED}])[A-Za-z]*[{MARKED}][A-Za-z{MARKED}]*")
@@ -179,12 +181,12 @@ class Restorer:
             for i, (a, b) in enumerate(zip(word, new, strict=True)):
                 if a == b:
                     continue
-                n = self._count(new, i) if b not in "§°" else self.least
+                n = self._count(new, i) if b not in SIGNS else self.least
                 if n < self.least or not self._case(new, i) or n < 20 * (self._count(word, i) if a in MARKED else 0):
                     low = 0
                     break
                 low = min(low, n)
-                firm |= b not in "§°" and (word[i - 1 : i].isalpha() or word[i + 1 : i + 2].isalpha() or word[i - 1 : i].isdigit() and a.isalpha())
+                firm |= b not in SIGNS and (word[i - 1 : i].isalpha() or word[i + 1 : i + 2].isalpha() or word[i - 1 : i].isdigit() and a.isalpha())
             if low and _PROPER.fullmatch(new) and (firm or only is not None) and (best is None or low > best[0]):
                 best = (low, new, pair)
         return best and (best[1], best[2])

@@ -13,8 +13,10 @@ MONTHS = "jan fev mar abr mai jun jul ago set out nov dez".split()
 
 
 def date_key(c: Column) -> Column:
-    """yyyyMMdd as a number; null for what is no date."""
-    return F.date_format(F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"), "yyyyMMdd").cast("int")
+    """yyyyMMdd as a number; null for what is no ISO date."""
+    day = F.substring(c, 1, 10)
+    d = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
+    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
 
 def _month(c: Column) -> Column:
@@ -45,20 +47,26 @@ def validity(start: Column, end: Column, status: Column) -> Column:
     Without a declared status an interval with both ends is closed, any other unknown. A missing end takes a sentinel
     only where the status declares it open; so unknown intervals satisfy no temporal filter.
     """
-    a, b = date_key(start), date_key(end)
-    kind = F.coalesce(X.blank_to_null(status), F.when(a.isNotNull() & b.isNotNull(), "closed").otherwise("unknown"))
-    error = (
-        F.when(~kind.isin("closed", "open_start", "open_end", "unknown"), "status")
-        .when(start.isNotNull() & (F.length(F.trim(start)) > 0) & a.isNull(), "from")
-        .when(end.isNotNull() & (F.length(F.trim(end)) > 0) & b.isNull(), "to")
-        .when((kind == "closed") & (a.isNull() | b.isNull()), "closed needs both")
-        .when((kind == "open_start") & (a.isNotNull() | b.isNull()), "open_start needs only to")
-        .when((kind == "open_end") & (b.isNotNull() | a.isNull()), "open_end needs only from")
-        .when(a > b, "order")
-    )
-    low = F.when(kind == "open_start", OPEN_FROM).otherwise(a)
-    high = F.when(kind == "open_end", OPEN_TO).otherwise(b)
-    return F.struct(F.when(error.isNull(), low).alias("from_day"), F.when(error.isNull(), high).alias("to_day"), kind.alias("status"), error.alias("error"))
+    filled = lambda c: c.isNotNull() & (F.length(F.trim(c)) > 0)
+
+    def made(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        kind = F.coalesce(x["s"], F.when(a.isNotNull() & b.isNotNull(), "closed").otherwise("unknown"))
+        error = (
+            F.when(~kind.isin("closed", "open_start", "open_end", "unknown"), "status")
+            .when(x["has_a"] & a.isNull(), "from")
+            .when(x["has_b"] & b.isNull(), "to")
+            .when((kind == "closed") & (a.isNull() | b.isNull()), "closed needs both")
+            .when((kind == "open_start") & (a.isNotNull() | b.isNull()), "open_start needs only to")
+            .when((kind == "open_end") & (b.isNotNull() | a.isNull()), "open_end needs only from")
+            .when(a > b, "order")
+        )
+        low = F.when(kind == "open_start", OPEN_FROM).otherwise(a)
+        high = F.when(kind == "open_end", OPEN_TO).otherwise(b)
+        return F.struct(F.when(error.isNull(), low).alias("from_day"), F.when(error.isNull(), high).alias("to_day"), kind.alias("status"), error.alias("error"))
+
+    read = F.struct(date_key(start).alias("a"), date_key(end).alias("b"), F.coalesce(filled(start), F.lit(False)).alias("has_a"), F.coalesce(filled(end), F.lit(False)).alias("has_b"), X.blank_to_null(status).alias("s"))
+    return X.once(read, made)
 
 
 def pdf_date(c: Column) -> Column:

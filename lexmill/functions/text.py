@@ -84,10 +84,15 @@ def query_terms(c: Column) -> Column:
     return F.filter(found, keep)
 
 
+def once(c: Column, use) -> Column:
+    """``use(c)`` with c evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def term_hits(terms: Column, text: Column) -> Column:
     """How many of the terms begin a word of the text."""
-    low = fold(text)
-    return F.size(F.filter(terms, lambda t: F.concat(F.lit(" "), F.regexp_replace(low, r"[^a-z0-9./]+", " ")).contains(F.concat(F.lit(" "), t))))
+    words = F.concat(F.lit(" "), F.regexp_replace(fold(text), r"[^a-z0-9./]+", " "))
+    return once(words, lambda w: F.size(F.filter(terms, lambda t: F.contains(w, F.concat(F.lit(" "), t)))))
 
 
 def terms_match(terms: Column, hits: Column) -> Column:
@@ -104,11 +109,14 @@ def query_variants(c: Column) -> Column:
 
 def holds_any(c: Column, markers: list[str]) -> Column:
     """Whether the folded text holds any of the markers."""
-    low = fold(c)
-    out = F.lit(False)
-    for m in markers:
-        out = out | low.contains(m)
-    return F.coalesce(out, F.lit(False))
+    marks = F.array(*[F.lit(m) for m in markers])
+    return F.coalesce(once(fold(c), lambda low: F.exists(marks, lambda m: F.contains(low, m))), F.lit(False))
+
+
+def count_held(c: Column, markers: list[str]) -> Column:
+    """How many of the markers the folded text holds."""
+    marks = F.array(*[F.lit(m) for m in markers])
+    return F.coalesce(once(fold(c), lambda low: F.size(F.filter(marks, lambda m: F.contains(low, m)))), F.lit(0))
 
 
 # --- cleaning ---------------------------------------------------------------------------------------------------------

@@ -18,9 +18,7 @@ def substantive_lines(c: Column, least: int = 40) -> Column:
 
 def looks_like_shell(c: Column) -> Column:
     """Two or more signs of a shell and hardly any substance."""
-    low = X.fold(F.coalesce(c, F.lit("")))
-    signs = sum((low.contains(s).cast("int") for s in SHELL[1:]), low.contains(SHELL[0]).cast("int"))
-    return (signs >= 2) & (substantive_lines(c) <= 8)
+    return (X.count_held(c, SHELL) >= 2) & (substantive_lines(c) <= 8)
 
 
 def density(c: Column) -> Column:
@@ -45,12 +43,4 @@ def reject_reason(c: Column, norm: Column, least_chars: int = 800, least_lines:
 
 def topic_match(title: Column, body: Column, wanted: list[str], excluded: list[str]) -> Column:
     """A wanted word in the title, or two in the body and none excluded."""
-    t, b = X.fold(F.coalesce(title, F.lit(""))), X.fold(F.coalesce(body, F.lit("")))
-    in_title = F.lit(False)
-    hits, bad = F.lit(0), F.lit(False)
-    for w in wanted:
-        in_title = in_title | t.contains(w)
-        hits = hits + b.contains(w).cast("int")
-    for w in excluded:
-        bad = bad | b.contains(w)
-    return in_title | ((hits >= 2) & ~bad)
+    return X.holds_any(title, wanted) | ((X.count_held(body, wanted) >= 2) & ~X.holds_any(body, excluded))

@@ -60,34 +60,44 @@ def identifiers(c: Column) -> Column:
 
 def overlap(claim: Column, cited: Column) -> Column:
     """Struct (direct, stems, shared): shares of the claim's tokens and stems found in the cited text; 1, 0, 0 for a claim of no tokens."""
-    a, b = X.evidence_tokens(claim), X.evidence_tokens(cited)
-    sa, sb = X.evidence_stems(claim), X.evidence_stems(cited)
-    n = F.size(a)
-    return F.struct(
-        F.when(n == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(a, b)), n)).alias("direct"),
-        F.when(n == 0, F.lit(0.0)).otherwise(F.try_divide(F.size(F.array_intersect(sa, sb)), F.size(sa))).alias("stems"),
-        F.when(n == 0, F.lit(0)).otherwise(F.size(F.array_intersect(sa, sb))).alias("shared"),
-    )
+    def made(x: Column) -> Column:
+        n = F.size(x["a"])
+        shared = F.size(F.array_intersect(x["sa"], x["sb"]))
+        return F.struct(
+            F.when(n == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(x["a"], x["b"])), n)).alias("direct"),
+            F.when(n == 0, F.lit(0.0)).otherwise(F.try_divide(shared, F.size(x["sa"]))).alias("stems"),
+            F.when(n == 0, F.lit(0)).otherwise(shared).alias("shared"),
+        )
+
+    def stemmed(x: Column) -> Column:
+        stems = lambda t: F.array_distinct(F.transform(t, X.stem))
+        return X.once(F.struct(x["a"].alias("a"), x["b"].alias("b"), stems(x["a"]).alias("sa"), stems(x["b"]).alias("sb")), made)
+
+    return X.once(F.struct(X.evidence_tokens(claim).alias("a"), X.evidence_tokens(cited).alias("b")), stemmed)
 
 
 def line_fault(line: Column, sources: Column, settings: Settings = Settings()) -> Column:
     """Why a line fails; null where it passes. sources: array of texts, the first is F1."""
-    claim, cited_nos = factual(line), citations(line)
-    words = X.evidence_tokens(claim)
-    cited = F.concat_ws(" ", F.transform(F.array_sort(cited_nos), lambda i: F.coalesce(F.try_element_at(sources, i), F.lit(""))))
-    got = overlap(claim, cited)
-    compares = X.holds_any(claim, COMPARATIVE) & ~X.holds_any(cited, COMPARATIVE)
-    key = identifier_key(cited)
-    unknown = F.exists(identifiers(claim), lambda i: ~F.contains(key, i))
-    weak = (F.size(words) >= 3) & (got["direct"] < settings.evidence_overlap) & ~((got["shared"] >= settings.min_shared_stems) & (got["stems"] >= settings.stem_overlap))
-    return (
-        F.when(is_form(line), F.lit(None))
-        .when((F.size(cited_nos) == 0) & (F.size(F.array_except(words, F.array(*[F.lit(w) for w in FREE]))) > 0), "uncited")
-        .when(F.size(cited_nos) == 0, F.lit(None))
-        .when(compares, "comparison")
-        .when(unknown, "identifier")
-        .when(weak, "overlap")
-    )
+    free = F.array(*[F.lit(w) for w in FREE])
+
+    def judged(x: Column) -> Column:
+        claim, nos, words = x["claim"], x["nos"], x["words"]
+        cited = F.concat_ws(" ", F.transform(F.array_sort(nos), lambda i: F.coalesce(F.try_element_at(sources, i), F.lit(""))))
+
+        def against(c: Column) -> Column:
+            compares = X.holds_any(claim, COMPARATIVE) & ~X.holds_any(c, COMPARATIVE)
+            unknown = X.once(identifier_key(c), lambda key: F.exists(identifiers(claim), lambda i: ~F.contains(key, i)))
+            weak = X.once(overlap(claim, c), lambda got: (F.size(words) >= 3) & (got["direct"] < settings.evidence_overlap) & ~((got["shared"] >= settings.min_shared_stems) & (got["stems"] >= settings.stem_overlap)))
+            return F.when(compares, "comparison").when(unknown, "identifier").when(weak, "overlap")
+
+        return (
+            F.when((F.size(nos) == 0) & (F.size(F.array_except(words, free)) > 0), "uncited")
+            .when(F.size(nos) == 0, F.lit(None))
+            .otherwise(X.once(cited, against))
+        )
+
+    parts = F.struct(factual(line).alias("claim"), citations(line).alias("nos"), X.evidence_tokens(factual(line)).alias("words"))
+    return F.when(is_form(line), F.lit(None)).otherwise(X.once(parts, judged))
 
 
 def verdict(answer: Column, sources: Column, settings: Settings = Settings()) -> Column:

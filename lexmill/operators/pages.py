@@ -30,9 +30,9 @@ def confidence(c: Column) -> Column:
     """Trust in extracted text: visible share x letters and digits x amount x share of characters not lost."""
     t = F.coalesce(c, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    solid = F.length(F.regexp_replace(t, r"\s", ""))
-    visible = F.length(F.regexp_replace(t, r"[^\P{C}\r\n\t]", "")) / n
-    alnum = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")) / F.greatest(solid, F.lit(1)).cast("double")
+    solid = F.length(F.regexp_replace(t, r"\s+", ""))
+    visible = F.length(F.regexp_replace(t, r"[^\P{C}\r\n\t]+", "")) / n
+    alnum = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")) / F.greatest(solid, F.lit(1)).cast("double")
     lost = (F.length(t) - F.length(F.regexp_replace(t, "�", ""))) / n
     value = visible * F.least(F.lit(1.0), alnum * 1.15) * F.least(F.lit(1.0), solid / 180.0) * (1 - lost)
     return F.when(solid == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4))

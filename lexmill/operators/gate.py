@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.settings import Settings
 
+#: Fixed value: how a source is cited.
 CITATION = r"(?i)(?:\[|【|\()\s*F(\d+)\s*(?:\]|】|\))"
-#: Words that alone need no source.
+#: Words that alone need no source.
 FREE = "resposta segue conforme abaixo observacao observação".split()
 #: Words that compare or rank.
 COMPARATIVE = ["mesma norma", "mesma regra", "equivalente", "igual", "indistinta", "prevalece", "sempre", "igualdade", "abrange", "precede", "aplica-se", "aplica se", "sempre prevalece"]
-#: Legal identifiers: laws, articles, numbers with bars or hyphens.
+#: Patterns of legal identifiers (laws, articles, numbers with bars or hyphens).
 IDENTIFIERS = [
     r"(?i)\blei\s+(?:n[ºo.]*\s*)?\d+[.]?\d*(?:/\d{4})?",
     r"(?i)\bart(?:igo)?[.]?\s*\d+[A-Za-z-]*(?:\s*,?\s*§\s*\d+[ºo]?)?",

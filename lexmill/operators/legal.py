@@ -44,6 +44,7 @@ _MARK = re.compile(
 )
 #: In text that lost its line ends a mark may follow the end of a sentence.
 _FLAT = re.compile(rf"(?<=[.;:”\"])[ \t]+(?=(?:Art\.[ \t]*{_NUMBER}[ \t]+[A-ZÀ-Ý]|§[ \t]*(?:\d+[ºo°]|[uú]nico)[ \t]+[A-ZÀ-Ý]|(?:{_ROMAN})[ \t]+[–—-][ \t]))")
+#: What follows or precedes an article that is only cited.
 _CITED = re.compile(r"^[ \t]+(?:d[aoe]s?)[ \t]+(?:CF|C\.F|Constitui|Lei|C[oó]digo|CPC|CC\b|CLT|STF|STJ|TCU|TCESP|TJSP)", re.I)
 _CITING = re.compile(r"\b(?:[oa]s?|n[oa]s?|d[oae]s?|em|ao|à|conforme|segundo|previsto|disposto|artigos?|arts?\.?|inciso|c/c|e)[ \t]*$", re.I)
 _CHANGES = re.compile(r"passa(?:m)? a vigorar|fica(?:m)? (?:acrescid|acrescentad|inserid|inclu[ií]d)|acrescenta|inclui-se|reda[cç][aã]o", re.I)

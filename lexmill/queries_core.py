@@ -12,7 +12,7 @@ from lexmill.functions import dates as D
 from lexmill.functions import scores as S
 from lexmill.functions import text as X
 from lexmill.functions import vectors as V
-from lexmill.operators import acceptance, evaluation, gate, index, legal, metadata, pages, records, retrieval, timestamps
+from lexmill.operators import acceptance, ann, evaluation, gate, index, legal, metadata, pages, records, retrieval, timestamps
 from lexmill.plans import filters
 from lexmill.session import table
 from lexmill.sources import catalog, courts, html
@@ -131,6 +131,21 @@ def _dense_docs(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
     return retrieval.dense_top_k(_vectors(spark, d), asked, k).withColumnRenamed("vec_id", "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
+@query()
+def q_ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate dense search: 10 nearest from an inverted-file index of all rows."""
+    v = _vectors(spark, d)
+    c = ann.fit(v, 16)
+    return ann.search(ann.assign(v, c), c, _vector_questions(spark, d), 10, 12)  # these vectors have hardly any clusters
+
+
+@query("SELECT true AS enough")
+def q_ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether its mean recall against the exact search is 0.9 or more."""
+    r = ann.recall(q_ann_topk(spark, d), _dense(spark, d, 10).select("query_id", "vec_id"))
+    return r.agg((F.avg("recall") >= 0.9).alias("enough"))
+
+
 _ARM_SQL = """
     v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
     sims AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.e, b.e), 6) AS score

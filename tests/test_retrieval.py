@@ -91,3 +91,25 @@ def test_vectors(spark):
 def test_settings():
     assert Settings().checked() is not None
     assert len(Settings(chunk_overlap=2000, final_k=99, weight_evidence=0.9, candidates_k=0).errors()) == 4
+
+
+def test_inverted_file(spark, tmp_path):
+    from lexmill.operators import ann
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, [0.0] * 16)], "vec_id long, embedding array<double>").repartition(6)
+    c = ann.fit(df, 12)
+    assert np.allclose(c, ann.fit(df.repartition(3), 12))
+    indexed = ann.assign(df, c)
+    assert indexed.count() == 3000
+    q = df.where("vec_id % 20 = 0 and vec_id < 3000").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = R.dense_top_k(df.where("vec_id < 3000"), q, 10)
+    every = ann.search(indexed, c, q, 10, 12)
+    assert {tuple(r) for r in every.select("query_id", "vec_id", "rank").collect()} == {tuple(r) for r in exact.select("query_id", "vec_id", "rank").collect()}
+    indexed.write.partitionBy("list_id").parquet(str(tmp_path / "ivf"))
+    few = ann.search(spark.read.parquet(str(tmp_path / "ivf")), c, q, 10, 3, block=40)
+    assert ann.recall(few, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    none = df.limit(0)
+    assert ann.search(ann.assign(none, ann.fit(none, 4)), ann.fit(none, 4), q, 3, 2).count() == 0

@@ -7,6 +7,11 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 class Embedder(Protocol):
     """Texts to vectors of one size."""
@@ -108,3 +113,34 @@ def ask_with_repair(generate: Generator, prompt: str, check: Callable[[str], str
         return answer
     repaired = generate.generate(f"{prompt}\n\nCorrija somente as citações ({reason}):\n{answer}", repair_tokens)
     return repaired if check(repaired) is None else refusal
+
+
+def embedded(embedder: Embedder, text: Column, batch: int = 64) -> Column:
+    """Vectors of a text column through an embedder that can be sent to the workers; null for null."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(v: pd.Series) -> pd.Series:
+        given = [i for i, x in enumerate(v) if x is not None]
+        out: list[list[float] | None] = [None] * len(v)
+        for i, x in zip(given, embed_all(embedder, [v.iloc[i] for i in given], batch), strict=True):
+            out[i] = x
+        return pd.Series(out)
+
+    return run(text)
+
+
+def reranked(reranker: Reranker, question: Column, text: Column) -> Column:
+    """Scores of texts for questions; rows of one question in a batch are scored together, null for a null text."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(q: pd.Series, t: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(t), dtype="Float64")
+        known = pd.DataFrame({"q": q.to_numpy(), "t": t.to_numpy()}).dropna()
+        for asked, part in known.groupby("q"):
+            scores = reranker.rerank(asked, part["t"].tolist())
+            if len(scores) != len(part):
+                raise ProviderError("the reranker gave another number of scores")
+            out.iloc[part.index] = scores
+        return out.astype("float64")
+
+    return run(question, text)

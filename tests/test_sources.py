@@ -137,3 +137,18 @@ def test_stems(spark):
     words = ["licitacoes", "pagamento", "contratos", "ver", "administradores", "rapidamente"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(X.stem(F.col("w"))).collect()]
     assert got == ["licit", "pagamento", "contrat", "ver", "administr", "rapida"]
+
+
+def test_model_columns(spark):
+    class Lengths:
+        size = 1
+
+        def embed(self, texts):
+            return [[float(len(t))] for t in texts]
+
+        def rerank(self, question, texts):
+            return [float(len(set(question.split()) & set(t.split()))) for t in texts]
+
+    df = spark.createDataFrame([("a b", "a b c"), ("a b", "x"), ("q", None), (None, "b")], "q string, t string").coalesce(1)
+    assert [r[0] for r in df.select(ports.embedded(Lengths(), F.col("t"), 2)).collect()] == [[5.0], [1.0], None, [1.0]]
+    assert [r[0] for r in df.select(ports.reranked(Lengths(), F.col("q"), F.col("t"))).collect()] == [2.0, 0.0, None, None]

@@ -261,12 +261,14 @@ def without(text: str, found: list[Leak]) -> str:
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
     """The items in blocks: the test set is a stated query set, brought to the workers block by block."""
     block: list[tuple] = []
+    given = False
     for r in items.select("item_id", "passage", "query", "answer").toLocalIterator():
         block.append(tuple(r))
         if len(block) == BLOCK:
             yield block
-            block = []
-    yield block
+            block, given = [], True
+    if block or not given:
+        yield block
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from lexmill.session import cut
 WORD_SHARE, PAIR_SHARE = 2e-6, 4e-6
 L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _TOKEN = re.compile(rf"[{L}]+")
+#: Letters and signs that stand beside a word only where it was decoded wrongly.
+_ODD = re.compile(rf"[^\x00-\x7f{L}§°ºª“”‘’–—•…«»\xa0‐¬\xadﬁﬂ]")
 _ANY = re.compile(rf"[{L}\d@|ﬁﬂ]+")
 #: Hyphens at line ends, as written and as they look when garbled afterwards.
 _HYPHEN = r"(?:-|‐|¬|(?<!Ã)\xad|Â[¬\xad]|â[€\x80]\x90|¬[¨≠])"
@@ -264,11 +266,13 @@ class Repairer:
             tokens = [m.group() for m in found]
             if wanted.isdisjoint(tokens):
                 continue
-            options = [self.lexicon.candidates(t) if t in suspects or t in mixed else () for t in tokens]
+            # pieces of a word whose other letters were decoded wrongly are no misreadings
+            whole = [not _ODD.match(line, m.end()) and not (m.start() and _ODD.match(line, m.start() - 1)) for m in found]
+            options = [self.lexicon.candidates(t) if w and (t in suspects or t in mixed) else () for t, w in zip(tokens, whole, strict=True)]
             chosen = self.lexicon.line(tokens, options)
             out, at = [], 0
-            for m, t, w, o in zip(found, tokens, chosen, options, strict=True):
-                if w is None and t in mixed and not o:  # a name: no frequent word, but plainly misread
+            for m, t, w, o, ok in zip(found, tokens, chosen, options, whole, strict=True):
+                if w is None and t in mixed and not o and ok:  # a name: no frequent word, but plainly misread
                     w = "".join(CONFUSIONS[c][0][0] if c in _SIGNS else c for c in t.lower())
                 if w is not None and w != t.lower():
                     n += 1

@@ -405,7 +405,9 @@ def q_temporal_parse(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "item_id bigint, on string, start string, end string")
 
 
-@query()
+@query(
+    "SELECT record_id, tribunal, tipo_documento FROM decisions WHERE tribunal IN ('TCU', 'TCESP') AND tipo_documento = 'acordao'"
+)
 def q_inline_filters(spark: SparkSession, d: str) -> DataFrame:
     """A question with inline filters made into one pushed predicate over the decisions."""
     plan = filters.plan("@tribunal=TCU,TCESP @tipo_documento=acordao o que diz a lei sobre reajuste")
@@ -538,7 +540,12 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", "expected_accept", F.concat(F.coalesce("answer", F.lit("")), mark).alias("answer"), F.array("passage", "query").alias("sources"))
 
 
-@query()
+@query(
+    """
+    SELECT item_id, coalesce(answer, '') || CASE WHEN case_type IN ('false_premise', 'uncited') THEN '' WHEN case_type = 'out_of_corpus' THEN ' [F7]' ELSE ' [F1]' END AS answer,
+           CASE WHEN case_type IN ('false_premise', 'uncited') THEN '' WHEN case_type = 'out_of_corpus' THEN '7' ELSE '1' END AS cited FROM eval_items
+    """
+)
 def q_gate_citations(spark: SparkSession, d: str) -> DataFrame:
     """Citations of answers in their normal form."""
     a = _answers(spark, d)
@@ -660,7 +667,23 @@ def q_record_validate(spark: SparkSession, d: str) -> DataFrame:
     return df.select("record_id", F.array_join(records.faults(df), ",").alias("faults"))
 
 
-@query()
+def _label_sql(name: str, c: str, part: bool = False) -> str:
+    head = f"chr(10) || '{name}:' || chr(10)" if part else f"'{name}: '"
+    return f"CASE WHEN length(trim(coalesce({c}, ''))) > 0 THEN {head} || trim({c}) END"
+
+
+_LABELS_SQL = ", ".join(
+    [_label_sql(n, c) for n, c in (("TRIBUNAL", "tribunal"), ("PROCESSO", "numero_processo"), ("SÚMULA", "numero_sumula"), ("DECISÃO Nº", "numero_decisao"), ("RELATOR", "relator"), ("ÓRGÃO", "orgao_julgador"), ("SITUAÇÃO", "situacao"))]
+    + [_label_sql(n, c, True) for n, c in (("EMENTA", "ementa"), ("TESE", "tese"), ("DECISÃO", "decisao"), ("INTEIRO TEOR", "inteiro_teor"))]
+)
+
+
+@query(
+    f"""
+    WITH t AS (SELECT record_id, concat_ws(chr(10), {_LABELS_SQL}) AS t FROM decisions)
+    SELECT record_id, length(t)::INT AS n_chars, sha256(t) AS sha256 FROM t
+    """
+)
 def q_index_text(spark: SparkSession, d: str) -> DataFrame:
     """Records as labelled text, by its hash and length."""
     df = table(spark, d, "decisions")
@@ -714,10 +737,20 @@ def q_list_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "decisions").where(F.col("decisao").isNotNull()).select("record_id", F.explode(X.split_list(F.regexp_replace("decisao", ",", ";"))).alias("part"))
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (SELECT record_id, unnest([data, data_publicacao]) AS v, unnest([1, 2]) AS f FROM decisions),
+    m AS (SELECT record_id, f, regexp_extract(v, '(?:^|[^0-9])(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[^0-9]|$)', ['y', 'm', 'd']) AS a, regexp_extract(v, '(?:^|[^0-9])(\d{1,2})/(\d{1,2})/(\d{4})(?:[^0-9]|$)', ['d', 'm', 'y']) AS b,
+                 regexp_extract(v, '(?i)(\d{1,2})º?\s+de\s+([a-zç]{3,9})\s+de\s+(\d{4})', ['d', 'm', 'y']) AS c, regexp_extract(v, '(?i)(\d{1,2})\.([a-zç]{3})[a-zç]*\.(\d{4})', ['d', 'm', 'y']) AS e, regexp_extract(v, '(?i)(\d{4})-([a-zç]{3})-(\d{1,2})', ['y', 'm', 'd']) AS g FROM d),
+    n AS (SELECT record_id, f, a, b, [c, e, {'d': g.d, 'm': g.m, 'y': g.y}] AS named FROM m),
+    r AS (SELECT record_id, f, coalesce(try_cast(a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0') AS DATE), try_cast(b.y || '-' || lpad(b.m, 2, '0') || '-' || lpad(b.d, 2, '0') AS DATE),
+          list_filter(list_transform(named, lambda x: try_cast(x.y || '-' || lpad(nullif(list_position(['jan', 'fev', 'mar', 'abr', 'mai', 'jun', 'jul', 'ago', 'set', 'out', 'nov', 'dez'], left(lower(strip_accents(x.m)), 3)), 0)::VARCHAR, 2, '0') || '-' || lpad(x.d, 2, '0') AS DATE)), lambda z: z IS NOT NULL)[1]) AS day FROM n)
+    SELECT record_id, strftime(max(day) FILTER (f = 1), '%Y-%m-%d') AS data, strftime(max(day) FILTER (f = 2), '%Y-%m-%d') AS publicacao FROM r GROUP BY 1
+    """
+)
 def q_web_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates as pages write them."""
-    return table(spark, d, "decisions").select("record_id", D.web_date(F.col("data")).alias("data"), D.web_date(F.col("data_publicacao")).alias("publicacao"))
+    return table(spark, d, "decisions").select("record_id", D.web_date(F.col("data")).cast("string").alias("data"), D.web_date(F.col("data_publicacao")).cast("string").alias("publicacao"))
 
 
 # --- index ------------------------------------------------------------------------------------------------------------
@@ -812,6 +845,10 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.split_pages(table(spark, d, "documents"), "doc_id", "text", "\n\n")
 
 
+_CONFIDENCE_SQL = r"""CASE WHEN length(regexp_replace(coalesce({0}, ''), '\s', '', 'g')) = 0 THEN 0.0 ELSE round(greatest(0, least(1,
+    (length({0}) - len(regexp_extract_all({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}\x{{ad}}]')))::DOUBLE / length({0})
+    * least(1.0, length(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))::DOUBLE / length(regexp_replace({0}, '\s', '', 'g')) * 1.15)
+    * least(1.0, length(regexp_replace({0}, '\s', '', 'g')) / 180.0) * (1 - (length({0}) - length(replace({0}, '�', '')))::DOUBLE / length({0})))), 4) END"""
 _PAGES_SQL = "pg AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS page_text, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS page FROM documents WHERE text IS NOT NULL)"
 
 
@@ -839,7 +876,9 @@ def q_page_of_offset(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_of(offsets, points, "doc_id", "at").select("doc_id", F.col("at").cast("int").alias("at"), "page")
 
 
-@query()
+@query(
+    f"SELECT doc_id, {_CONFIDENCE_SQL.format('text')} AS confidence FROM documents"
+)
 def q_extract_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Trust in each document's text."""
     return table(spark, d, "documents").select("doc_id", pages.confidence(F.col("text")).alias("confidence"))
@@ -885,7 +924,13 @@ def q_sanitize(spark: SparkSession, d: str) -> DataFrame:
 # --- metadata ---------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    r"""
+    WITH n AS (SELECT DISTINCT node_id, regexp_extract(left(source_text, 12000), '(?m)^\s*(LEI COMPLEMENTAR|LEI|DECRETO-LEI|DECRETO|PORTARIA|RESOLUÇÃO|INSTRUÇÃO NORMATIVA|EMENDA CONSTITUCIONAL)\s+N[ºo°]?\.?\s*([0-9][0-9.]*)[^\n]{0,60}?((?:19|20)[0-9]{2})', ['k', 'n', 'y']) AS h
+               FROM legal_nodes WHERE kind = 'norma')
+    SELECT node_id, lower(strip_accents(nullif(h.k, ''))) AS kind, replace(nullif(h.n, ''), '.', '') AS number, nullif(h.y, '')::INT AS year FROM n
+    """
+)
 def q_norm_headers(spark: SparkSession, d: str) -> DataFrame:
     """Kind, number and year of every norm."""
     n = table(spark, d, "legal_nodes").where(F.col("kind") == "norma").select("node_id", metadata.norm_header(F.col("source_text")).alias("h")).distinct()
@@ -928,7 +973,15 @@ def q_stale_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "excerpts").select("source_id", (F.col("sha256") == F.sha2("text", 256)).alias("fresh"))
 
 
-@query()
+@query(
+    r"""
+    WITH n AS (SELECT DISTINCT doc_id, lower(doc_id || '.txt') AS n FROM legal_nodes),
+    f AS (SELECT doc_id, n, regexp_matches(n, '(^|[_\-.])sp([_\-.]|$)') AS sp, regexp_matches(n, '(^|[_\-.])(l|lei)?14[ ._\-]?133([_\-.]|$)') AS fed FROM n)
+    SELECT doc_id, NULL::VARCHAR AS orgao, CASE WHEN sp AND fed THEN NULL WHEN fed THEN 'federal' WHEN sp THEN 'estadual_sp' WHEN regexp_matches(n, '(^|[_\-.])(lei|decreto|portaria|resolucao)') THEN 'federal' END AS jurisdicao,
+           CASE WHEN sp AND fed THEN 'desconhecido' WHEN fed OR sp OR regexp_matches(n, '(^|[_\-.])(lei|decreto|portaria|resolucao)') THEN 'norma' ELSE 'desconhecido' END AS source_role, sp AND fed AS ambiguous
+    FROM f WHERE NOT regexp_matches(n, 'tcesp|tcu|stj|stf|tjsp|constituicao|doutrina')
+    """
+)
 def q_source_rules(spark: SparkSession, d: str) -> DataFrame:
     """Organ, jurisdiction and role that file names tell."""
     n = table(spark, d, "legal_nodes").select("doc_id").distinct().select("doc_id", metadata.source_rules(F.concat("doc_id", F.lit(".txt"))).alias("r"))
@@ -976,10 +1029,14 @@ def q_source_urls(spark: SparkSession, d: str) -> DataFrame:
     return u.join(n, "id").select("id", "place", "n")
 
 
-@query()
+@query(
+    f"""
+    SELECT record_id, nullif(regexp_extract(inteiro_teor, '({courts.PROCESS})', 1), '') AS processo FROM decisions WHERE inteiro_teor IS NOT NULL
+    """
+)
 def q_process_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Process number and summary found in the full text of decisions."""
-    return table(spark, d, "decisions").where(F.col("inteiro_teor").isNotNull()).select("record_id", courts.process_number(F.col("inteiro_teor")).alias("processo"), F.length(courts.summary_text(F.col("inteiro_teor"))).alias("summary_chars"))
+    """First process number in the full text of decisions."""
+    return table(spark, d, "decisions").where(F.col("inteiro_teor").isNotNull()).select("record_id", courts.process_number(F.col("inteiro_teor")).alias("processo"))
 
 
 # --- legal texts ------------------------------------------------------------------------------------------------------
@@ -1051,7 +1108,12 @@ def q_headings_in_force(spark: SparkSession, d: str) -> DataFrame:
     return legal.headings_in_force(n.where(F.col("kind") == "artigo").select("doc", "at"), heads, "doc")
 
 
-@query()
+@query(
+    r"""
+    SELECT DISTINCT node_id, 'artigo/' || CASE WHEN a IS NULL OR a = len(path) THEN 'caput' ELSE array_to_string(path[a + 1:], '/') END AS device_id
+    FROM (SELECT node_id, path, list_position(list_transform(path, lambda p: starts_with(p, 'Art. ')), true) AS a FROM legal_nodes WHERE kind IN ('artigo', 'paragrafo', 'inciso', 'alinea'))
+    """
+)
 def q_device_ids(spark: SparkSession, d: str) -> DataFrame:
     """Unit and place below it for every node of an article."""
     n = table(spark, d, "legal_nodes").where(F.col("kind").isin("artigo", "paragrafo", "inciso", "alinea"))

@@ -10,6 +10,66 @@ from lexmill.operators.ordering import numbered
 
 COURTS = ["TCU", "TCESP", "STJ", "STF", "TJSP"]
 VOLATILE = ["retrieved_at", "loaded_at", "version_sha256", "sha256"]
+#: Names of courts as they are written, folded and in upper case.
+COURT_NAMES = {
+    "TCE-SP": "TCESP", "TCE SP": "TCESP", "TJ-SP": "TJSP", "TRIBUNAL DE CONTAS DA UNIAO": "TCU", "TRIBUNAL DE CONTAS DO ESTADO DE SAO PAULO": "TCESP", "SUPERIOR TRIBUNAL DE JUSTICA": "STJ", "SUPREMO TRIBUNAL FEDERAL": "STF",
+    "TRIBUNAL DE JUSTICA DE SAO PAULO": "TJSP",
+}
+#: Fields of a record and the names they go by in the courts' answers, in the order in which they are tried.
+ALIASES = {
+    "tribunal": ["TRIBUNAL", "siglaTribunal", "tribunal_sigla", "orgaoTribunal"],
+    "tipo_documento": ["TIPO_DOCUMENTO", "tipoDocumento", "document_type"],
+    "numero_processo": ["NUMPROCESSO", "NUMPROCESSO_FORMATADO", "numeroProcesso", "processo", "processo_numero", "numeroProcessoFormatado", "KEY", "key", "id"],
+    "numero_sumula": ["NUMSUMULA", "numeroSumula", "sumula_numero"],
+    "numero_decisao": ["NUMACORDAO", "numeroAcordao", "NUMACORDAOINT", "numeroDecisao", "acordao_numero"],
+    "orgao_julgador": ["COLEGIADO", "colegiado", "CODCOLEGIADO", "orgaoJulgador", "nomeOrgaoJulgador"],
+    "relator": ["RELATOR", "relator_nome", "ministroRelator", "relator_processo_nome", "relator_acordao_nome"],
+    "data": ["DATASESSAO", "DTSESSAO", "dataSessao", "dataSessaoFormatada", "dataJulgamento", "julgamento_data"],
+    "data_publicacao": ["DATAPUBLICACAO", "dataPublicacao", "publicacao_data"],
+    "data_autuacao": ["dataAutuacao", "DATAAUTUACAO"],
+    "ementa": ["SUMARIO", "sumario", "EMENTA", "titulo", "TITULO", "ementa_texto"],
+    "tese": ["TESE", "teseJuridica", "documental_tese_texto"],
+    "decisao": ["ACORDAO", "acordao", "decisao_texto"],
+    "inteiro_teor": ["inteiroTeor", "inteiro_teor_texto"],
+    "url_oficial": ["URLACORDAO", "urlAcordao", "URL", "url", "inteiro_teor_url"],
+    "tipo_decisao": ["TIPO", "tipo", "tipoDeDecisao"],
+    "assunto": ["AREA", "area", "TEMA", "tema", "SUBTEMA", "subtema", "assuntos"],
+    "partes": ["PARTES", "partes_lista_texto", "partesLista"],
+}
+LISTS = ["assunto", "partes"]
+
+
+def court(c: Column) -> Column:
+    """Short name of a court from any of its spellings; a name that isn't known in upper case, null stays null."""
+    bare = F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    names = F.create_map(*[F.lit(x) for pair in COURT_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.upper(X.unmark(F.regexp_replace(bare, r"\p{Mn}", "")))), F.upper(bare))
+
+
+def normalized(df: DataFrame) -> DataFrame:
+    """Records with their fields' own names, each the first filled of those the table has, short names of courts, and lists as lists.
+
+    Goes before checks, keys and limits. Columns that are no field are kept.
+    """
+    kinds, made = dict(df.dtypes), {}
+
+    def as_list(n: str) -> Column:
+        c = F.col(n)
+        if kinds[n].startswith("array"):
+            return F.filter(F.transform(c, lambda x: F.trim(x.cast("string"))), lambda x: F.length(x) > 0)
+        return X.split_list(F.nullif(c.cast("string"), F.lit("")))
+
+    for field, others in ALIASES.items():
+        names = [n for n in (field, *others) if n in kinds]
+        if names and field in LISTS:
+            made[field] = F.coalesce(*[as_list(n) for n in names], F.array().cast("array<string>"))
+        elif len(names) > 1 or names and names != [field]:
+            made[field] = F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names], F.col(names[0]).cast("string"))
+        if names and field == "tribunal":
+            made[field] = court(made.get(field, F.col(field)))
+    taken = {c.lower() for c in made}  # names of columns are the same in either case
+    kept = [made[c].alias(c) if c in made else F.col(c) for c in df.columns if c in made or c.lower() not in taken]
+    return df.select(*kept, *[x.alias(c) for c, x in made.items() if c not in kinds])
 
 
 def document_key(df: DataFrame) -> Column:
@@ -41,7 +101,8 @@ def faults(df: DataFrame) -> Column:
 
 
 def split_good_bad(df: DataFrame, stage: str = "validate") -> tuple[DataFrame, DataFrame]:
-    """Good records, and the bad with stage and reasons for the dead-letter table."""
+    """Good records, and the bad with stage and reasons for the dead-letter table; both normalised."""
+    df = normalized(df)
     marked = df.withColumn("error", faults(df))
     return marked.where(F.size("error") == 0).drop("error"), marked.where(F.size("error") > 0).withColumn("stage", F.lit(stage))
 

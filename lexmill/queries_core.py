@@ -731,6 +731,39 @@ def q_too_few(spark: SparkSession, d: str) -> DataFrame:
     return records.too_few(table(spark, d, "decisions"), "tribunal", 150)
 
 
+_COURT_SQL = """CASE upper(strip_accents(trim(tribunal)))
+        WHEN 'TRIBUNAL DE CONTAS DA UNIAO' THEN 'TCU' WHEN 'TCE-SP' THEN 'TCESP' WHEN 'TCE SP' THEN 'TCESP' WHEN 'TRIBUNAL DE CONTAS DO ESTADO DE SAO PAULO' THEN 'TCESP'
+        WHEN 'SUPERIOR TRIBUNAL DE JUSTICA' THEN 'STJ' WHEN 'SUPREMO TRIBUNAL FEDERAL' THEN 'STF' WHEN 'TJ-SP' THEN 'TJSP' WHEN 'TRIBUNAL DE JUSTICA DE SAO PAULO' THEN 'TJSP' ELSE upper(trim(tribunal)) END"""
+_NORMAL_SQL = f"(SELECT * REPLACE ({_COURT_SQL} AS tribunal) FROM decisions)"
+
+
+@query(ORACLES["q_record_validate"].replace("FROM decisions", f"FROM {_NORMAL_SQL}"))
+def q_normal_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Everything wrong with each record once it is normalised."""
+    df = records.normalized(table(spark, d, "decisions"))
+    return df.select("record_id", F.array_join(records.faults(df), ",").alias("faults"))
+
+
+@query(f"SELECT record_id, {_KEY_SQL} AS document_key FROM {_NORMAL_SQL}")
+def q_normal_key(spark: SparkSession, d: str) -> DataFrame:
+    """Key of every record, the same for all spellings of its court."""
+    df = records.normalized(table(spark, d, "decisions"))
+    return df.select("record_id", records.document_key(df).alias("document_key"))
+
+
+@query(ORACLES["q_group_cap"].replace("FROM decisions", f"FROM {_NORMAL_SQL}"))
+def q_normal_cap(spark: SparkSession, d: str) -> DataFrame:
+    """At most 200 records of a court, whatever its spellings."""
+    df = records.normalized(table(spark, d, "decisions").select("tribunal", "record_id", "retrieved_at"))
+    return records.group_cap(df, ["tribunal"], [F.col("retrieved_at").asc_nulls_last(), F.col("record_id")], 200).select("tribunal", "record_id", "place")
+
+
+@query(ORACLES["q_too_few"].replace("FROM decisions", f"FROM {_NORMAL_SQL}"))
+def q_normal_too_few(spark: SparkSession, d: str) -> DataFrame:
+    """Courts with fewer records than asked for, whatever their spellings."""
+    return records.too_few(records.normalized(table(spark, d, "decisions").select("tribunal")), "tribunal", 150)
+
+
 @query("SELECT record_id, trim(p) AS part FROM (SELECT record_id, unnest(regexp_split_to_array(decisao, '[;\\n|,]+')) AS p FROM decisions WHERE decisao IS NOT NULL) WHERE length(trim(p)) > 0")
 def q_list_split(spark: SparkSession, d: str) -> DataFrame:
     """Lists written in one text, as rows."""

@@ -613,6 +613,60 @@ def q_eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.select("cases", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("recall_10", 6).alias("recall_10"))
 
 
+def _item_cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ten best documents of each question by their sources and what these tell, and its item as the case."""
+    told = table(spark, d, "documents").select("doc_id", "source", metadata.source_rules(F.col("source"))["jurisdicao"].alias("jurisdicao"))
+    got = _bm25(spark, d, k=10).join(told, "doc_id").select(F.col("query_id").alias("case_id"), "rank", "source", "jurisdicao")
+    cases = table(spark, d, "eval_items").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("case_id"), F.col("expected_source_ids").alias("expected"), "expected_jurisdicao")
+    return got, cases
+
+
+@query(
+    f"""
+    WITH {bm25_sql(k=10)},
+    r AS (SELECT query_id AS case_id, rank, source, CASE WHEN source ILIKE '%tcesp%' THEN 'estadual_sp' WHEN source ILIKE '%tcu%' OR source ILIKE '%stj%' OR source ILIKE '%stf%' THEN 'federal' WHEN source ILIKE '%tjsp%' THEN 'estadual_sp'
+        WHEN source ILIKE '%constituicao%' OR regexp_matches(lower(source), '(^|[_\\-.])(lei|decreto|portaria|resolucao)') THEN 'federal' END AS jurisdicao FROM sparse JOIN documents USING (doc_id)),
+    j AS (SELECT e.item_id AS case_id, e.expected_source_ids AS expected, e.expected_jurisdicao, r.rank, r.source, r.jurisdicao, list_contains(e.expected_source_ids, r.source) AS hit
+          FROM eval_items e LEFT JOIN r ON r.case_id = e.item_id WHERE e.item_id % 20 = 0)
+    SELECT case_id, round(count(DISTINCT source) FILTER (hit) / len(list_distinct(any_value(expected)))::DOUBLE, 6) AS recall_10, round(coalesce(1.0 / min(rank) FILTER (hit), 0), 6) AS reciprocal_rank,
+           coalesce(bool_or(hit) FILTER (rank = 1), false) AS regime_correct,
+           CASE WHEN len(any_value(expected_jurisdicao)) > 0 THEN coalesce(bool_or(list_contains(expected_jurisdicao, jurisdicao)) FILTER (rank = 1), false) END AS jurisdiction_correct, count(rank) = 0 AS retrieval_rejected
+    FROM j GROUP BY 1
+    """
+)
+def q_case_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """What is right of the search for each question of the evaluation."""
+    m = evaluation.case_metrics(*_item_cases(spark, d), [10])
+    return m.select("case_id", F.round("recall_10", 6).alias("recall_10"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "regime_correct", "jurisdiction_correct", "retrieval_rejected")
+
+
+@query(
+    """
+    SELECT item_id, array_to_string(list_filter([
+        CASE WHEN case_id IS NULL THEN 'case_id' END, CASE WHEN query IS NULL THEN 'query' END, CASE WHEN expected_source_ids IS NULL THEN 'expected_source_ids' END,
+        CASE WHEN len(expected_source_ids) = 0 THEN 'no source expected' END, CASE WHEN len(expected_jurisdicao) > list_count(expected_jurisdicao) THEN 'expected_jurisdicao: type' END,
+        CASE WHEN case_id IS NOT NULL AND count(*) OVER (PARTITION BY case_id) > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL), ',') AS faults FROM eval_items
+    """
+)
+def q_case_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with each case of the evaluation."""
+    return evaluation.case_faults(table(spark, d, "eval_items"), expected="expected_source_ids").select("item_id", F.array_join("faults", ",").alias("faults"))
+
+
+@query(
+    """
+    SELECT item_id, array_to_string(list_filter([
+        CASE WHEN case_id IS NULL THEN 'case_id' END, CASE WHEN answer IS NULL THEN 'answer' END, CASE WHEN expected_accept IS NULL THEN 'expected_accept' END,
+        CASE WHEN coalesce(passage, '') = '' OR coalesce(query, '') = '' THEN 'source without text' END,
+        CASE WHEN case_id IS NOT NULL AND count(*) OVER (PARTITION BY case_id) > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL), ',') AS faults FROM eval_items
+    """
+)
+def q_gate_case_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with each case of the gate; its sources are the passage and the question."""
+    items = table(spark, d, "eval_items").withColumn("sources", F.array("passage", "query"))
+    return evaluation.gate_case_faults(items).select("item_id", F.array_join("faults", ",").alias("faults"))
+
+
 @query(f"WITH {_INTERVALS_SQL} SELECT o_orderkey, CASE WHEN effective_to_day IS NOT NULL THEN effective_from_day <= 19951231 AND effective_to_day >= 19950101 END AS matches FROM iv")
 def q_temporal_match(spark: SparkSession, d: str) -> DataFrame:
     """Whether an interval meets a span; null where it is unknown."""

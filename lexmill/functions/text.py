@@ -101,6 +101,13 @@ def terms_match(terms: Column, hits: Column) -> Column:
     return F.when(n == 0, True).when(n <= 2, hits == n).otherwise(hits >= F.greatest(F.lit(2), F.ceil(n / 2)))
 
 
+def process_match(question: Column, number: Column, text: Column) -> Column:
+    """Whether the question's digits, six or more, stand in the process number, written with or without signs; else whether any of its terms begins a word of the text."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    named = (F.length(digits(question)) >= 6) & F.contains(digits(number), digits(question))
+    return F.coalesce(named, F.lit(False)) | F.coalesce(term_hits(query_terms(question), text) > 0, F.lit(False))
+
+
 def query_variants(c: Column) -> Column:
     """The question, its first two terms, then each term; distinct."""
     t = query_terms(c)

@@ -126,6 +126,14 @@ def index_text(df: DataFrame) -> Column:
     return F.concat_ws("\n", *heads, *[part(n, c) for n, c in (("EMENTA", "ementa"), ("TESE", "tese"), ("DECISÃO", "decisao"), ("INTEIRO TEOR", "inteiro_teor"))])
 
 
+def article_text(df: DataFrame) -> Column:
+    """An article as labelled lines, then its text; author, section and keywords only where there are any."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
+    some = lambda name, c: F.when(F.length(F.col(c)) > 0, line(name, c))
+    heads = [line("FONTE", "orgao"), line("TÍTULO", "title"), line("DATA_PUBLICACAO", "date_publicacao"), some("AUTOR", "autor"), some("SECAO", "secao"), some("PALAVRAS_CHAVE", "palavras_chave"), line("URL", "url")]
+    return F.regexp_replace(F.concat_ws("\n", *heads, F.lit(""), F.coalesce("texto", F.lit(""))), r"^\s+|\s+$", "")
+
+
 def group_cap(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """At most n rows of each group, a limit that is asked for: the first in this order, with their place."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= n)

@@ -1,9 +1,8 @@
 """Evaluation texts inside training documents.
 
 The normalised words of all test items make one generalised suffix automaton. Each document's words are streamed
-through it; at every place where the longest match ends, the matched words are credited to the items that hold them
-(matches of at least ``SEED`` words; phrases held by more than ``COMMON`` texts are credited only to texts that consist
-mostly of such phrases, as they would tell nothing of the others). Items credited with enough words are then aligned exactly
+through it; wherever an item's own match ends, be it that others go on, the matched words are credited to it (matches of at
+least ``SEED`` words, however many items hold them). Items credited with enough words are then aligned exactly
 with the document: runs of ``RUN`` shared words, chained in order, and single words between runs that lie close
 together. An item leaks when at least half of its passage's words are found so, or all but a few changed words of its
 query and of its answer.
@@ -20,13 +19,14 @@ import unicodedata
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED, RUN, COMMON = 4, 3, 8
+SEED, RUN = 4, 3
 PASSAGE_SHARE, WHOLE_SHARE = 0.5, 0.8
 #: Credited share at which an item is aligned: well below what a leak needs.
 CREDIT_PASSAGE, CREDIT_WHOLE = 0.3, 0.5
@@ -42,11 +42,16 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii").lower())
 
 
+@lru_cache(200_000)
+def _words_of(token: str) -> tuple[str, ...]:
+    return tuple(words(token))
+
+
 def words_at(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Words and where they stand in the text."""
     out, at = [], []
     for m in _RAW.finditer(text):
-        for w in words(m.group()):
+        for w in _words_of(m.group()):
             out.append(w)
             at.append(m.span())
     return out, at
@@ -75,6 +80,8 @@ class SuffixAutomaton:
             if self.len[self.link[v]] >= SEED:
                 ends[self.link[v]] |= ends[v]
         self.texts = [tuple(sorted(e)) for e in ends]
+        self.ends: dict[tuple[int, int], tuple[tuple[int, int], ...]] = {}
+        self.kept = 0
 
     def _state(self, length: int, ends: list[set[int]]) -> int:
         self.next.append({})
@@ -132,6 +139,53 @@ class SuffixAutomaton:
         if n >= SEED:
             yield v, n
 
+    def _holders(self, v: int) -> dict[int, int]:
+        """Texts that hold the string at a state (0), or an end of it of SEED words or more (its length)."""
+        out = dict.fromkeys(self.texts[v], 0)
+        u = self.link[v]
+        while self.len[u] >= SEED:
+            for x in self.texts[u]:
+                out.setdefault(x, self.len[u])
+            u = self.link[u]
+        return out
+
+    def _ended(self, was: int, v: int, fell: int) -> tuple[tuple[int, int], ...]:
+        """Texts whose own match ends between two states, and its length, 0 for that of the longest; fell: length at v where the longest match didn't just grow."""
+        got = self.ends.get((was, v))
+        if got is None:
+            then = {} if not v or 0 < fell < SEED else self._holders(v)
+            if fell:
+                got = tuple((x, k) for x, k in self._holders(was).items() if not k or (then.get(x, -1) or fell) != k + 1)
+            else:
+                got = tuple((x, k) for x, k in self._holders(was).items() if then.get(x, -1) != (k and k + 1))
+            self.kept += len(got) + 1
+            if self.kept > 2_000_000:
+                self.ends.clear()
+                self.kept = len(got) + 1
+            self.ends[was, v] = got
+        return got
+
+    def own_matches(self, tokens: list[str]) -> dict[int, int]:
+        """For each text, the words of its own matches: each is counted where this text's match ends, whatever goes on in others."""
+        get, nxt, link, length = self.ids.get, self.next, self.link, self.len
+        got: dict[int, int] = {}
+        v = n = 0
+        for t in [*tokens, None]:
+            w, was, had = get(t), v, n
+            if w is None:
+                v = n = 0
+            elif (to := nxt[v].get(w)) is not None:
+                v, n = to, n + 1
+            else:
+                while to is None and v:
+                    v = link[v]
+                    to = nxt[v].get(w)
+                v, n = (0, 0) if to is None else (to, length[v] + 1)
+            if had >= SEED:
+                for x, k in self._ended(was, v, 0 if n == had + 1 else n):
+                    got[x] = got.get(x, 0) + (k or had)
+        return got
+
 
 class Index:
     """The automaton with its items."""
@@ -142,23 +196,11 @@ class Index:
         self.by_item = {p.item_id: {} for p in self.parts}
         for p in self.parts:
             self.by_item[p.item_id][p.kind] = p
-        # texts made up of common phrases: for these the common phrases are credited as well
-        counts: dict[tuple[str, ...], set[int]] = {}
-        grams = [{tuple(p.words[k : k + SEED]) for k in range(len(p.words) - SEED + 1)} for p in self.parts]
-        for n, gs in enumerate(grams):
-            for g in gs:
-                counts.setdefault(g, set()).add(n)
-        plain = {n for n, gs in enumerate(grams) if gs and sum(len(counts[g]) > COMMON for g in gs) * 2 > len(gs)}
-        self.credit = [t if len(t) <= COMMON else tuple(x for x in t if x in plain) for t in self.automaton.texts]
         self.need = [len(p.words) * (CREDIT_PASSAGE if p.kind == "passage" else CREDIT_WHOLE) for p in self.parts]
 
     def candidates(self, tokens: list[str]) -> set[int]:
         """Items with enough credited words."""
-        got: dict[int, int] = {}
-        for v, n in self.automaton.matches(tokens):
-            for x in self.credit[v]:
-                got[x] = got.get(x, 0) + n
-        return {self.parts[x].item_id for x, n in got.items() if n >= self.need[x]}
+        return {self.parts[x].item_id for x, n in self.automaton.own_matches(tokens).items() if n >= self.need[x]}
 
 
 def runs_at(doc: list[str]) -> dict[tuple[str, ...], list[int]]:
@@ -232,6 +274,12 @@ def leaks(index: Index, text: str) -> list[Leak]:
     if not items:
         return []
     doc, at = words_at(text)
+    have = set(doc)
+    # no more of a part can be found in order than stands in the document at all
+    most = lambda p: sum(w in have for w in p.words) / max(len(p.words), 1)
+    items = {i for i in items if most((part := index.by_item[i])["passage"]) >= PASSAGE_SHARE or most(part["query"]) >= WHOLE_SHARE and most(part["answer"]) >= WHOLE_SHARE}
+    if not items:
+        return []
     places = runs_at(doc)
     out = []
     for i in sorted(items):

@@ -68,6 +68,11 @@ _WANTS_NUMBER = re.compile(r"(?:nº|n°|arts?\.|§§?|R\$|inciso|item|[|\t])$",
 _SECTION = re.compile(r"(?:RELATÓRIO|VOTO|DISPOSITIVO|EMENTA|ACÓRDÃO|DECISÃO|TESE|CONCLUSÃO|ANEXO(?: [IVXLC]+| ÚNICO)?)")
 
 
+def is_page_mark(line: str) -> bool:
+    """A running header or page number of a scan, alone on its line."""
+    return bool(_LINE.fullmatch(line))
+
+
 class Lexicon:
     """Counts of frequent words and pairs, and the corrections they allow."""
 

@@ -62,15 +62,39 @@ def test_scan_table(spark):
 
 
 def test_furniture_table(spark):
-    page = lambda i, h: (i, f"Voltar ao topo\n{LOREM}\nAcessibilidade", None, f"https://{h}.gov/doc/{i}")
-    rows = [page(1, "a"), page(2, "a"), page(3, "a"), page(3, "a"), (9, "Alto contraste\n" + LOREM, None, "https://b.gov/1"), (10, None, None, None), (11, LOREM, "", "https://a.gov/doc/11")]
-    df = spark.createDataFrame(rows, "record_id long, ementa string, inteiro_teor string, url_oficial string").withColumns({c: F.lit("x") for c in ("host", "page", "element", "_salt", "keys")})
+    page = lambda i, h: (i, f"Sobe tudo\n{LOREM}\nQuintais", None, f"https://{h}.gov/doc/{i}")
+    rows = [page(1, "a"), page(2, "a"), page(3, "a"), page(3, "a"), (9, "Vai ao rol\n" + LOREM, None, "https://b.gov/1"), (10, None, None, None), (11, LOREM, "", "https://a.gov/doc/11")]
+    df = spark.createDataFrame(rows, "record_id long, ementa string, inteiro_teor string, url_oficial string").withColumns({c: F.lit("x") for c in ("host", "page", "element", "place", "keys", "found", "text")})
     got = furniture.main_text(df, "record_id", ["ementa", "inteiro_teor"], "url_oficial")
     assert sorted(r["record_id"] for r in got.select("record_id").distinct().collect()) == [1, 2, 3]  # what stands on one page alone is no template
     assert {r["main_text"] for r in got.collect()} == {LOREM.strip()}
     assert furniture.template_elements(df.limit(0), "record_id", ["ementa"], "url_oficial").count() == 0
 
 
+def test_furniture_pages_without_address_make_no_host(spark):
+    rows = [(i, f"Sobe tudo\n{LOREM}", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "record_id long, ementa string, url_oficial string")
+    assert furniture.template_elements(df, "record_id", ["ementa"], "url_oficial").count() == 0
+
+
+def test_furniture_counts_against_sentences(spark):
+    """Words broken off at a line end, or often the beginning of sentences, are no template however often they recur."""
+    rows = [(i, f"Conforme o relato de ontem\nRui {i} saiu cedo da vila. Conforme o relato de ontem Ana {i} ficou até tarde na horta.\nQuintais e pomares", f"https://a.gov/{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "record_id long, ementa string, url_oficial string")
+    got = furniture.main_text(df, "record_id", ["ementa"], "url_oficial").collect()
+    assert len(got) == 12 and all(r["main_text"].startswith("Conforme o relato") and "Quintais" not in r["main_text"] for r in got)
+
+
+def test_furniture_found_alike_in_a_hot_host(spark, monkeypatch):
+    """Hot keys by broadcast or not: the same."""
+    rows = [(i, f"Sobe tudo | Quintais | Vai ao começo\n{LOREM}\nQuero {'ler' if i % 3 else 'ouvir'} mais", f"https://{'a' if i % 4 else 'b'}.gov/{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id long, ementa string, url_oficial string")
+    take = lambda: sorted(map(tuple, furniture.template_elements(df, "record_id", ["ementa"], "url_oficial").collect()))
+    few = take()
+    monkeypatch.setattr(furniture, "HOT_SHARE", 2.0)
+    assert take() == few and len(few) == 60 * 4
+
+
 def test_quality_table(spark):
     rows = [(1, LOREM), (2, None), (3, ""), (4, "1;2;3\n" * 50), (4, "1;2;3\n" * 50), (5, "}{][*&" * 500), (6, "uma palavra " * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("cells", "sizes", "n_words", "kind")})

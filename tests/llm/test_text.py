@@ -152,18 +152,40 @@ def test_no_scan_fault(repairer, text):
 # --- furniture --------------------------------------------------------------------------------------------------------
 
 
+BODY = "RELATÓRIO\n\nO rodapé do edital remete ao fale conosco da ouvidoria. O portal deve ter menu de navegação e aviso de cookies."
+PAGE = (
+    "Vai ao miolo [1] Vai ao rol [2]\nEstantes | Vitrines | Oficinas | Quintais\n" + BODY + "\nSobe tudo ↑\nEste mural guarda migalhas do leitor para sempre. Quero ler.\n"
+    "Outros achados\n• Uma conversa\n• Outra\n© 2020 a.gov.example - Nada reservado"
+)
+
+
+def furniture_tables(*pages):
+    keys = [k for p in pages for k, *_ in F.own_elements(p)]
+    low = (1 << F.FIRST_BITS) - 1
+    return set(keys), F.Tables([(k + 2**63) >> (64 - F.FIRST_BITS) for k in keys], [k & low for k in keys])
+
+
 def test_furniture():
-    body = "RELATÓRIO\n\nO rodapé do edital remete ao fale conosco da ouvidoria. O portal deve ter menu de navegação e aviso de cookies."
-    page = "Ir para o conteúdo [1] Ir para o menu [2]\nInício | Notícias | Serviços | Ouvidoria\n" + body + "\nVoltar ao topo ↑\nEste site utiliza cookies para medir o tráfego. Saiba mais.\nLeia também\n• Uma notícia\n• Outra\n© 2020 a.gov.example - Todos os direitos reservados"
-    found = F.elements(page)
-    assert {e.kind for e in found} == {"skip", "menu", "top", "notice", "aside", "footer"}
-    assert F.without(page, {e.key for e in found}) == body
-    assert F.elements(body) == [] and F.without(body, set()) == body and F.elements("") == []
+    keys, tables = furniture_tables(PAGE.replace(BODY, ""))
+    assert F.without(PAGE, keys, tables) == BODY
+    assert not keys & {e.key for e in F.elements(BODY, tables)} and F.without(BODY, keys, tables) == BODY and F.elements("", tables) == []
 
 
 def test_furniture_within_a_line():
-    t = "O pedido foi negado. Voltar ao topo RELATÓRIO do caso"
-    assert F.without(t, {e.key for e in F.elements(t)}).split() == "O pedido foi negado. RELATÓRIO do caso".split()
+    keys, tables = furniture_tables("Sobe tudo\nQuero ler")
+    t = "O pedido foi negado. Sobe tudo RELATÓRIO do caso"
+    assert F.without(t, keys, tables).split() == "O pedido foi negado. RELATÓRIO do caso".split()
+
+
+def test_furniture_keys_agree_however_found():
+    for piece in ("Vai ao miolo [1]", "Início", "Página dos préstimos", "© 2020 a.gov.example - Nada", "Sobe\xa0já agora"):
+        keys, tables = furniture_tables(piece)
+        assert len(keys) == 1 and keys == {e.key for e in F.elements(f"O pedido foi negado ontem mesmo.\n{piece}\nO resto segue aqui embaixo.", tables)}, piece
+
+
+def test_furniture_forms_set_apart():
+    for piece in ("RELATÓRIO", "PREGÃO ELETRÔNICO.", "| Item | Valor |", "Página 3 de 9", "fls. 12", "## Título", "x = [nota](https://a.b/c)", "uma linha que segue", "12, caput."):
+        assert list(F.own_elements(piece)) == [], piece
 
 
 # --- contamination ----------------------------------------------------------------------------------------------------

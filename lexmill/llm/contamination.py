@@ -7,8 +7,14 @@ with the document: runs of ``RUN`` shared words, chained in order, and single wo
 together. An item leaks when at least half of its passage's words are found so, or all but a few changed words of its
 query and of its answer.
 
+What is cut out of a leaking document are the runs of shared words, each with the few changed words within it, that have
+``CUT_WORDS`` words or ``CUT_SHARE`` of their part's words (all runs where none has); text that stands between runs is kept.
+
+The test set is brought to the workers in blocks of ``BLOCK_WORDS`` words, so that the automaton of one block fits a worker
+whatever the size of the test set; each block is one scan of the documents, and a worker builds an automaton once for all its tasks.
+
 Defined results: null documents and null parts of items leak nothing; an item of an empty passage can leak only by query
-and answer; passages under ``RUN`` words never match; repeated documents each give their own rows; items repeated under
+and answer; passages under ``RUN`` words never match; repeated documents each give their own rows (cleaned, one); items repeated under
 other ids each give their own rows; empty tables give an empty result.
 """
 
@@ -17,7 +23,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -26,12 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm import worker
+
 SEED, RUN = 4, 3
 PASSAGE_SHARE, WHOLE_SHARE = 0.5, 0.8
 #: Credited share at which an item is aligned: well below what a leak needs.
 CREDIT_PASSAGE, CREDIT_WHOLE = 0.3, 0.5
-#: Items held by one automaton; more are worked through in blocks.
-BLOCK = 20_000
+#: Words of the items held by one automaton; more are worked through in blocks.
+BLOCK_WORDS = 200_000
+#: Words, or share of its part's words, from which a run of shared words is cut out.
+CUT_WORDS, CUT_SHARE = 8, 0.25
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 _RAW = re.compile(r"[^\W_]+")
@@ -211,40 +220,57 @@ def runs_at(doc: list[str]) -> dict[tuple[str, ...], list[int]]:
     return out
 
 
-def align(part: list[str], doc: list[str], places: dict[tuple[str, ...], list[int]]) -> tuple[float, int, int, int]:
-    """Share of the part's words found in the document in order, longest run, first and last word in the document."""
-    if len(part) < RUN:
-        return 0.0, 0, 0, 0
-    pairs = [(k, -j) for k, g in enumerate(zip(*(part[k:] for k in range(RUN)), strict=False)) for j in reversed(places.get(g, ()))]
-    if not pairs:
-        return 0.0, 0, 0, 0
-    # longest chain rising in both (one place of the document for each word of the part)
-    tails: list[int] = []
-    chain_at: list[int] = []
-    back: list[int] = [-1] * len(pairs)
-    for x, (_, minus) in enumerate(pairs):
-        j = -minus
-        s = bisect_left(tails, j)
-        if s == len(tails):
-            tails.append(j)
-            chain_at.append(x)
-        else:
-            tails[s] = j
-            chain_at[s] = x
-        back[x] = chain_at[s - 1] if s else -1
-    chain, x = [], chain_at[-1]
-    while x >= 0:
-        chain.append((pairs[x][0], -pairs[x][1]))
-        x = back[x]
-    chain.reverse()
+def chain(part: list[str], places: dict[tuple[str, ...], list[int]]) -> list[tuple[int, int]]:
+    """The longest chain of shared runs of RUN words that rises in both, as places in part and document.
+
+    Longest common subsequence by bit vectors: one step for each place of the document that begins a run of the part, of as
+    many machine words as the part has words by 64, so a phrase repeated in both costs no more than its places in the document.
+    """
+    masks: dict[tuple[str, ...], int] = {}
+    m = 0
+    for m, g in enumerate(zip(*(part[k:] for k in range(RUN)), strict=False), 1):
+        if g in places:
+            masks[g] = masks.get(g, 0) | 1 << (m - 1)
+    rows = sorted((j, bits) for g, bits in masks.items() for j in places[g])
+    full = v = (1 << m) - 1
+    seen = []
+    for _, bits in rows:
+        u = v & bits
+        v = (v + u | v - u) & full
+        seen.append(v)
+    # back from the end: a zero bit is where the longest chain grows
+    out, low, r = [], full, len(rows) - 1
+    size = len(part) and m - (v & full).bit_count()
+    while r >= 0 and size:
+        if r and (low & ~seen[r - 1]).bit_count() == size:
+            r -= 1
+            continue
+        p = (low & ~seen[r]).bit_length() - 1
+        out.append((p, rows[r][0]))
+        low, size, r = (1 << p) - 1, size - 1, r - 1
+    return out[::-1]
+
+
+class Aligned(NamedTuple):
+    share: float
+    longest: int
+    #: Runs with what is changed within them: first and last word in the document, shared words.
+    runs: list[tuple[int, int, int]]
+
+
+def align(part: list[str], doc: list[str], places: dict[tuple[str, ...], list[int]]) -> Aligned:
+    """Share of the part's words found in the document in order, longest run, and the runs."""
     found = bytearray(len(part))
     run = best = 0
     last: tuple[int, int] | None = None
-    for k, j in chain:
+    runs: list[list[int]] = []
+    for k, j in chain(part, places):
         run = run + 1 if last and (k, j) == (last[0] + 1, last[1] + 1) else RUN
         best = max(best, run)
+        near = False
         if last:
             a, b, c, d = last[0] + RUN, k, last[1] + RUN, j
+            near = b - a <= 12 and d - c <= 16
             if 0 < b - a <= 12 and 0 < d - c <= 16:  # close together: single words kept between changed ones
                 at = c
                 for p in range(a, b):
@@ -255,8 +281,12 @@ def align(part: list[str], doc: list[str], places: dict[tuple[str, ...], list[in
         # a run that begins within the one before, out of step with it, uses no word of the document twice
         used = max(0, last[1] + RUN - j) if last and k - last[0] != j - last[1] else 0
         found[k + used : k + RUN] = b"\x01" * (RUN - used)
+        if near:
+            runs[-1][1], runs[-1][3] = j + RUN - 1, k + RUN
+        else:
+            runs.append([j, j + RUN - 1, k, k + RUN])
         last = (k, j)
-    return sum(found) / len(part), best, chain[0][1], chain[-1][1] + RUN - 1
+    return Aligned(sum(found) / max(len(part), 1), best, [(a, b, sum(found[x:y])) for a, b, x, y in runs])
 
 
 class Leak(NamedTuple):
@@ -266,6 +296,14 @@ class Leak(NamedTuple):
     longest_run: int
     start_char: int
     end_char: int
+    #: What is cut out: where runs begin and end.
+    cuts: list[tuple[int, int]]
+
+
+def _leak(item: int, part: Part, found: Aligned, at: list[tuple[int, int]]) -> Leak:
+    least = min(CUT_WORDS, CUT_SHARE * len(part.words))
+    cuts = [(at[a][0], at[b][1]) for a, b, n in found.runs if n >= least] or [(at[a][0], at[b][1]) for a, b, _ in found.runs]
+    return Leak(item, part.kind, found.share, found.longest, at[found.runs[0][0]][0], at[found.runs[-1][1]][1], cuts)
 
 
 def leaks(index: Index, text: str) -> list[Leak]:
@@ -284,22 +322,21 @@ def leaks(index: Index, text: str) -> list[Leak]:
     out = []
     for i in sorted(items):
         part = index.by_item[i]
-        share, run, a, b = align(part["passage"].words, doc, places)
-        if share >= PASSAGE_SHARE:
-            out.append(Leak(i, "passage", share, run, at[a][0], at[b][1]))
-        q = align(part["query"].words, doc, places)
-        if q[0] >= WHOLE_SHARE:
-            n = align(part["answer"].words, doc, places)
-            if n[0] >= WHOLE_SHARE:
-                for kind, (share, run, a, b) in (("query", q), ("answer", n)):
-                    out.append(Leak(i, kind, share, run, at[a][0], at[b][1]))
+        found = align(part["passage"].words, doc, places)
+        if found.share >= PASSAGE_SHARE:
+            out.append(_leak(i, part["passage"], found, at))
+        query = align(part["query"].words, doc, places)
+        if query.share >= WHOLE_SHARE:
+            answer = align(part["answer"].words, doc, places)
+            if answer.share >= WHOLE_SHARE:
+                out += [_leak(i, part["query"], query, at), _leak(i, part["answer"], answer, at)]
     return out
 
 
-def without(text: str, found: list[Leak]) -> str:
-    """The text with the leaked spans cut out."""
+def without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without what is cut out."""
     out, at = [], 0
-    for a, b in sorted((x.start_char, x.end_char) for x in found):
+    for a, b in sorted(cuts):
         if a > at:
             out.append(text[at:a])
         at = max(at, b)
@@ -309,41 +346,58 @@ def without(text: str, found: list[Leak]) -> str:
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
     """The items in blocks: the test set is a stated query set, brought to the workers block by block."""
     block: list[tuple] = []
-    given = False
+    given, size = False, 0
     for r in items.select("item_id", "passage", "query", "answer").toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == BLOCK:
+        more = sum(len(x) for x in r[1:] if x) // 6 + 1  # a word takes some six characters
+        if block and size + more > BLOCK_WORDS:
             yield block
-            block, given = [], True
+            block, size, given = [], 0, True
+        block.append(tuple(r))
+        size += more
     if block or not given:
         yield block
 
 
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, part, share, longest_run, start_char, end_char (from the first to the last shared word)."""
+FOUND = "item_id: bigint, part: string, share: double, longest_run: int, start_char: int, end_char: int, cuts: array<struct<start: int, end: int>>"
+
+
+def _leaking(documents: DataFrame, items: DataFrame, texts: bool) -> DataFrame:
+    """doc_id, text (null unless asked for), found: a row for each document that leaks and block of items."""
     sc = documents.sparkSession.sparkContext
     out: DataFrame | None = None
     for block in _blocks(items):
-        held = sc.broadcast(block)
+        held, name = sc.broadcast(block), worker.token()
 
-        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = Index(held.value)
+        def scan(batches: Iterator[pd.DataFrame], held=held, name=name) -> Iterator[pd.DataFrame]:
+            index = worker.once(name, lambda: Index(held.value))
             for pdf in batches:
-                rows = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for x in leaks(index, t)]
-                yield pd.DataFrame(rows, columns=["doc_id", *Leak._fields])
+                rows = []
+                for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                    if t and (got := leaks(index, t)):
+                        rows.append((d, t if texts else None, [x._asdict() | {"cuts": [{"start": a, "end": b} for a, b in x.cuts]} for x in got]))
+                yield pd.DataFrame(rows, columns=["doc_id", "text", "found"])
 
-        schema = "doc_id bigint, item_id bigint, part string, share double, longest_run int, start_char int, end_char int"
-        got = documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(scan, schema)
+        got = documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(scan, f"doc_id bigint, text string, found array<struct<{FOUND}>>")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, part, share, longest_run, start_char, end_char (from the first to the last shared word)."""
+    rows = _leaking(documents, items, False).select("doc_id", F.explode("found").alias("f"))
+    return rows.select("doc_id", *[f"f.{c}" for c in ("item_id", "part", "share", "longest_run", "start_char", "end_char")])
+
+
 def remove_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_items, text: each document that leaks, with the leaked spans cut out."""
-    spans = find_leaks(documents, items).groupBy("doc_id").agg(F.collect_list(F.struct(*Leak._fields)).alias("spans"))  # at most the items of the test set
+    """doc_id, n_items, text: each document that leaks, without the runs it shares with test items.
+
+    Texts that leak nothing never leave their place; those that do are brought together with what other blocks found.
+    """
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([without(t, [Leak(**(x if isinstance(x, dict) else x.asDict())) for x in f]) for t, f in zip(text, found, strict=True)])
+    def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([without(t, [(x["start"], x["end"]) for x in c]) for t, c in zip(text, cuts, strict=True)])
 
-    return spans.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", F.size(F.array_distinct("spans.item_id")).alias("n_items"), cut("text", "spans").alias("text"))
+    whole = _leaking(documents, items, True).groupBy("doc_id", "text").agg(F.flatten(F.collect_list("found")).alias("found"))  # at most the items of the test set
+    cuts = F.flatten("found.cuts")
+    return whole.select("doc_id", F.size(F.array_distinct("found.item_id")).alias("n_items"), cut("text", cuts).alias("text"))

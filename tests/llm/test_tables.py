@@ -204,7 +204,7 @@ def test_contamination_table(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(contamination, "BLOCK", 2)
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", 20)
     text = [f"frase numero {i} com palavras bem proprias do caso {i} e mais nada que repita {i * 7}" for i in range(5)]
     items = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(text)], "item_id long, passage string, query string, answer string")
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")

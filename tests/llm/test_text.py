@@ -1,9 +1,11 @@
 """Text operators without a cluster: small cases, round trips, odd and very long texts."""
 
 import random
+import re
 from collections import Counter
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -255,7 +257,7 @@ def test_leaks():
     assert found("quem viu a veterinaria devolver as urnas de lona") == []
     assert found("quem viu a veterinaria devolver as urnas de lona? muito bem. foi fites que cortou ao meio o mastro da praca") == [(1, "answer"), (1, "query")]
     t = "Antes. " + passage + ". Depois."
-    assert C.without(t, C.leaks(ix, t)) == "Antes. . Depois." and found("") == []
+    assert C.without(t, [c for x in C.leaks(ix, t) for c in x.cuts]) == "Antes. . Depois." and found("") == []
 
 
 # --- mixing -----------------------------------------------------------------------------------------------------------
@@ -291,10 +293,13 @@ def test_held_out_accuracy():
         "junk": lambda: r.choice(["".join(r.choice("{}[]()/\\|_^~@#$%*") for _ in range(60)), "".join(r.choice("abcXYZ0189+/") for _ in range(76)), " ".join(str(r.randint(1, 999)) for _ in range(40))]),
     }
     texts = [(k, make[k]()) for k in make for _ in range(300)]
-    known = Q._unmarked(common)
-    cells = [(k, Q.cell(Q.statistics(t, known))) for k, t in texts]
-    p = Q.fit(Counter(c for _, c in cells), common)
-    named = [(k, Q.KINDS[max(range(4), key=lambda i: p[c][i])]) for k, c in cells]
+    letters = Q.Letters(Counter(g for _, t in texts for w in re.findall(r"[^\W\d_]+", t.lower()) for g in Q.trigrams(w)))
+    cells = [(k, Q.cell(Q.statistics(t, common, letters))) for k, t in texts]
+    counts = Counter(c for _, c in cells)
+    codes, weights = np.array(list(counts)), np.array(list(counts.values()), dtype=float)
+    model = Q.fit(lambda f: f(codes, weights), [np.array([Q.cell(Q.statistics(b, common, letters)) for b in held]) for _, held in Q.EXAMPLES])
+    p = dict(zip(codes.tolist(), model.kinds(codes).tolist(), strict=True))
+    named = [(k, Q.KINDS[p[c]]) for k, c in cells]
     prose = sum((k == "prose") == (g == "prose") for k, g in named) / len(named)
     assert prose >= 0.97 and sum(k == g for k, g in named) / len(named) >= 0.85
 
@@ -302,7 +307,7 @@ def test_held_out_accuracy():
 def test_blocks():
     t = "Uma linha longa de texto que segue\nna linha de baixo e termina.\n\n1. item;\n2. item;\n\n\n"
     assert list(Q.blocks(t)) == ["Uma linha longa de texto que segue na linha de baixo e termina.", "1. item;", "2. item;"]
-    assert list(Q.blocks("")) == [] and Q.fit({}, frozenset()) == {} and Q.GRID < 10_000_000
+    assert list(Q.blocks("")) == [] and Q.GRID < 2**31
 
 
 # --- very long and odd texts ------------------------------------------------------------------------------------------
@@ -313,6 +318,7 @@ def test_long(text, restorer, repairer):
     restorer.restore(text)
     repairer.repair(text)
     M.clean(text)
-    F.elements(text)
-    [Q.cell(Q.statistics(b, frozenset())) for b in Q.blocks(text)]
+    furniture_tables(text)
+    F.elements(text, furniture_tables("Sobe tudo\na\nO pedido")[1])
+    [Q.cell(Q.statistics(b, frozenset(), Q.Letters({}))) for b in Q.blocks(text)]
     C.leaks(C.Index([(1, "um dois tres quatro cinco", "q", "a")]), text)

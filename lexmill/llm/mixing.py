@@ -3,50 +3,58 @@
 Poisson replication. A text of a source appears k times, k drawn by inverting the distribution function of a Poisson
 variable at a number in (0, 1) that is a hash of seed, source and text; k is cut at the cap, and the rate is solved for
 the mean the source needs after the cut. The total size of the mix is the largest at which no source needs a mean above
-its cap, so the source that binds is repeated exactly as often as it may be. Copies are exploded and ordered by another
-hash, a global shuffle. Texts repeated under other ids of a source are one text: the cap holds for the text.
+its cap, so the source that binds is repeated exactly as often as it may be. Texts repeated under other ids of a source are
+one text: the cap holds for the text.
+
+Copies are drawn where the texts lie, as the draw needs nothing but seed, source and the text's hash; only chosen copies
+move, once, to the partition that the hash of text and copy names, repeated texts made one on the way (partial aggregation, so
+a text that a third of all rows repeat reaches the shuffle once a task). Within a partition they are ordered by a last hash: each partition
+is a random part of the mix in random order, which is a global shuffle.
+
+The vocabulary's file is read where the plan is made and brought to the workers; they need no file.
 
 Defined results: null texts and sources without target are left out; a target without texts is reported with no tokens
 and its share is spread over the others in proportion; a text of no tokens takes part with size 0; ties in the order
-of the shuffle go by id and copy; an empty table gives an empty mix.
+of the shuffle go by id and copy; texts are counted whole at any length; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from functools import lru_cache
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.llm import worker
 from lexmill.session import cut
 
+#: byte_bpe_multi_50k, a byte-level BPE of 50,256 ids for many languages; the path is a parameter of every operator.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The usual split of byte-level BPE vocabularies of this family; fixed, as the vocabulary was made with it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEED = 20240501
 
 
-@lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    lines = Path(path).read_bytes().splitlines()
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x)}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(text: Column, path: str = TOKENIZER) -> Column:
+def token_count(text: Column, spark: SparkSession, path: str = TOKENIZER) -> Column:
     """Tokens of a text; null for null."""
+    held, call = spark.sparkContext.broadcast(Path(path).read_bytes()), worker.token()
 
     @F.pandas_udf(T.LongType())
     def count(v: pd.Series) -> pd.Series:
-        enc = _encoding(path)
-        return pd.Series([None if x is None else sum(len(enc.encode_ordinary(x[i : i + 200_000])) for i in range(0, len(x), 200_000)) for x in v], dtype="Int64")
+        enc = worker.once(call, lambda: _encoding(held.value))
+        return pd.Series([None if x is None else len(enc.encode_ordinary(x)) for x in v], dtype="Int64")
 
     return count(text)
 
@@ -95,15 +103,18 @@ def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[s
     return out
 
 
+def _texts(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """doc_id, source, text_sha, text of the sources with a target."""
+    return documents.where(F.col("text").isNotNull()).select("doc_id", "source", F.sha2("text", 256).alias("text_sha"), "text").join(targets.select("source").distinct(), "source", "left_semi")
+
+
 def sized_texts(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, text_sha, n_tokens: each distinct text of a source once, under its smallest doc_id.
 
     Written out (checkpoint), as sizes are needed for the plan and again for the mix.
     """
-    wanted = targets.select("source").distinct()
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "source", F.sha2("text", 256).alias("text_sha"), "text").join(wanted, "source", "left_semi")
     # copies of a text have equal sizes: counted where they lie, so no text is shuffled; the smallest id stands for them
-    counted = texts.select("doc_id", "source", "text_sha", token_count(F.col("text"), path).alias("n_tokens"))
+    counted = _texts(documents, targets).select("doc_id", "source", "text_sha", token_count(F.col("text"), documents.sparkSession, path).alias("n_tokens"))
     return cut(counted.groupBy("source", "text_sha").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")))
 
 
@@ -114,25 +125,35 @@ def _planned(sized: DataFrame, targets: DataFrame) -> tuple[dict[str, dict], dic
     return plan(sizes, sorted(goals)), sizes, goals
 
 
+def _copies(goals: dict[str, dict], seed: int) -> Column:
+    """How often a text appears, from source and text_sha alone."""
+    at = F.element_at(F.create_map(*[x for s, g in sorted(goals.items()) for x in (F.lit(s), F.array(*[F.lit(float(v)) for v in g["at"]]))]), F.col("source"))
+    uniform = (F.xxhash64(F.lit(seed), "source", "text_sha").bitwiseAND(F.lit(2**52 - 1)).cast("double") + 0.5) / float(2**52)
+    # a sum of comparisons, one for each repeat allowed: filters on it can be passed through joins, those on array functions can't
+    reached = [F.coalesce(F.get(at, F.lit(k)) <= uniform, F.lit(False)).cast("int") for k in range(max(len(g["at"]) for g in goals.values()))]
+    return reduce(lambda a, b: a + b, reached)
+
+
 def drawn(sized: DataFrame, goals: dict[str, dict], seed: int = SEED) -> DataFrame:
-    """doc_id, source, n_tokens, copies (0 or more)."""
+    """doc_id, source, text_sha, n_tokens, copies (0 or more)."""
     if not goals:
-        return sized.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies")).limit(0)
-    at = F.create_map(*[x for s, g in sorted(goals.items()) for x in (F.lit(s), F.array(*[F.lit(float(v)) for v in g["at"]]))])
-    uniform = (F.xxhash64(F.lit(seed), "source", "text_sha").bitwiseAND(F.lit(2**52 - 1)).cast("double") + 0.5) / float(2**52)
-    rows = sized.withColumn("_u", uniform).withColumn("_at", F.element_at(at, F.col("source")))
-    return rows.where(F.col("_at").isNotNull()).select("doc_id", "source", "n_tokens", F.size(F.filter("_at", lambda t: t <= F.col("_u"))).alias("copies"))
+        return sized.select("doc_id", "source", "text_sha", "n_tokens", F.lit(0).alias("copies")).limit(0)
+    return sized.where(F.col("source").isin(*goals)).select("doc_id", "source", "text_sha", "n_tokens", _copies(goals, seed).alias("copies"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int = SEED) -> DataFrame:
-    """doc_id, source, copy_no, n_tokens, shuffle_key, text, in the order of shuffle_key over the whole result."""
+    """doc_id, source, copy_no, n_tokens, shuffle_key, text: partitions by hash, each in the order of shuffle_key."""
     sized = sized_texts(documents, targets, path)
     goals, _, _ = _planned(sized, targets)
-    chosen = drawn(sized, goals, seed).where(F.col("copies") > 0)
-    full = chosen.join(documents.select("doc_id", "text"), "doc_id")
-    copies = full.select("doc_id", "source", "n_tokens", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
-    keyed = copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no"))
-    return keyed.select("doc_id", "source", "copy_no", "n_tokens", "shuffle_key", "text").orderBy("shuffle_key", "doc_id", "copy_no")
+    copy_no = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")
+    chosen = drawn(sized, goals, seed).where(F.col("copies") > 0).select("source", "text_sha", copy_no, "doc_id", "n_tokens")
+    texts = _texts(documents, targets)
+    texts = texts.where(F.col("source").isin(*goals)).withColumn("copies", _copies(goals, seed)) if goals else texts.withColumn("copies", F.lit(0)).limit(0)
+    moved = texts.where(F.col("copies") > 0).select("source", "text_sha", copy_no, "text").groupBy("source", "text_sha", "copy_no").agg(F.first("text").alias("text"))
+    # both sides come by the same hash, so the texts move once
+    full = moved.join(chosen.hint("shuffle_hash"), ["source", "text_sha", "copy_no"])
+    keyed = full.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no"))
+    return keyed.select("doc_id", "source", "copy_no", "n_tokens", "shuffle_key", "text").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
 
 
 def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int = SEED) -> DataFrame:

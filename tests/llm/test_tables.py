@@ -214,19 +214,38 @@ def test_blocks_of_items(spark, monkeypatch):
 # --- p9 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_tokens_of_long_texts_are_those_of_the_whole(spark):
+    texts = ["uma palavra e outra, " * 20_000, "a" * 250_000, "ação" * 60_000, " " * 210_000 + "fim", ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", mixing.token_count(F.col("t"), spark).alias("n")).collect()
+    enc = mixing._encoding(Path(mixing.TOKENIZER).read_bytes())
+    assert {r["i"]: r["n"] for r in got} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
+
+
+def test_mix_moves_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"texto {i}", "a") for i in range(50)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    plan = mixing.mix(docs, targets)._jdf.queryExecution().executedPlan().toString()
+    moves = [x for x in plan.split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in x and "text_sha" in x]
+    assert 0 < len(moves) <= 2 and "rangepartitioning" not in plan  # texts, and the ids of the chosen
+
+
 def test_mix(spark):
     rows = [(i, f"texto {i} da fonte " + "palavra " * (i % 13), "a" if i % 3 else "b") for i in range(1500)] + [(9000 + i, "texto repetido", "b") for i in range(200)] + [(9900, None, "a"), (9901, "x", None), (9902, "y", "sem meta"), (9903, "", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("z") for c in ("n_tokens", "copies", "text_sha", "_u")})
     targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 3), ("c", 0.1, 2), ("d", None, None)], "source string, target_share double, max_repeats int")
-    mix = mixing.mix(docs, targets).collect()
+    result = mixing.mix(docs, targets)
+    parts = result.select(F.spark_partition_id().alias("part"), *result.columns).collect()
+    mix = sorted((r for r in result.collect()), key=lambda r: r["shuffle_key"])
     times = {}
     for r in mix:
         times[(r["source"], r["text"])] = times.get((r["source"], r["text"]), 0) + 1
     assert all(n <= (1 if s == "a" else 3) for (s, _), n in times.items()) and times[("b", "texto repetido")] <= 3
-    assert [r["shuffle_key"] for r in mix] == sorted(r["shuffle_key"] for r in mix)
+    for part in {r["part"] for r in parts}:  # each partition in the order of the hash
+        keys = [r["shuffle_key"] for r in parts if r["part"] == part]
+        assert keys == sorted(keys)
     size = {s: sum(r["n_tokens"] for r in mix if r["source"] == s) for s in "ab"}
     assert abs(size["a"] / (size["a"] + size["b"]) - 0.4) < 0.04
-    again = mixing.mix(docs.repartition(7), targets).collect()
+    again = sorted(mixing.mix(docs.repartition(7), targets).collect(), key=lambda r: r["shuffle_key"])
     assert [tuple(r) for r in again] == [tuple(r) for r in mix]
     rep = {r["source"]: r for r in mixing.shares(docs, targets).collect()}
     assert rep["a"]["mix_tokens"] == size["a"] and rep["c"]["mix_tokens"] == 0 and abs(rep["a"]["reached_share"] + rep["b"]["reached_share"] - 1) < 1e-9

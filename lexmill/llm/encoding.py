@@ -8,7 +8,7 @@ corpus's counts of a marked letter between two neighbours are a bounded table (a
 Correct text around a match stays as it is.
 
 Defined results: null and text without a garbled stretch give no row; replacement characters are always a case and are
-filled where one letter is much more usual there than any other, else left; foreign words in proper spelling (Năvodari,
+filled, however many a word has lost, where one reading is much more usual than any other, else left; foreign words in proper spelling (Năvodari,
 Łódź, Завод, naïve) are no case; an empty table gives an empty result.
 """
 
@@ -18,7 +18,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -157,7 +156,12 @@ class Restorer:
 
     def __init__(self, usual: dict[str, int], words: dict[str, int]) -> None:
         self.usual, self.words = usual, words
+        #: Letters between neighbours rarer than this share say nothing: a share, the same at any size of the corpus.
         self.least = max(2, sum(usual.values()) // 2_000_000)
+        self.by_length: dict[int, list[str]] = {}
+        for w in words:
+            self.by_length.setdefault(len(w), []).append(w)
+        self.memo: dict[str, tuple[tuple[str, int], ...]] = {}
 
     def _count(self, s: str, i: int) -> int:
         return self.usual.get((_class(s[i - 1]) if i else "#") + s[i] + (_class(s[i + 1]) if i + 1 < len(s) else "#"), 0)
@@ -191,26 +195,40 @@ class Restorer:
                 best = (low, new, pair)
         return best and (best[1], best[2])
 
+    def _fitting(self, word: str) -> tuple[tuple[str, int], ...]:
+        """What words of the lexicon have where a lower-case word has lost characters, and their counts."""
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            like = re.compile("".join(f"([{MARKED}])" if c == LOST else re.escape(c) for c in word))
+            got = self.memo[word] = tuple(("".join(m.groups()), self.words[w]) for w in self.by_length.get(len(word), ()) if (m := like.fullmatch(w))) if len(word) in self.by_length else ()
+        return got
+
     def _lost(self, text: str) -> str:
         """Replacement characters filled from the lexicon, else where one letter is by far the most usual between its neighbours."""
 
         def fill(m: re.Match) -> str:
             word = m.group()
             holes = [i for i, c in enumerate(word) if c == LOST]
-            if len(holes) > 3:
-                return word
             capital = word.replace(LOST, "").isupper() and len(word) > len(holes) + 1
-            letters = [c for c in MARKED if c.isupper() == capital or c in "ºª"]
             scores: Counter = Counter()
-            for cs in product(letters, repeat=len(holes)):
+
+            def take(cs: str, seen: int) -> None:
                 new = list(word)
                 for i, c in zip(holes, cs, strict=True):
                     new[i] = c
                 s = "".join(new)
-                seen = self.words.get(s.lower(), 0)
                 usual = min(self._count(s, i) for i in holes)
-                if seen or len(holes) == 1 and usual >= self.least:
-                    scores[s] = seen * 1000 + usual
+                if seen or usual >= self.least:
+                    scores[s] = max(scores[s], seen * 1000 + usual)
+
+            for cs, seen in self._fitting(word.lower()):
+                take(cs.upper() if capital else cs, seen)
+            if len(holes) == 1:
+                for c in MARKED:
+                    if c.isupper() == capital or c in "ºª":
+                        take(c, 0)
             top = scores.most_common(2)
             return top[0][0] if top and (len(top) == 1 or top[0][1] >= 4 * top[1][1]) else word
 

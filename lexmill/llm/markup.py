@@ -8,13 +8,14 @@ code is indented by four spaces, formulas are written in a line.
 
 Defined results: null gives null; a text without notation is returned as it is and counts no notation; ordinary signs
 (R$, §, <, >, *, (*), #7, file_names, blank lines to fill in, [...]) are no notation; an unclosed tag at the end of a
-text or line is notation; cleaned text cleans to itself.
+text or line is notation; a value counts as a case only where cleaning rewrote it; cleaned text cleans to itself.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from html.entities import html5
 from typing import NamedTuple
 
@@ -46,8 +47,8 @@ _MARKDOWN = [
     ("code", re.compile(r"(?<!`)`[^`\n]+`(?!`)")),
     ("strong", re.compile(r"\*\*(?=[^\s*])|(?<=[^\s*])\*\*")),
     ("strong", re.compile(r"(?<![\w_])__(?=[^\s_])(?:[^\n_]|_(?!_))+?(?<=[^\s_])__(?![\w_])")),
-    ("emphasis", re.compile(r"(?<![\w*(])\*(?=[^\s*)\d])[^*\n]{1,200}?(?<=[^\s*(])\*(?![\w*])")),
-    ("emphasis", re.compile(r"(?<![\w_/.])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_])")),
+    ("emphasis", re.compile(r"(?<![\w*(])\*(?=[^\s*)\d])[^*\n]+?(?<=[^\s*(])\*(?![\w*])")),
+    ("emphasis", re.compile(r"(?<![\w_/.])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])")),
     ("strike", re.compile(r"~~(?=\S)[^~\n]+~~")),
     ("link", re.compile(r"!?\[[^\[\]\n]*\]\((?:https?://|/|#|mailto:|www\.)[^)\s]*\)")),
     ("table", re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-{2,}:?[ \t]*)?$", re.M)),
@@ -64,7 +65,7 @@ _WIKI = [
     ("table", re.compile(r"^\{\|.*$|^\|\}|^\|-(?!-).*$", re.M)),
 ]
 _COMMAND = re.compile(r"\\(?:[A-Za-z]{2,}\*?(?=[\s{\[\\_^$)\]]|$)|[A-Za-z](?=[\s\\{_^$,.])|[\[\]()%$&#_{},;!~])")
-_MATH = re.compile(r"(?<![A-Z$\\\w])\$(?=[^\s$\d])[^$\n]{1,300}?(?<=\S)\$(?![\d$])")
+_MATH = re.compile(r"(?<![A-Z$\\\w])\$(?=[^\s$\d])[^$\n]+?(?<=\S)\$(?![\d$])")
 _TIE = re.compile(r"(?<=[\w.])~(?=[\d§\\A-Za-z])")
 
 
@@ -257,11 +258,8 @@ def _write(node: Node, out_of: frozenset[int] | set[int], depth: int = 0) -> str
 
 
 def _from_html(text: str) -> str:
-    for _ in range(3):  # escaped once or twice
-        if _ESCAPED_TAG.search(text) or _DOUBLE.search(text):
-            text = html.unescape(text)
-        else:
-            break
+    while _ESCAPED_TAG.search(text) or _DOUBLE.search(text):  # each round takes one escape away
+        text = html.unescape(text)
     if _TAG.search(text) or _OPEN_TAG.search(text):
         root = parse(_OPEN_TAG.sub("", text))
         text = _write(root, _worthless(root))
@@ -290,14 +288,21 @@ def _from_markdown(text: str) -> str:
         p = re.sub(r"^(?:\*[ \t]*){3,}$", "", p, flags=re.M)
         p = re.sub(r"\*{2,}(?=[^\s*])|(?<=[^\s*])\*{2,}", "", p)
         p = re.sub(r"(?<![\w_])__(?=[^\s_])((?:[^\n_]|_(?!_))+?)(?<=[^\s_])__(?![\w_])", r"\1", p)
-        p = re.sub(r"(?<![\w*(])\*(?=[^\s*)\d])([^*\n]{1,200}?)(?<=[^\s*(])\*(?![\w*])", r"\1", p)
-        p = re.sub(r"(?<![\w_/.])_(?=[^\s_])([^_\n]{1,200}?)(?<=[^\s_])_(?![\w_])", r"\1", p)
+        p = re.sub(r"(?<![\w*(])\*(?=[^\s*)\d])([^*\n]+?)(?<=[^\s*(])\*(?![\w*])", r"\1", p)
+        p = re.sub(r"(?<![\w_/.])_(?=[^\s_])([^_\n]+?)(?<=[^\s_])_(?![\w_])", r"\1", p)
         p = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", p)
         p = re.sub(r"(?<!`)`([^`\n]+)`(?!`)", r"\1", p)
         parts[i] = re.sub(r"^>[ \t]+(?!R\$|[\d<>=])(?=\S)", "", p, flags=re.M)
     return "\n".join(x for x in parts if x.strip() or len(parts) == 1) if len(parts) > 1 else parts[0]
 
 
+def _until_same(rewrite: Callable[[str], str], text: str) -> str:
+    """The rewriting repeated until it changes nothing; each of these rules makes a text shorter in its marks."""
+    while (new := rewrite(text)) != text:
+        text = new
+    return text
+
+
 def _from_wiki(text: str) -> str:
     text = re.sub(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", r"\2", text, flags=re.M)
     if "{|" in text:
@@ -307,8 +312,7 @@ def _from_wiki(text: str) -> str:
         text = re.sub(r"^\|\}\s?|^\|-(?!-).*$\n?", "", text, flags=re.M)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[https?://[^\s\]]+(?: ([^\]\n]*))?\]", lambda m: m[1] or "", text)
-    for _ in range(3):
-        text = re.sub(r"\{\{[^\s{}|\d][^{}|\n]*\|([^{}]*)\}\}", r"\1", text)
+    text = _until_same(lambda t: re.sub(r"\{\{[^\s{}|\d][^{}|\n]*\|([^{}]*)\}\}", r"\1", t), text)
     text = re.sub(r"\{\{[^\s{}|\d][^{}|\n]*(?:\||\}\})", "", text)
     return re.sub(r"''+", "", text)
 
@@ -318,20 +322,18 @@ _SIGNS = {"times": "×", "cdot": "·", "leq": "≤", "geq": "≥", "le": "≤",
 
 
 def _formula(text: str) -> str:
-    for _ in range(4):
-        text = re.sub(r"\\d?frac\{([^{}]*)\}\{([^{}]*)\}", lambda m: f"({m[1]})/({m[2]})", text)
-        text = re.sub(r"\\sqrt\{([^{}]*)\}", r"√(\1)", text)
-    return text
+    return _until_same(lambda t: re.sub(r"\\sqrt\{([^{}]*)\}", r"√(\1)", re.sub(r"\\d?frac\{([^{}]*)\}\{([^{}]*)\}", lambda m: f"({m[1]})/({m[2]})", t)), text)
 
 
 def _from_latex(text: str) -> str:
     text = _formula(text)
     text = re.sub(r"\\(?:begin|end)\{[a-zA-Z*]+\}(?:\{[^{}]*\})?\n?", "", text)
     text = re.sub(r"^[ \t]*\\item\b[ \t]*|\\item\b[ \t]*", "• ", text, flags=re.M)
-    for _ in range(4):
+    def unwrapped(text: str) -> str:
         text = re.sub(r"\\(?:part|chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", r"\1", text)
-        text = re.sub(r"\\(?:text\w+|emph|underline|mathrm|mathbf|mbox|footnote|url|href|label|ref|cite|title)\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
-    text = re.sub(r"(?<![A-Z$\\\w])\$(?=[^\s$\d])([^$\n]{1,300}?)(?<=\S)\$(?![\d$])", r"\1", text)
+        return re.sub(r"\\(?:text\w+|emph|underline|mathrm|mathbf|mbox|footnote|url|href|label|ref|cite|title)\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)
+    text = _until_same(unwrapped, text)
+    text = re.sub(r"(?<![A-Z$\\\w])\$(?=[^\s$\d])([^$\n]+?)(?<=\S)\$(?![\d$])", r"\1", text)
     text = re.sub(r"\\[\[\]()][ \t]?", "", text)
     text = re.sub(r"\\([A-Za-z]+)\*?", lambda m: _SIGNS.get(m[1], ""), text)
     text = re.sub(r"\\[,;!]", " ", text)
@@ -352,7 +354,8 @@ def clean(text: str | None) -> Cleaned:
     if not text or not (found := notations(text)):
         return Cleaned(text, 0, None)
     out, kinds, marks = text, set(found), sum(found.values())
-    for _ in range(4):  # notations may hold one another
+    seen = {text}
+    while True:  # notations may hold one another
         had = found
         if "html" in had:
             out = _from_html(out)
@@ -364,16 +367,19 @@ def clean(text: str | None) -> Cleaned:
             out = _from_markdown(out)
         found = notations(out)
         kinds |= set(found)
-        if not found:
+        if not found or out in seen:
             break
+        seen.add(out)
     out = re.sub(r"[ \t]+$", "", out, flags=re.M)
     out = re.sub(r"(?<=\S) {2,}", " ", out)
     out = re.sub(r"\n{3,}", "\n\n", out).strip("\n ")
+    if "".join(out.split()) == "".join(text.split()):  # nothing was rewritten: the signs are no notation
+        return Cleaned(text, 0, None)
     return Cleaned(out, marks, "+".join(sorted(kinds)))
 
 
 #: Signs without which a text holds no notation.
-MAY_HOLD = r"""[<&\\`*_#~{|=]|\[\[|\]\(|\[http|''|(?m)^>|(?<![A-Z])\$"""
+MAY_HOLD = r"""[<&\\`*_#~{|=]|(?m)^[+]|\[\[|\]\(|\[http|''|(?m)^>|(?<![A-Z])\$"""
 
 CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("marks", T.IntegerType()), T.StructField("notation", T.StringType())])
 

@@ -39,7 +39,7 @@ _BREAK = re.compile(rf"(?<![{L}])([{L}]+)({_HYPHEN}) ?\n[ \t]*([a-zß-öø-ÿ]+)
 _INLINE = re.compile(rf"(?<![{L}-])([{L}]+)({_HYPHEN}) ([a-zß-öø-ÿ]+)(?![{L}-])")
 _SPACED = re.compile(rf"(?<![{L}\d’'.-])[{L}](?:(?: [A-ZÀ-ÖØ-Þ]){{3,}}|(?: [a-zß-öø-ÿ]){{3,}})(?![{L}])")
 #: Words with signs or figures for letters; what is joined to further signs (addresses, keys) is left alone.
-_MIXED = re.compile(rf"(?<![{L}\d@|=/_+.&#$-])(?=[{L}\d@|]*[@|\d])(?=[{L}\d@|]*[{L}])[{L}\d@|ﬁﬂ]{{3,25}}(?![{L}\d@|=/_+&#]|\.[{L}\d])|(?<![{L}ﬁﬂ])[{L}]*[ﬁﬂ][{L}ﬁﬂ]*")
+_MIXED = re.compile(rf"(?<![{L}\d@|=/_+.&#$-])(?=[{L}\d@|]*[@|\d])(?=[{L}\d@|]*[{L}])[{L}\d@|ﬁﬂ]{{3,}}(?![{L}\d@|=/_+&#]|\.[{L}\d])|(?<![{L}ﬁﬂ])[{L}]*[ﬁﬂ][{L}ﬁﬂ]*")
 
 #: Confusions: what is read -> [(what it was, log probability)].
 CONFUSIONS = {
@@ -49,6 +49,18 @@ CONFUSIONS = {
     "ii": [("n", -5.0), ("u", -5.0)], "u": [("n", -5.0)], "n": [("u", -5.0)], "f": [("t", -5.0)], "t": [("f", -5.0)],
 }
 _SIGNS = frozenset("@|ﬁﬂ0123456789")
+#: What is equal for words that confusions turn into one another, letter by letter: strokes, bowls and the like.
+_OUTLINES = str.maketrans(
+    dict.fromkeys("filt1|", "I") | dict.fromkeys("nu", "II") | dict.fromkeys("ce3", "E") | dict.fromkeys("bh86", "B") | dict.fromkeys("qçg9", "G")
+    | {"m": "rII", "d": "EI", "w": "vv", "@": "a", "4": "a", "0": "o", "5": "s", "ﬁ": "II", "ﬂ": "II"}
+)
+
+
+def _outline(word: str) -> str:
+    """The outline of a lower-case word: a word and what it may have been have the same."""
+    return word.translate(_OUTLINES)
+
+
 
 _PAGE = r"(?:P[ÁA]GINA:? ?\d{1,5}|P[áa]gina:? \d{1,5}(?: (?:de|/) \d{1,5})?|P[áa]g\. ?\d{1,5}(?: ?/ ?\d{1,5})?|[Ff]l(?:s)?\. ?\d{1,5}|\d{1,5} \| ?P ?á ?g ?i ?n ?a|- ?\d{1,5} ?-|\[\d{1,5}\]|\d{1,4})"
 _UPPER = r"[A-ZÀ-ÖØ-Þ]"
@@ -80,25 +92,30 @@ class Lexicon:
         self.words, self.pairs, self.total = words, pairs, max(total, 1)
         self.floor = max(1.0, total * WORD_SHARE)
         self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
-
-    def _variants(self, low: str) -> dict[str, float]:
-        """What the word may have been, with the log probability of the confusions: up to three of them."""
-        out, front = {low: 0.0}, {low: (0.0, 0, 0)}
-        for _ in range(3):
-            new: dict[str, tuple[float, int, int]] = {}
-            for w, (p, at, n) in front.items():
-                for i in range(at, len(w)):
-                    for size in (2, 1):
-                        for was, q in CONFUSIONS.get(w[i : i + size], ()) if i + size <= len(w) else ():
-                            v = w[:i] + was + w[i + size :]
-                            if v not in out or out[v] < p + q:
-                                out[v] = p + q
-                                new[v] = (p + q, i + len(was), n + 1)
-            front = new
-            if len(out) > 4000:
-                break
-        del out[low]
-        return out
+        self.reached: dict[tuple[int, int], float] = {}
+        self.alike: dict[str, list[str]] = {}
+        for w in words:
+            self.alike.setdefault(_outline(w), []).append(w)
+
+    def _channel(self, low: str, was: str) -> float | None:
+        """Log probability of the likeliest confusions by which one word is read as another, however many; None: there are none."""
+        front: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        best: float | None = None
+        while front:
+            (i, j), p = front.popitem()
+            if i == len(low) and j == len(was):
+                best = p if best is None else max(best, p)
+                continue
+            steps = [(i + 1, j + 1, p)] if i < len(low) and j < len(was) and low[i] == was[j] else []
+            for size in (2, 1):
+                for w, q in CONFUSIONS.get(low[i : i + size], ()) if i + size <= len(low) else ():
+                    if was.startswith(w, j):
+                        steps.append((i + size, j + len(w), p + q))
+            for x, y, r in steps:
+                if self.reached.get((x, y), -math.inf) < r:
+                    self.reached[x, y] = front[x, y] = r
+        self.reached.clear()
+        return best
 
     def candidates(self, word: str) -> tuple[tuple[str, float], ...]:
         """Frequent words that this one may be a misreading of, lower case, with channel log probability; best first."""
@@ -112,16 +129,17 @@ class Lexicon:
 
     def _find(self, low: str) -> tuple[tuple[str, float], ...]:
         mixed = any(c in _SIGNS for c in low)
-        if len(low) > 25 or len(low) < (3 if mixed else 4):
+        if len(low) < (3 if mixed else 4):
             return ()
         own = self.words.get(low, 0)
         if not mixed and own >= self.total * 2e-4:
             return ()
         need = max(own, self.floor) * (2 if mixed else 20)
-        found = [(w, p) for w, p in self._variants(low).items() if self.words.get(w, 0) >= need and len(w) >= 2 and not (len(w) < 4 and not mixed)]
-        if mixed and not found:
-            return ()
-        return tuple(sorted(found, key=lambda x: -(x[1] + math.log(self.words[x[0]])))[:8])
+        found = []
+        for w in self.alike.get(_outline(low), ()):
+            if w != low and self.words[w] >= need and len(w) >= 2 and not (len(w) < 4 and not mixed) and (p := self._channel(low, w)) is not None:
+                found.append((w, p))
+        return tuple(sorted(found, key=lambda x: -(x[1] + math.log(self.words[x[0]]))))
 
     def _step(self, a: str, b: str) -> float:
         n = self.pairs.get((a, b), 0)
@@ -232,10 +250,8 @@ class Repairer:
                     return f"{w[0]} {w[1:]}"
             return w
 
-        for _ in range(3):
+        while _MAY_BREAK.search(text):  # every round but the last joins something
             had = n
-            if not _MAY_BREAK.search(text):
-                break
             text = _INLINE.sub(inline, _BREAK.sub(broken, text))
             if n == had:
                 break

@@ -49,17 +49,13 @@ def split_oversized(texts: DataFrame, limits: DataFrame) -> DataFrame:
     long = texts.join(bounds, ["table_name", "kind"]).where(F.length("text") > F.col("_max")).dropDuplicates(["table_name", "row_key", "kind", "text"])
     room = F.col("_max") - F.col("_over")
     cut = long.withColumn("_p", F.regexp_extract_all("text", _pattern(room), F.lit(0)))
-    # start of each piece: running sum of the lengths before it
-    grow = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    starts = F.aggregate("_p", zero, grow, lambda acc: acc["all"])
-    rows = cut.select("table_name", "row_key", "text", "_over", F.posexplode(F.arrays_zip(F.col("_p").alias("p"), starts.alias("at"))).alias("i", "_z"))
-    back = F.least(F.col("_over"), F.col("_z.at"))
-    return rows.select(
-        "table_name",
-        "row_key",
-        (F.col("i") + 1).alias("piece_no"),
-        (F.col("_z.at") - back).alias("start_char"),
-        back.alias("overlap"),
-        F.substring(F.col("text"), F.col("_z.at") - back + 1, back + F.length("_z.p")).alias("piece_text"),
-    )
+    # each piece is what was consumed before it, as far back as the overlap, and its own part: no piece looks at the whole text
+    def grow(acc: Column, p: Column) -> Column:
+        tail = F.length(acc["tail"])
+        piece = F.struct((acc["at"] - tail).alias("start_char"), tail.alias("overlap"), F.concat(acc["tail"], p).alias("piece_text"))
+        return F.struct((acc["at"] + F.length(p)).alias("at"), F.right(F.concat(acc["tail"], p), F.col("_over")).alias("tail"), F.concat(acc["all"], F.array(piece)).alias("all"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start_char: int, overlap: int, piece_text: string>>").alias("all"))
+    pieces = F.aggregate("_p", zero, grow, lambda acc: acc["all"])
+    rows = cut.select("table_name", "row_key", F.posexplode(pieces).alias("i", "z"))
+    return rows.select("table_name", "row_key", (F.col("i") + 1).alias("piece_no"), "z.start_char", "z.overlap", "z.piece_text")

@@ -43,6 +43,10 @@ FILLERS = frozenset(
      "desconhecido", "desconhecida", "ignorado", "ignorada", "sem data", "sem informação", "sem informacao", "não disponível", "nao disponivel", "indisponível", "a definir", "null", "none", "?"]
 )
 LOCAL_ZONE = "America/Sao_Paulo"
+#: Masks longer than this are parsed like all others, but not remembered.
+CACHED_MASK = 200
+#: Seconds of the Gregorian cycle of 400 years, after which rules repeat.
+CYCLE = 146_097 * 86_400
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
@@ -99,8 +103,11 @@ class ZoneTable(NamedTuple):
     offset: list[int]
 
 
-def zone_table(spark: SparkSession, zone: str = LOCAL_ZONE, last_year: int = 2060) -> ZoneTable:
-    """The transition table of the session's time zone database, with its version. About a hundred rows."""
+def zone_table(spark: SparkSession, zone: str = LOCAL_ZONE, last_year: int = 2400) -> ZoneTable:
+    """The transition table of the session's time zone database, with its version. At most some hundred rows.
+
+    Rules for the future are written out up to ``last_year``; what lies beyond is read a cycle of 400 years earlier.
+    """
     jvm = spark._jvm
     rules = jvm.java.time.ZoneId.of(zone).getRules()
     rows = [(t.toEpochSecond(), t.getOffsetBefore().getTotalSeconds(), t.getOffsetAfter().getTotalSeconds()) for t in rules.getTransitions()]
@@ -138,6 +145,13 @@ def _offsets(zone: str, n: int) -> np.ndarray | None:
     return np.full(n, (1 if m[1] == "+" else -1) * (int(m[2]) * 3600 + int(m[3] or 0) * 60))
 
 
+def _within_table(local: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Local seconds beyond a table that is written out that far, moved back by whole cycles."""
+    if not len(at) or at[-1] < CYCLE:
+        return local
+    return np.where(local > at[-1], at[-1] - CYCLE + (local - at[-1]) % CYCLE, local)
+
+
 def parse_values(values: pd.Series, zone: ZoneTable) -> pd.DataFrame:
     """kind, mask, day (as written, days since 1970), instant (microseconds since 1970 in UTC) of each value."""
     n = len(values)
@@ -151,12 +165,12 @@ def parse_values(values: pd.Series, zone: ZoneTable) -> pd.DataFrame:
         if v is None or v != v or (low := _SPACE.sub(" ", v.strip().lower())) in FILLERS:
             kind[i] = "missing"
             continue
-        normal[i] = low = _normal(v) if len(v) <= 80 else v[:80]
+        normal[i] = low = _normal(v)
         masks[i] = low.translate(_DIGIT)
         groups.setdefault(masks[i], []).append(i)
     local_at, offsets = np.array(zone.local, dtype=np.int64), np.array(zone.offset, dtype=np.int64)
     for mask, rows in groups.items():
-        if len(mask) >= 80 or not (p := parser_of(mask)):
+        if not (p := parser_of(mask) if len(mask) <= CACHED_MASK else parser_of.__wrapped__(mask)):
             continue
         at = np.array(rows)
         texts = [normal[i] for i in rows]
@@ -201,7 +215,7 @@ def parse_values(values: pd.Series, zone: ZoneTable) -> pd.DataFrame:
                 else:
                     off[written == z] = o[0]
         else:
-            off = offsets[np.searchsorted(local_at, local, side="right")]
+            off = offsets[np.searchsorted(local_at, _within_table(local, local_at), side="right")]
         us = (local - off) * 1_000_000 + micros
         kind[at[real]], day[at[real]], instant[at[real]] = "instant", days[real], us[real]
     return pd.DataFrame({"kind": kind, "mask": masks, "day": pd.array(day, dtype="Int64"), "instant": pd.array(instant, dtype="Int64")})

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -95,3 +96,17 @@ def test_table(spark):
     r = got.where("record_id = 1 and field_name = 'data'").first()
     assert (str(r["day"]), str(r["day_utc"]), r["zone_version"].startswith("America/Sao_Paulo@")) == ("2022-06-12", "2022-06-13", True)
     assert t.normalise_timestamps(df.limit(0), "record_id", ["data"]).count() == 0
+
+
+def test_long_values_and_far_years():
+    wide = "12/05/2020" + " " * 300 + "às" + " " * 200 + "23:30"
+    zone = t.ZoneTable("x", "1", [], [-10_800])
+    got = t.parse_values(pd.Series([wide, "palavra " * 40, "31/12/9998 23:30"]), zone)
+    assert got["kind"].tolist() == ["instant", "unreadable", "instant"] and got["day"][0] == 18394
+
+
+def test_rules_repeat_after_the_table():
+    year = 365 * 86_400
+    at = [t.CYCLE + 1000 * year + k * year // 2 for k in range(4)]
+    local = np.array([at[-1] - t.CYCLE + 5, at[-1] + 5, at[-1] + t.CYCLE + 5])
+    assert (t._within_table(local, np.array(at)) == local[0]).all()

@@ -10,6 +10,8 @@ LEVEL_SCORES = {1: 0.84, 2: 0.62, 3: 0.40, 4: 0.20}
 RANK_SCORES = {1: 1.00, 2: 0.92, 3: 0.84, 4: 0.76}
 #: Weights of evidence, authority and jurisdiction.
 WEIGHTS = (0.68, 0.20, 0.12)
+#: Fixed value: score of a federal source where the state is asked for, and the other way round.
+OTHER_JURISDICTION = 0.25
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -29,9 +31,9 @@ def authority_score(level: Column, rank: Column) -> Column:
 
 
 def jurisdiction_score(asked: Column, own: Column) -> Column:
-    """Half where nothing is asked or known, one for the same, zero for the federal against the state."""
+    """Half where nothing is asked or known, one for the same, a quarter for the federal against the state."""
     differ = ((asked == "federal") & (own == "estadual_sp")) | ((asked == "estadual_sp") & (own == "federal"))
-    return F.when(asked.isNull() | own.isNull(), 0.5).when(asked == own, 1.0).when(differ, 0.0).otherwise(0.5)
+    return F.when(asked.isNull() | own.isNull(), 0.5).when(asked == own, 1.0).when(differ, OTHER_JURISDICTION).otherwise(0.5)
 
 
 def quality_score(confidence: Column) -> Column:

@@ -30,7 +30,7 @@ def density(c: Column) -> Column:
 def reject_reason(c: Column, norm: Column, least_chars: int = 800, least_lines: int = 6) -> Column:
     """Why a document is rejected; null for accepted. norm: whether it must be a norm (header and an article)."""
     text = F.coalesce(c, F.lit(""))
-    header = F.regexp_like(text, F.lit(r"(?im)^\s*(lei|decreto|portaria|resolução|instrução normativa|emenda)\b"))
+    header = F.regexp_like(text, F.lit(r"(?imu)^\s*(lei|decreto|portaria|resolução|instrução normativa|emenda)\b"))
     article = F.regexp_like(text, F.lit(r"(?i)\bart(igo)?\.?\s*\d"))
     return (
         F.when(F.length(X.squeeze(text)) < least_chars, "short")

@@ -36,7 +36,7 @@ def case_metrics(rankings: DataFrame, cases: DataFrame, ks: list[int]) -> DataFr
 
     rankings: case_id, rank (from 1), source, and those of KNOWN there are. cases: case_id, expected array<string>, and
     those of ASKED there are. Null where nothing is expected; a case_id that stands twice is an error. Without points a case
-    is rejected. The raw nDCG counts every point of an expected source, so it can exceed 1.
+    is rejected. The raw nDCG counts every point of an expected source, so it can exceed 1. A point without a source is no false positive, but counts among the points.
     """
     asked = [f"_{c}" for c in ASKED]
     single = cases.select("case_id", "expected", *_optional(cases, ASKED, "_")).groupBy("case_id").agg(F.count("*").alias("_times"), *[F.first(c).alias(c) for c in ("expected", *asked)])
@@ -59,7 +59,7 @@ def case_metrics(rankings: DataFrame, cases: DataFrame, ks: list[int]) -> DataFr
             F.count_distinct(F.when(top & F.col("hit"), F.col("source"))).cast("double").alias(f"_found_{k}"),
             F.sum(F.when(top & F.col("hit"), gain).otherwise(0.0)).alias(f"_dcg_{k}"),
             F.sum(F.when(top & F.col("first"), gain).otherwise(0.0)).alias(f"_dcg1_{k}"),
-            F.avg(F.when(top, (~F.col("hit")).cast("double"))).alias(f"fp_rate_{k}"),
+            F.coalesce(F.avg(F.when(top, (~F.col("hit") & (F.length(F.coalesce("source", F.lit(""))) > 0)).cast("double"))), F.lit(0.0)).alias(f"fp_rate_{k}"),
             F.coalesce(F.max(top & F.col("fits")), F.lit(False)).alias(f"_fits_{k}"),
         ]
     got = rows.groupBy("case_id").agg(*aggs)
@@ -78,7 +78,7 @@ def case_metrics(rankings: DataFrame, cases: DataFrame, ks: list[int]) -> DataFr
             F.when(some, F.col(f"_found_{k}") / n).alias(f"recall_{k}"),
             F.when(some, F.col(f"_dcg_{k}") / ideal(k)).alias(f"ndcg_raw_{k}"),
             F.when(some, F.col(f"_dcg1_{k}") / ideal(k)).alias(f"ndcg_{k}"),
-            F.col(f"fp_rate_{k}"),
+            F.when(some, F.col(f"fp_rate_{k}")).alias(f"fp_rate_{k}"),
             F.when(F.col("_temporal_rejection_test"), ~F.col(f"_fits_{k}") == F.coalesce("_expected_temporal_rejection", F.lit(True))).alias(f"temporal_rejection_correct_{k}"),
         ]
     return got.select(*out)

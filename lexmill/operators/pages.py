@@ -66,7 +66,7 @@ def sanitize(c: Column) -> Column:
     """A page's text: spaces collapsed, broken words joined, page numbers taken out, at most one blank line running."""
     t = F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), X.squeeze), "\n")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}_])-\s+(?=[\p{L}\p{N}_])", "")
-    t = F.regexp_replace(t, r"(?im)^(?:p[aá]gina|page)\s*[:\-]?\s*[0-9]+[a-z-]*\s*$", "")
+    t = F.regexp_replace(t, r"(?imu)^(?:p[aá]gina|page)\s*[:\-]?\s*[0-9]+[a-z-]*\s*$", "")
     t = F.regexp_replace(t, r"(?m)^[0-9]{1,5}(?:\s*[-/]\s*[0-9]+)?\s*$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""))
 

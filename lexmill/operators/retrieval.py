@@ -6,6 +6,7 @@ another, and no list of candidates leaves the cluster.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,24 +21,71 @@ from lexmill.settings import Settings
 
 #: Terms of a query set that are looked up where the texts lie; a larger set is joined.
 VOCABULARY = 10_000
+#: Query terms (a term of a query each) that are brought to the texts, and scores that a batch holds at once.
+PAIRS, SCORES = 200_000, 4_000_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", settings: Settings = Settings()) -> DataFrame:
-    """query_id, key, score: every document that shares a term with a query.
+def _query_terms(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    return queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(query_text)))).alias("term"))
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", settings: Settings = Settings()) -> DataFrame:
+    """query_id, key, score (six places), rank: the k best documents of each query.
 
     One pass over the texts gives each document's length and its occurrences of the queries' terms; that is written out
-    (checkpoint), as the corpus's figures are needed before the scores. Nothing of other terms leaves the pass.
+    (checkpoint), as the corpus's figures are needed before the scores. Scores are made where a document's terms lie, and each
+    batch of documents keeps what may be among the k best of a query, so no row for a query and document is shuffled but
+    these. A query set of more than VOCABULARY terms, or PAIRS query terms, is joined instead.
     """
     k1, b = settings.bm25_k1, settings.bm25_b
-    terms = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(query_text)))).alias("term"))
-    vocabulary = [r["term"] for r in terms.select("term").distinct().orderBy("term").limit(VOCABULARY + 1).collect()]
+    pairs = [tuple(r) for r in _query_terms(queries, query_key, query_text).limit(PAIRS + 1).collect()]
+    vocabulary = sorted({t for _, t in pairs})
+    if len(pairs) > PAIRS or len(vocabulary) > VOCABULARY:
+        return top_k(bm25(docs, queries, key, text, query_key, query_text, settings).withColumn("score", F.round("score", 6)), k, "query_id", key)
+    found = X.tokens(F.coalesce(F.col(text), F.lit("")))
+    sized = cut(docs.select(F.col(key).alias("_key"), found.alias("_t")).select("_key", F.size("_t").cast("double").alias("dl"), F.filter("_t", lambda t: t.isin(*vocabulary)).alias("_t")))
+    n, avgdl = sized.agg(F.count("*"), F.avg("dl")).first()
+    some = sized.where(F.size("_t") > 0)
+    df = {r["term"]: r["n"] for r in some.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most VOCABULARY rows
+    asked = sorted({q for q, _ in pairs})
+    number = {q: i for i, q in enumerate(asked)}
+    idf = {t: float(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))) for t in vocabulary if t in df}
+    of: dict[str, list[int]] = {}
+    for q, t in pairs:
+        of.setdefault(t, []).append(number[q])
+    held = docs.sparkSession.sparkContext.broadcast((asked, idf, {t: np.array(qs) for t, qs in of.items()}, avgdl))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, idf, of, mean = held.value
+        for pdf in batches:
+            out = []
+            step = max(1, SCORES // max(len(asked), 1))
+            for at in range(0, len(pdf), step):
+                keys, lengths, lists = (pdf[c].to_numpy()[at : at + step] for c in ("_key", "dl", "_t"))
+                scores = np.zeros((len(asked), len(keys)))
+                for j, (dl, found) in enumerate(zip(lengths, lists, strict=True)):
+                    for t, tf in Counter(found).items():
+                        scores[of[t], j] += idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+                for i, row in enumerate(scores):
+                    hit = np.flatnonzero(row)
+                    if len(hit) > k:  # ties to six places stay in
+                        hit = hit[row[hit] >= np.partition(row[hit], -k)[-k] - 2e-6]
+                    out.append(pd.DataFrame({"query_id": np.full(len(hit), asked[i], dtype=object), key: keys[hit], "score": row[hit]}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], key: [], "score": []})
+
+    kinds = dict(queries.dtypes)[query_key], dict(docs.dtypes)[key]
+    best = some.mapInPandas(scan, f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double")
+    return top_k(best.withColumn("score", F.round("score", 6)), k, "query_id", key)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query_text: str = "query", settings: Settings = Settings()) -> DataFrame:
+    """query_id, key, score: every document that shares a term with a query; a join by terms, for query sets of any size and results without a limit."""
+    k1, b = settings.bm25_k1, settings.bm25_b
+    terms = _query_terms(queries, query_key, query_text)
     found = X.tokens(F.coalesce(F.col(text), F.lit("")))
-    known = F.filter("_t", lambda t: t.isin(*vocabulary)) if len(vocabulary) <= VOCABULARY else F.col("_t")
-    sized = cut(docs.select(F.col(key).alias("_key"), found.alias("_t")).select("_key", F.size("_t").cast("double").alias("dl"), known.alias("_t")))
+    sized = cut(docs.select(F.col(key).alias("_key"), found.alias("_t")).select("_key", F.size("_t").cast("double").alias("dl"), "_t"))
     whole = sized.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("w")).scalar()
-    words = sized.select("_key", "dl", F.explode("_t").alias("term"))
-    if len(vocabulary) > VOCABULARY:
-        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    words = sized.select("_key", "dl", F.explode("_t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     tf = words.groupBy("_key", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weights = df.select("term", "df", whole.alias("_w")).select("term", F.col("_w.avgdl").alias("avgdl"), F.log1p((F.col("_w.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -133,7 +181,7 @@ def dense_best_per_group(vectors: DataFrame, queries: DataFrame, group: str, key
 
 
 def fuse(arms: list[DataFrame], k: int, key: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists (query_id, key, rank from 1): query_id, key, score, rank."""
+    """Reciprocal-rank fusion of ranked lists (query_id, key, rank from 1): query_id, key, score, rank. Ties go to the smaller key."""
     rows = [a.select("query_id", key, (1.0 / (settings.rrf_k + F.col("rank") - 1 + settings.rank_base)).alias("part")) for a in arms]
     every = rows[0]
     for r in rows[1:]:

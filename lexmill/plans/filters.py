@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
+
 #: Keys of filters, those of numbers, regimes of the past.
 KEYS = frozenset(
     "jurisdicao esfera orgao tribunal tipo_documento source_role authority_level normative_rank status revogado ano norm_ano municipio modalidade tipo source_id regime_juridico".split()
@@ -35,6 +37,15 @@ REGIME_MARKS = {
 #: Words of comparison and of the past.
 COMPARING = ["transicao", "regime anterior", "antes e depois", "diferenca entre", "diferencas entre", "comparar", "comparacao", "comparativo", "versus", " vs ", "em relacao", "o que mudou", "o que muda", "mudancas da nova lei", "mudancas entre"]
 PAST = ["historico", "historica", "a epoca", "naquela epoca", "era aplicavel", "estava vigente", "estava em vigor", "quando era aplicavel", "antes de", "depois de"]
+#: Words that name a court, and the court; regimes as they are written; what makes a sentence about two sources; sources by what names them.
+TRIBUNALS = [
+    ("tcesp", "tcesp"), ("tce-sp", "tcesp"), ("tribunal de contas do estado de sao paulo", "tcesp"), ("tcu", "tcu"), ("stj", "stj"), ("stf", "stf"),
+    ("tjsp", "tjsp"), ("tribunal de justica de sao paulo", "tjsp"),
+]
+LABELS = {"lei_14133": "Lei 14.133/2021", "lei_8666": "Lei 8.666/1993", "lei_10520": "Lei 10.520/2002", "lei_12462": "Lei 12.462/2011"}
+MANUAL, MANUAL_SOURCE = ["manual de licitacoes", "tcu"], "tcu-manual-licitacoes"
+STATE_CONSTITUTION, STATE_SOURCE = ["constituicao do estado de sao paulo", "constituicao estadual de sao paulo", "constituicao paulista"], "sp-const"
+CONSTITUTION, CONSTITUTION_SOURCE = ["constituicao federal", "segundo a constituicao"], "cf1988"
 FEDERAL = ["uniao", "federal", "tcu", "stf", "stj", "agu"]
 STATE = ["sao paulo", "tcesp", "tjsp", "tce-sp", "paulista"]
 _MONTHS = "janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro dezembro".split()
@@ -72,7 +83,7 @@ def _value(key: str, raw: str) -> object:
 
 @dataclass
 class Filter:
-    """What is asked of one key: any of some values, or bounds."""
+    """What is asked of one key: any of some values, or bounds. A value given before bounds is kept with them and decides."""
 
     any_of: list = field(default_factory=list)
     bounds: dict[str, int] = field(default_factory=dict)
@@ -88,7 +99,7 @@ class Filter:
 
 
 def parse_inline(raw: str) -> tuple[str, dict[str, Filter]]:
-    """The question without its filters, and the filters. Equal keys add values; bounds and values don't mix."""
+    """The question without its filters, and the filters. Equal keys add values; a value after bounds is an error."""
     found: dict[str, Filter] = {}
     if bad := sorted({m[1] for m in _INLINE.finditer(raw)} - KEYS):
         raise FilterError("unknown: " + ", ".join("@" + b for b in bad))
@@ -105,8 +116,9 @@ def parse_inline(raw: str) -> tuple[str, dict[str, Filter]]:
         else:
             if key not in NUMBERS:
                 raise FilterError(f"@{key} takes no {op}")
-            if not f.any_of:  # a value given before stands alone
-                f.bounds[op] = _value(key, text)
+            f.bounds[op] = _value(key, text)
+            if len(f.any_of) > 1:
+                raise FilterError(f"@{key} mixes values and bounds")
     return _INLINE.sub("", raw).strip(), found
 
 
@@ -170,6 +182,67 @@ def regimes(question: str) -> list[str]:
     return [k for k, marks in REGIME_MARKS.items() if holds(question, marks)]
 
 
+def cross_source(question: str) -> bool:
+    """Whether a question asks for the law of 2021 and for the manual of the federal court at once: neither may become a filter."""
+    low = folded(question)
+    return any(m in low for m in REGIME_MARKS["lei_14133"]) and all(m in low for m in MANUAL)
+
+
+def transition_regimes(question: str) -> list[str]:
+    """Regimes that a comparing question is about, the law of 2021 first where it is asked what changed."""
+    low, found = folded(question), regimes(question)
+    if not found:
+        found = ["lei_14133", "lei_8666"]
+    elif "lei_14133" not in found and any(m in low for m in ("mudou", "diferenca", "compar")):
+        found.insert(0, "lei_14133")
+    if holds(question, COMPARING):
+        found += [r for mark, r in (("pregao", "lei_10520"), ("rdc", "lei_12462")) if mark in low]
+    return list(dict.fromkeys(found))
+
+
+def inferred(question: str) -> dict[str, object]:
+    """Filters that a question's words ask for: jurisdicao, tribunal, source_id, authority_level, normative_rank."""
+    low, out = folded(question), {}
+    if j := jurisdiction(question):
+        out["jurisdicao"] = j
+    if not cross_source(question):
+        if court := next((t for m, t in TRIBUNALS if m in low), None):
+            out["tribunal"] = court
+        if all(m in low for m in MANUAL):
+            out["source_id"] = MANUAL_SOURCE
+    if any(m in low for m in STATE_CONSTITUTION):
+        out["source_id"] = STATE_SOURCE
+    elif low == "constituicao" or any(m in low for m in CONSTITUTION):
+        out["source_id"] = CONSTITUTION_SOURCE
+    if out.get("source_id") in (STATE_SOURCE, CONSTITUTION_SOURCE):
+        out |= {"authority_level": 1, "normative_rank": 1}
+    return out
+
+
+def inferred_columns(question: Column) -> Column:
+    """Struct (comparative, historical, cross_source, tribunal, source_id, jurisdicao, regimes) of a column of questions: the same rules over the same lists."""
+
+    def read(low: Column) -> Column:
+        has = lambda m: F.contains(low, F.lit(m))
+        some = lambda ms: reduce(lambda a, b: a | b, [has(m) for m in ms])
+        manual = reduce(lambda a, b: a & b, [has(m) for m in MANUAL])
+        cross = some(REGIME_MARKS["lei_14133"]) & manual
+        words = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9-]+", " "), F.lit(" "))
+        federal, state = (reduce(lambda a, b: a | b, [F.contains(words, F.lit(f" {w} ")) for w in ws]) for ws in (FEDERAL, STATE))
+        named = F.filter(F.array(*[F.when(some(marks), k) for k, marks in REGIME_MARKS.items()]), lambda x: x.isNotNull())
+        return F.struct(
+            some(COMPARING).alias("comparative"),
+            some(PAST).alias("historical"),
+            cross.alias("cross_source"),
+            F.when(~cross, F.coalesce(*[F.when(has(m), t) for m, t in TRIBUNALS])).alias("tribunal"),
+            F.when(some(STATE_CONSTITUTION), STATE_SOURCE).when((low == "constituicao") | some(CONSTITUTION), CONSTITUTION_SOURCE).when(~cross & manual, MANUAL_SOURCE).alias("source_id"),
+            F.when(federal & ~state, "federal").when(state & ~federal, "estadual_sp").alias("jurisdicao"),
+            named.alias("regimes"),
+        )
+
+    return X.once(X.fold(F.coalesce(question, F.lit(""))), read)
+
+
 def jurisdiction(question: str) -> str | None:
     """Federal or state where the question names words of one alone; whole words only."""
     low = " " + re.sub(r"[^a-z0-9-]+", " ", folded(question)) + " "
@@ -234,11 +307,12 @@ def plan(raw: str, given: dict[str, Filter] | None = None) -> Plan:
     named = regimes(question)
     window = None if comparative and len(found) > 1 else found[0] if found else None
     filters = {**inline, **(given or {})}
-    if "jurisdicao" not in filters and (j := jurisdiction(question)):
-        filters["jurisdicao"] = Filter([j])
+    for k, v in inferred(question).items():
+        filters.setdefault(k, Filter([v]))
     explicit = "regime_juridico" in filters
-    if not explicit and not comparative and named:
+    by_regime = named and not cross_source(question)
+    if not explicit and not comparative and by_regime:
         filters["regime_juridico"] = Filter(list(named))
-    exclude = not explicit and not named and not (comparative or historical or window)
-    search = f"{question} [FOCO TEMPORAL: comparar os regimes {', '.join(named or ['lei_14133', 'lei_8666'])}]" if comparative else question
+    exclude = not explicit and not by_regime and not (comparative or historical or window)
+    search = f"{question} [FOCO TEMPORAL: comparar os regimes {'; '.join(LABELS[r] for r in transition_regimes(question))}]" if comparative else question
     return Plan(question, search, filters, window, comparative, historical, named, exclude)

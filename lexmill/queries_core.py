@@ -14,7 +14,7 @@ from lexmill.functions import text as X
 from lexmill.functions import vectors as V
 from lexmill.operators import acceptance, ann, evaluation, gate, index, legal, metadata, pages, records, retrieval, timestamps
 from lexmill.plans import filters
-from lexmill.session import table
+from lexmill.session import cut, table
 from lexmill.sources import catalog, courts, html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,48 @@ def tokens_sql(c: str) -> str:
     return f"regexp_extract_all({fold_sql(c)}, '{X.TOKEN}')"
 
 
+#: File names beside the data's, so that every rule meets one.
+NAMES = [
+    "TCESP_manual.pdf", "acordao_tcu.txt", "stj-1.txt", "stf.pdf", "tjsp_2.txt", "constituicao_federal.pdf", "constituicao_estadual.txt", "L14133.pdf", "lei-14.133-sp.txt", "guia_sustentavel.pdf", "obras.txt", "norma_sp_1.txt", "lei_8666.txt",
+    "decretolei.txt", "lindb.txt", "doutrina.txt", "direito_administrativo.txt", "improbidade.md", "resolucao_3.txt", "aviso.txt", "tribunal de contas do estado de são paulo.txt", "espera.txt",
+]
+
+
+def rules_sql(n: str) -> str:
+    """What a file name says, as a struct; rule after rule."""
+    has = lambda *ms: "(" + " OR ".join(f"contains({n}, '{m}')" for m in ms) + ")"
+    sp = rf"regexp_matches({n}, '(^|[_\-.])sp([_\-.]|$)')"
+    law = rf"(regexp_matches({n}, '(^|[_\-.])(l|lei)?14[ ._\-]?133([_\-.]|$)') OR regexp_matches({n}, 'lei.?14[ ._\-]?133'))"
+
+    def row(orgao: str | None, jurisdicao: str | None, tribunal: str | None, kind: str | None, role: str, level: int | None, ambiguous: bool = False) -> str:
+        v = lambda x: "NULL" if x is None else f"'{x}'"
+        sphere = {"estadual_sp": "estadual", "federal": "federal"}.get(jurisdicao)
+        return f"{{'orgao': {v(orgao)}::VARCHAR, 'jurisdicao': {v(jurisdicao)}::VARCHAR, 'esfera': {v(sphere)}::VARCHAR, 'tribunal': {v(tribunal)}::VARCHAR, 'tipo_documento': {v(kind)}::VARCHAR, 'source_role': '{role}', 'authority_level': {level or 'NULL'}::INT, 'ambiguous': {str(ambiguous).lower()}}}"
+
+    state, nation = "estadual_sp", "federal"
+    rules = [
+        (f"{sp} AND {law}", row(None, None, None, None, "desconhecido", None, True)),
+        (has("tcesp", "tribunal de contas do estado de são paulo", "tribunal de contas do estado de sao paulo"), row("TCESP", state, "TCESP", "jurisprudencia", "jurisprudencia_controle", 2)),
+        (has("tcu"), row("TCU", nation, "TCU", "jurisprudencia", "jurisprudencia_controle", 2)),
+        (has("stj"), row("STJ", nation, "STJ", "jurisprudencia", "jurisprudencia", 2)),
+        (has("stf"), row("STF", nation, "STF", "jurisprudencia", "jurisprudencia", 2)),
+        (has("tjsp"), row("TJSP", state, "TJSP", "jurisprudencia", "jurisprudencia", 2)),
+        (has("constituicao") + f" AND {has('estadual')}", row("Constituição", state, None, "constituicao", "norma", 1)),
+        (has("constituicao"), row("Constituição", nation, None, "constituicao", "norma", 1)),
+        (law, row("Legislação Federal", nation, None, "lei", "norma", 1)),
+        (has("sustent", "ambient", "engenharia", "obras"), row("AGU", nation, None, "guia", "orientacao_oficial", 3)),
+        (sp, row("Estado de São Paulo", state, None, None, "norma", 1)),
+        (has("lei_", "decreto_", "decretolei", "resolucao_", "lindb"), row("Legislação Federal", nation, None, "norma", "norma", 1)),
+        (has("doutrina"), row(None, None, None, "doutrina", "doutrina", 4)),
+        (has("direito_administrativo", "lindb", "improbidade"), row("Legislação Federal", nation, None, "mapa_fontes", "orientacao_oficial", 3)),
+    ]
+    return "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in rules) + f" ELSE {row(None, None, None, None, 'desconhecido', None)} END"
+
+
+_CONFIDENCE_SQL = r"""CASE WHEN length(regexp_replace(coalesce({0}, ''), '\s', '', 'g')) = 0 THEN 0.0 ELSE round(greatest(0, least(1,
+    (length({0}) - len(regexp_extract_all({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}\x{{ad}}]')))::DOUBLE / length({0})
+    * least(1.0, length(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))::DOUBLE / length(regexp_replace({0}, '\s', '', 'g')) * 1.15)
+    * least(1.0, length(regexp_replace({0}, '\s', '', 'g')) / 180.0) * (1 - (length({0}) - length(replace({0}, '�', '')))::DOUBLE / length({0})))), 4) END"""
 DATE_FIELDS = ["data", "data_publicacao", "data_autuacao"]
 
 
@@ -73,8 +115,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, d: str, where: object = True, k: int = 40) -> DataFrame:
     docs = table(spark, d, "documents").where(F.lit(where) if isinstance(where, bool) else where)
-    got = retrieval.bm25(docs, _questions(spark, d)).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(got, k)
+    return retrieval.bm25_top_k(docs, _questions(spark, d), k)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +194,7 @@ _ARM_SQL = """
     dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims QUALIFY rank <= 40)"""
 _FUSED_SQL = """
     fused AS (SELECT query_id, doc_id, sum(1.0 / (2 + rank - 1)) AS s FROM (SELECT query_id, doc_id, rank FROM sparse UNION ALL SELECT query_id, doc_id, rank FROM dense) GROUP BY ALL),
-    hybrid AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM fused QUALIFY rank <= 40)"""
+    hybrid AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM fused QUALIFY rank <= 40)"""
 
 
 def _hybrid(spark: SparkSession, d: str, where: object = True) -> DataFrame:
@@ -164,9 +205,7 @@ def _hybrid(spark: SparkSession, d: str, where: object = True) -> DataFrame:
         rows = _vectors(spark, d).join(allowed, F.col("vec_id") == F.col("doc_id"), "left_semi")
         dense = retrieval.dense_top_k(rows, asked, 40).withColumnRenamed("vec_id", "doc_id").select("query_id", "doc_id", "score", "rank")
     arms = [_bm25(spark, d, where).select("query_id", "doc_id", "rank"), dense]
-    every = arms[0].unionByName(arms[1].select("query_id", "doc_id", "rank"))
-    sums = every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (2 + F.col("rank") - 1)), 6).alias("score"))
-    return retrieval.top_k(sums, 40)
+    return retrieval.fuse(arms, 40).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {bm25_sql()}, {_ARM_SQL}, {_FUSED_SQL} SELECT query_id, doc_id, score, rank::INT AS rank FROM hybrid")
@@ -189,17 +228,30 @@ def _catalogue(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_catalogue").select(F.col("id").alias("source"), "authority_level", F.col("source_role").alias("role"))
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as points: units are a process or the document, confidence stands for the text's quality."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("numero_processo", F.col("doc_id").cast("string")).alias("unit_id"), pages.confidence(F.col("text")).alias("extraction_confidence"))
+def _points(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
+    """The documents named, as points: units are a process or the document, confidence stands for the text's quality and is taken of these alone."""
+    docs = table(spark, d, "documents").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # at most 40 ids a question
+    docs = docs.select("doc_id", "source", F.coalesce("numero_processo", F.col("doc_id").cast("string")).alias("unit_id"), pages.confidence(F.col("text")).alias("extraction_confidence"))
     return docs.join(_catalogue(spark, d), "source", "left").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "unit_id", "extraction_confidence", "authority_level", metadata.normative_rank(F.col("role"), F.lit("lei")).alias("normative_rank"), F.lit("federal").alias("jurisdicao"))
 
 
-@query()
+@query(
+    f"""
+    WITH {bm25_sql()}, {_ARM_SQL}, {_FUSED_SQL},
+    p AS (SELECT h.query_id, h.doc_id, coalesce(d.source, '') AS source, coalesce(d.numero_processo, d.doc_id::VARCHAR) AS unit_id, h.score AS fused, {_CONFIDENCE_SQL.format('d.text')} AS quality, c.authority_level,
+                 CASE c.authority_level WHEN 1 THEN CASE WHEN c.source_role = 'norma' THEN 0.92 ELSE 0.76 END WHEN 2 THEN 0.62 WHEN 3 THEN 0.40 WHEN 4 THEN 0.20 ELSE 0.10 END AS a
+          FROM hybrid h JOIN documents d USING (doc_id) LEFT JOIN source_catalogue c ON c.id = d.source),
+    e AS (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, 4 * fused - 1)))) AS evidence FROM p),
+    s AS (SELECT *, greatest(0, least(1, 0.68 * evidence * quality + 0.20 * a + 0.12)) AS retrieval FROM e),
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, unit_id ORDER BY round(retrieval, 9) DESC, round(evidence, 9) DESC, a DESC, coalesce(authority_level, 9), doc_id) AS u FROM s QUALIFY u <= 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(retrieval, 9) DESC, round(evidence, 9) DESC, a DESC, coalesce(authority_level, 9), doc_id) AS rank FROM u QUALIFY rank <= 6)
+    SELECT query_id, doc_id, source, unit_id, round(evidence, 6) AS evidence, round(retrieval, 6) AS retrieval, rank::INT AS rank FROM r WHERE evidence >= 0.20
+    """
+)
 def q_hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
     """Fusion, then weighting by evidence, authority and quality, a cap of two for a unit, the best six of each question."""
-    fused = _hybrid(spark, d).select("query_id", "doc_id", F.col("score").alias("fused"))
-    scored = retrieval.weighted(fused.join(_points(spark, d), "doc_id").withColumn("logit", 4 * F.col("fused") - 1), F.lit("federal"))
+    fused = cut(_hybrid(spark, d).select("query_id", "doc_id", F.col("score").alias("fused")))
+    scored = retrieval.weighted(fused.join(_points(spark, d, fused), "doc_id").withColumn("logit", 4 * F.col("fused") - 1), F.lit("federal"))
     got = retrieval.rerank(scored, 6)
     return got.select("query_id", "doc_id", "source", "unit_id", F.round("evidence", 6).alias("evidence"), F.round("retrieval", 6).alias("retrieval"), "rank")
 
@@ -222,7 +274,7 @@ def q_base_context_top1(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, round(e, 6) AS evidence, round(a, 6) AS authority, round(greatest(0, least(1, 0.68 * e + 0.20 * a + 0.12 * j)), 6) AS retrieval
     FROM (SELECT doc_id, 1 / (1 + exp(-greatest(-30, least(30, n_chars / 1000.0 - 2)))) AS e,
                  CASE authority_level WHEN 1 THEN 0.92 WHEN 2 THEN 0.62 WHEN 3 THEN 0.40 WHEN 4 THEN 0.20 ELSE 0.10 END AS a,
-                 CASE WHEN lang IS NULL THEN 0.5 WHEN lang = 'pt' THEN 1.0 ELSE 0.0 END AS j
+                 CASE WHEN lang IS NULL THEN 0.5 WHEN lang = 'pt' THEN 1.0 ELSE 0.25 END AS j
           FROM documents d LEFT JOIN source_catalogue c ON d.source = c.id)
     """
 )
@@ -282,7 +334,18 @@ def q_base_append(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.append_base(docs.where(F.col("lang") == "es").select("doc_id", "source"), base.select("doc_id", "source"), ["doc_id"])
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {bm25_sql()},
+    b AS (SELECT s.query_id, s.rank, s.doc_id, length(d.text)::BIGINT AS size, s.rank % 4 <> 0 AS main FROM sparse s JOIN documents d USING (doc_id)),
+    w AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, false AS stop, []::BIGINT[] AS kept FROM b GROUP BY query_id
+          UNION ALL
+          SELECT w.query_id, b.rank, CASE WHEN NOT w.stop AND w.used + b.size <= 16000 THEN w.used + b.size ELSE w.used END, w.stop OR (NOT (NOT w.stop AND w.used + b.size <= 16000) AND b.main),
+                 CASE WHEN NOT w.stop AND w.used + b.size <= 16000 THEN list_append(w.kept, b.doc_id) ELSE w.kept END
+          FROM w JOIN b ON b.query_id = w.query_id AND b.rank = w.rank + 1)
+    SELECT query_id, used, stop AS stopped, len(kept)::INT AS n_kept, array_to_string(kept, ',') AS kept FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1
+    """
+)
 def q_context_budget(spark: SparkSession, d: str) -> DataFrame:
     """What fits into 16 000 characters for each question: the best forty documents in order, every fourth only as context."""
     best = _bm25(spark, d).join(table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size")), "doc_id")
@@ -415,10 +478,53 @@ def q_inline_filters(spark: SparkSession, d: str) -> DataFrame:
     return df.where(plan.predicate(df)).select("record_id", "tribunal", "tipo_documento")
 
 
-@query(f"SELECT item_id, {fold_sql('query')} LIKE '%antes de%' OR {fold_sql('query')} LIKE '%depois de%' AS historical, {fold_sql('query')} LIKE '%verdade%' AS asks_truth FROM eval_items")
+#: Questions beside the test set's, so that every rule meets one: (id, text).
+QUESTIONS = [
+    (-1, "O que mudou do regime anterior para a Lei 14.133?"), (-2, "Como era a dispensa à época da Lei 8.666/1993?"), (-3, "O manual de licitações do TCU explica a Lei 14.133/2021?"), (-4, "Segundo o Manual de Licitações, o que diz o TCU?"),
+    (-5, "O que diz a Constituição paulista?"), (-6, "Segundo a Constituição, o que é dever da União?"), (-7, "constituição"), (-8, "Súmula do TCE-SP sobre reajuste"), (-9, "Decisões do Tribunal de Justiça de São Paulo e do STJ"),
+    (-10, "Comparação do pregão na Lei 10.520/2002 e do RDC na Lei 12.462"), (-11, "vou aguardar a paulista"), (-12, "estava vigente antes de 2020?"),
+]
+_QUESTIONS_SQL = "asked AS (SELECT item_id, query FROM eval_items UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") AS x(item_id, query)), low AS (SELECT item_id, " + fold_sql("coalesce(query, '')") + " AS q FROM asked)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select("item_id", "query").unionByName(spark.createDataFrame(QUESTIONS, "item_id bigint, query string"))
+
+
+def _holds_sql(marks: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(q, '{m}')" for m in marks) + ")"
+
+
+_COMPARE_SQL = _holds_sql(["transicao", "regime anterior", "antes e depois", "diferenca entre", "diferencas entre", "comparar", "comparacao", "comparativo", "versus", " vs ", "em relacao", "o que mudou", "o que muda", "mudancas da nova lei", "mudancas entre"])
+_PAST_SQL = _holds_sql(["historico", "historica", "a epoca", "naquela epoca", "era aplicavel", "estava vigente", "estava em vigor", "quando era aplicavel", "antes de", "depois de"])
+_CROSS_SQL = "((contains(q, 'lei 14.133') OR contains(q, 'lei 14133') OR contains(q, '14.133/2021')) AND contains(q, 'manual de licitacoes') AND contains(q, 'tcu'))"
+
+
+@query(f"WITH {_QUESTIONS_SQL} SELECT item_id, {_COMPARE_SQL} AS comparative, {_PAST_SQL} AS historical, {_CROSS_SQL} AS cross_source FROM low")
 def q_query_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Marks of comparison and of the past in questions, accents aside."""
-    return table(spark, d, "eval_items").select("item_id", X.holds_any(F.col("query"), ["antes de", "depois de"]).alias("historical"), X.holds_any(F.col("query"), ["verdade"]).alias("asks_truth"))
+    """Marks of comparison, of the past and of two sources in questions, accents aside."""
+    return _asked(spark, d).select("item_id", filters.inferred_columns(F.col("query")).alias("i")).select("item_id", "i.comparative", "i.historical", "i.cross_source")
+
+
+@query(
+    f"""
+    WITH {_QUESTIONS_SQL}, w AS (SELECT *, ' ' || regexp_replace(q, '[^a-z0-9-]+', ' ', 'g') || ' ' AS words FROM low),
+    j AS (SELECT *, len(list_filter(['uniao', 'federal', 'tcu', 'stf', 'stj', 'agu'], lambda x: contains(words, ' ' || x || ' '))) > 0 AS f, len(list_filter(['sao paulo', 'tcesp', 'tjsp', 'tce-sp', 'paulista'], lambda x: contains(words, ' ' || x || ' '))) > 0 AS s FROM w)
+    SELECT item_id,
+           CASE WHEN {_CROSS_SQL} THEN NULL WHEN {_holds_sql(['tcesp', 'tce-sp', 'tribunal de contas do estado de sao paulo'])} THEN 'tcesp' WHEN contains(q, 'tcu') THEN 'tcu' WHEN contains(q, 'stj') THEN 'stj' WHEN contains(q, 'stf') THEN 'stf'
+                WHEN {_holds_sql(['tjsp', 'tribunal de justica de sao paulo'])} THEN 'tjsp' END AS tribunal,
+           CASE WHEN {_holds_sql(['constituicao do estado de sao paulo', 'constituicao estadual de sao paulo', 'constituicao paulista'])} THEN 'sp-const' WHEN q = 'constituicao' OR {_holds_sql(['constituicao federal', 'segundo a constituicao'])} THEN 'cf1988'
+                WHEN contains(q, 'manual de licitacoes') AND contains(q, 'tcu') AND NOT {_CROSS_SQL} THEN 'tcu-manual-licitacoes' END AS source_id,
+           CASE WHEN f AND NOT s THEN 'federal' WHEN s AND NOT f THEN 'estadual_sp' END AS jurisdicao,
+           concat_ws(',', CASE WHEN {_holds_sql(['lei 14.133', 'lei 14133', '14.133/2021'])} THEN 'lei_14133' END, CASE WHEN {_holds_sql(['lei 8.666', 'lei 8666', '8.666/1993'])} THEN 'lei_8666' END,
+                     CASE WHEN {_holds_sql(['lei 10.520', 'lei 10520', '10.520/2002'])} THEN 'lei_10520' END, CASE WHEN {_holds_sql(['lei 12.462', 'lei 12462', '12.462/2011'])} THEN 'lei_12462' END) AS regimes
+    FROM j
+    """
+)
+def q_query_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Filters that questions ask for in words: court, source, jurisdiction, regimes."""
+    i = _asked(spark, d).select("item_id", filters.inferred_columns(F.col("query")).alias("i"))
+    return i.select("item_id", "i.tribunal", "i.source_id", "i.jurisdicao", F.array_join("i.regimes", ",").alias("regimes"))
 
 
 def terms_sql(c: str) -> str:
@@ -553,13 +659,52 @@ def q_gate_citations(spark: SparkSession, d: str) -> DataFrame:
     return a.select("item_id", n.alias("answer"), F.array_join(F.transform(gate.citations(n), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query()
+_FREE, _COMPARING = (", ".join(repr(w) for w in ws) for ws in (gate.FREE, gate.COMPARATIVE))
+_CITE = r"(?:\[|【|\()\s*[Ff](\d+)\s*(?:\]|】|\))"
+
+
+def _key_of(c: str) -> str:
+    return f"regexp_replace({fold_sql(c)}, '[^a-z0-9]+', '', 'g')"
+
+
+def _strip(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({c}, '{_CITE}', '', 'g'), '^[ .,:;-]+|[ .,:;-]+$', '', 'g'))"
+
+
+_IDENTIFIERS_SQL = "list_concat(list_concat(" + "), ".join(f"regexp_extract_all(claim, '{p}'" for p in (r"(?i)\blei\s+(?:n[ºo.]*\s*)?\d+[.]?\d*(?:/\d{4})?", r"(?i)\bart(?:igo)?[.]?\s*\d+[A-Za-z-]*(?:\s*,?\s*§\s*\d+[ºo]?)?")) + r")), regexp_extract_all(claim, '\b\d{1,7}[/-]\d{1,7}(?:[/-]\d{2,4})?\b'))"
+#: CTEs up to ``verdicts``: item_id, expected_accept, reason; the gate's rules one after the other.
+_VERDICT_SQL = rf"""
+    raw AS (SELECT item_id, expected_accept, coalesce(answer, '') || CASE WHEN case_type IN ('false_premise', 'uncited') THEN '' WHEN case_type = 'out_of_corpus' THEN ' [F7]' ELSE ' 【 F1 】' END AS t, passage, query FROM eval_items),
+    n AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(trim(t), '{_CITE}', '[F\1]', 'g'), '[ \t\r]*\n\s*', chr(10), 'g'), '(\S)\n((?:[ \t]*\[F\d+\])+[ \t]*)(\n|$)', '\1 \2\3', 'g') AS t) FROM raw),
+    c AS (SELECT *, list_distinct(list_transform(regexp_extract_all(t, '{_CITE}', 1), lambda x: x::INT)) AS nos, {evidence_sql('t')} AS words FROM n),
+    l AS (SELECT item_id, passage, query, unnest(string_split_regex(t, '\n+')) AS line, generate_subscripts(string_split_regex(t, '\n+'), 1) AS k FROM c),
+    f AS (SELECT item_id, k, line, {_strip('line')} AS claim, list_distinct(list_transform(regexp_extract_all(line, '{_CITE}', 1), lambda x: x::INT)) AS nos, passage, query FROM l WHERE length(trim(line)) > 0),
+    g AS (SELECT *, {evidence_sql('claim')} AS w, array_to_string(list_transform(list_sort(nos), lambda i: coalesce(([passage, query])[i], '')), ' ') AS cited FROM f),
+    h AS (SELECT *, {evidence_sql('cited')} AS cw, len(list_filter([{_COMPARING}], lambda m: contains({fold_sql('claim')}, m))) > 0 AND len(list_filter([{_COMPARING}], lambda m: contains({fold_sql('cited')}, m))) = 0 AS compares,
+                 len(list_filter({_IDENTIFIERS_SQL}, lambda i: NOT contains({_key_of('cited')}, {_key_of('i')}))) > 0 AS unknown FROM g),
+    s AS (SELECT *, list_distinct(list_transform(w, lambda t: {stem_sql('t')})) AS sw, list_distinct(list_transform(cw, lambda t: {stem_sql('t')})) AS sc FROM h),
+    faults AS (SELECT item_id, k, CASE
+                 WHEN regexp_matches(line, '^\s*(#{{1,6}}\s.*|\*\*[^*]+\*\*:?|__[^_]+__:?|[-*_=]{{3,}})\s*$') THEN NULL
+                 WHEN len(nos) = 0 THEN CASE WHEN len(list_filter(w, lambda x: x NOT IN ({_FREE}))) > 0 THEN 'uncited' END
+                 WHEN compares THEN 'comparison' WHEN unknown THEN 'identifier'
+                 WHEN len(w) >= 3 AND len(list_intersect(w, cw)) / len(w) < 0.25 AND NOT (len(list_intersect(sw, sc)) >= 2 AND len(list_intersect(sw, sc)) / len(sw) >= 0.20) THEN 'overlap' END AS fault FROM s),
+    first_fault AS (SELECT item_id, arg_min(fault, k) AS fault FROM faults WHERE fault IS NOT NULL GROUP BY 1),
+    verdicts AS (SELECT c.item_id, c.expected_accept, CASE WHEN length(t) = 0 THEN 'empty' WHEN len(nos) = 0 THEN CASE WHEN len(words) > 0 THEN 'no citation' END
+                 WHEN len(list_filter(nos, lambda i: i < 1 OR i > 2)) > 0 THEN 'out of range' ELSE fault END AS reason FROM c LEFT JOIN first_fault USING (item_id))"""
+
+
+@query(f"WITH {_VERDICT_SQL} SELECT item_id, reason FROM verdicts")
 def q_gate_verdict(spark: SparkSession, d: str) -> DataFrame:
     """The gate's verdict on every answer."""
     return _answers(spark, d).select("item_id", gate.verdict(F.col("answer"), F.col("sources")).alias("reason"))
 
 
-@query()
+@query(
+    f"""
+    WITH {_VERDICT_SQL}, v AS (SELECT expected_accept AS e, reason IS NULL AS a FROM verdicts WHERE expected_accept IS NOT NULL)
+    SELECT count(*) AS cases, avg((e = a)::INT) AS accuracy, avg((NOT a)::INT) FILTER (NOT e) AS correct_rejection, avg(a::INT) FILTER (NOT e) AS false_accept, avg(a::INT) FILTER (e) AS correct_acceptance, avg((NOT a)::INT) AS observed_rejection FROM v
+    """
+)
 def q_gate_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates of the gate over all answers."""
     v = _answers(spark, d).select("expected_accept", gate.verdict(F.col("answer"), F.col("sources")).isNull().alias("accepted")).where(F.col("expected_accept").isNotNull())
@@ -624,8 +769,7 @@ def _item_cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(
     f"""
     WITH {bm25_sql(k=10)},
-    r AS (SELECT query_id AS case_id, rank, source, CASE WHEN source ILIKE '%tcesp%' THEN 'estadual_sp' WHEN source ILIKE '%tcu%' OR source ILIKE '%stj%' OR source ILIKE '%stf%' THEN 'federal' WHEN source ILIKE '%tjsp%' THEN 'estadual_sp'
-        WHEN source ILIKE '%constituicao%' OR regexp_matches(lower(source), '(^|[_\\-.])(lei|decreto|portaria|resolucao)') THEN 'federal' END AS jurisdicao FROM sparse JOIN documents USING (doc_id)),
+    r AS (SELECT query_id AS case_id, rank, source, ({rules_sql('lower(source)')}).jurisdicao AS jurisdicao FROM sparse JOIN documents USING (doc_id)),
     j AS (SELECT e.item_id AS case_id, e.expected_source_ids AS expected, e.expected_jurisdicao, r.rank, r.source, r.jurisdicao, list_contains(e.expected_source_ids, r.source) AS hit
           FROM eval_items e LEFT JOIN r ON r.case_id = e.item_id WHERE e.item_id % 20 = 0)
     SELECT case_id, round(count(DISTINCT source) FILTER (hit) / len(list_distinct(any_value(expected)))::DOUBLE, 6) AS recall_10, round(coalesce(1.0 / min(rank) FILTER (hit), 0), 6) AS reciprocal_rank,
@@ -692,7 +836,9 @@ def q_document_key(spark: SparkSession, d: str) -> DataFrame:
     return df.select("record_id", records.document_key(df).alias("document_key"))
 
 
-@query()
+@query(
+    r"SELECT record_id, sha256(to_json({'assunto': assunto, 'decisao': decisao, 'ementa': ementa, 'inteiro_teor': inteiro_teor, 'relator': relator, 'tese': tese, 'url_oficial': regexp_replace(url_oficial, '(?i);jsessionid=[^?#]*', '')})) AS version FROM decisions"
+)
 def q_version_hash(spark: SparkSession, d: str) -> DataFrame:
     """Hash of every record's content."""
     df = table(spark, d, "decisions")
@@ -912,10 +1058,12 @@ def q_pool_vectors(spark: SparkSession, d: str) -> DataFrame:
     return got.select("label", F.posexplode("vector").alias("place", "v")).select("label", "place", F.round("v", 6).alias("value"))
 
 
-@query("SELECT vec_id, 'dimension' AS reason FROM embeddings WHERE len(embedding) <> 64")
+@query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 7 = 1 THEN 'dimension' WHEN vec_id % 7 IN (2, 3) THEN 'not finite' ELSE 'zero' END AS reason FROM embeddings WHERE vec_id % 7 <= 4")
 def q_vector_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors that can't be used; none are here."""
-    return index.vector_faults(_vectors(spark, d), "embedding", 64, "vec_id")
+    """Vectors that can't be used: five of seven are spoilt, each in its way."""
+    how, v = F.col("vec_id") % 7, F.col("embedding").cast("array<double>")
+    spoilt = F.when(how == 1, F.slice(v, 1, 63)).when(how == 2, F.transform(v, lambda x, i: F.when(i == 5, float("nan")).otherwise(x))).when(how == 3, F.transform(v, lambda x, i: F.when(i == 9, float("inf")).otherwise(x))).when(how == 4, F.transform(v, lambda x: F.lit(0.0)))
+    return index.vector_faults(_vectors(spark, d).withColumn("embedding", F.when(how > 4, v).when(how > 0, spoilt)), "embedding", 64, "vec_id")
 
 
 @query()
@@ -932,10 +1080,6 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.split_pages(table(spark, d, "documents"), "doc_id", "text", "\n\n")
 
 
-_CONFIDENCE_SQL = r"""CASE WHEN length(regexp_replace(coalesce({0}, ''), '\s', '', 'g')) = 0 THEN 0.0 ELSE round(greatest(0, least(1,
-    (length({0}) - len(regexp_extract_all({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}\x{{ad}}]')))::DOUBLE / length({0})
-    * least(1.0, length(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))::DOUBLE / length(regexp_replace({0}, '\s', '', 'g')) * 1.15)
-    * least(1.0, length(regexp_replace({0}, '\s', '', 'g')) / 180.0) * (1 - (length({0}) - length(replace({0}, '�', '')))::DOUBLE / length({0})))), 4) END"""
 _PAGES_SQL = "pg AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS page_text, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS page FROM documents WHERE text IS NOT NULL)"
 
 
@@ -971,23 +1115,45 @@ def q_extract_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", pages.confidence(F.col("text")).alias("confidence"))
 
 
-@query()
+@query(
+    f"""WITH {_PAGES_SQL} SELECT doc_id, min(page)::INT AS page, max(page)::INT AS page_end, CASE WHEN bool_and(length(page_text) < 80) THEN 'ocr' WHEN bool_or(length(page_text) < 80) THEN 'mixed' ELSE 'native' END AS text_origin,
+    round(avg({_CONFIDENCE_SQL.format('page_text')})::DECIMAL(20, 16), 4)::DOUBLE AS extraction_confidence FROM pg GROUP BY doc_id"""
+)
 def q_page_quality(spark: SparkSession, d: str) -> DataFrame:
     """Pages, origin and mean confidence of each document's pages."""
     rows = _pages(spark, d).withColumns({"extraction_confidence": pages.confidence(F.col("page_text")), "text_origin": F.when(F.length("page_text") < 80, "ocr").otherwise("native")})
     return pages.span_quality(rows, ["doc_id"])
 
 
-@query()
+def _decision_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions as pages (paragraphs stand for pages); those from scans have running headers."""
+    return pages.split_pages(table(spark, d, "decisions"), "record_id", "inteiro_teor", "\n\n")
+
+
+_EDGES_SQL = r"""
+    pg AS (SELECT record_id, unnest(string_split(inteiro_teor, chr(10) || chr(10))) AS t, generate_subscripts(string_split(inteiro_teor, chr(10) || chr(10)), 1) AS page FROM decisions WHERE inteiro_teor IS NOT NULL),
+    ls AS (SELECT record_id, page, list_filter(list_transform(string_split_regex(t, '\r?\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 0) AS l FROM pg),
+    ed AS (SELECT record_id, page, unnest(list_distinct([lower(l[1]), lower(l[-1])])) AS line FROM ls WHERE len(l) > 0),
+    noise AS (SELECT record_id, line, count(*) AS pages FROM ed WHERE length(line) <= 180 AND NOT regexp_matches(line, '(?i)^(lei|decreto|decreto-lei|portaria|resolução|resolucao|instrução|instrucao|emenda|medida|art(igo)?\b|§|cap[ií]tulo|t[ií]tulo|se[cç][aã]o|subse[cç][aã]o|parte|livro|anexo)')
+              GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {_EDGES_SQL} SELECT record_id, line, pages FROM noise")
 def q_edge_noise(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that stand at the edges of several pages of a source's document."""
-    return pages.repeated_edges(_pages(spark, d), "doc_id")
+    """Lines that stand at the edges of several pages of a decision."""
+    return pages.repeated_edges(_decision_pages(spark, d), "record_id")
 
 
-@query()
+@query(
+    f"""
+    WITH {_EDGES_SQL}, per AS (SELECT record_id, list(line) AS bad FROM noise GROUP BY 1),
+    kept AS (SELECT record_id, page, l, list_filter(range(1, len(l) + 1), lambda i: NOT coalesce(list_contains(bad, lower(l[i])), false)) AS k FROM ls LEFT JOIN per USING (record_id))
+    SELECT record_id, page::INT AS page, CASE WHEN len(k) = 0 THEN 0 ELSE length(array_to_string(l[list_min(k):list_max(k)], chr(10))) END::INT AS n FROM kept
+    """
+)
 def q_without_edges(spark: SparkSession, d: str) -> DataFrame:
     """Pages without repeated lines at their edges."""
-    return pages.without_edges(_pages(spark, d), "doc_id").select("doc_id", "page", F.length("page_text").alias("n"))
+    return pages.without_edges(_decision_pages(spark, d), "record_id").select("record_id", "page", F.length("page_text").alias("n"))
 
 
 @query(
@@ -1002,7 +1168,14 @@ def q_consecutive_dups(spark: SparkSession, d: str) -> DataFrame:
     return pages.repeated_lines(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(
+    r"""
+    WITH a AS (SELECT DISTINCT node_id, array_to_string(list_transform(string_split_regex(source_text, '\r?\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)) AS t FROM legal_nodes WHERE source_text IS NOT NULL),
+    b AS (SELECT node_id, regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1\2', 'g'), '([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])', '\1\2', 'g') AS t FROM a),
+    c AS (SELECT node_id, regexp_replace(regexp_replace(t, '(?im)^(?:p[aáÁ]gina|page)\s*[:\-]?\s*[0-9]+[a-z-]*\s*$', '', 'g'), '(?m)^[0-9]{1,5}(?:\s*[-/]\s*[0-9]+)?\s*$', '', 'g') AS t FROM b)
+    SELECT DISTINCT node_id, sha256(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'))) AS sha256 FROM c
+    """
+)
 def q_sanitize(spark: SparkSession, d: str) -> DataFrame:
     """Texts of nodes put in order: spaces, broken words, page numbers."""
     return table(spark, d, "legal_nodes").where(F.col("source_text").isNotNull()).select("node_id", F.sha2(pages.sanitize(F.col("source_text")), 256).alias("sha256")).distinct()
@@ -1032,16 +1205,46 @@ def q_authority_level(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_catalogue").select("id", "authority_level", "source_role", metadata.authority_level(F.col("source_role")).alias("level_of_role"))
 
 
-@query("SELECT id, count(*) AS n FROM source_catalogue GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 0 FROM source_catalogue WHERE title IS NULL OR len(urls) = 0 OR authority_level NOT BETWEEN 1 AND 4 OR (follow_links AND max_follow IS NULL)")
+_CATALOGUE_SQL = """c AS (SELECT id, title, urls, authority_level, follow_links, max_follow FROM source_catalogue UNION ALL
+    SELECT id || CASE WHEN authority_level = 4 THEN '' ELSE '-2' END, CASE WHEN authority_level = 3 THEN ' ' ELSE title END, CASE WHEN authority_level = 2 THEN [] ELSE urls END, authority_level * 2, follow_links, NULL FROM source_catalogue)"""
+@query(f"WITH {_CATALOGUE_SQL} SELECT id, 'id twice' AS reason FROM c GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'title' FROM c WHERE trim(coalesce(title, '')) = '' UNION ALL SELECT id, 'urls' FROM c WHERE coalesce(len(urls), 0) = 0 UNION ALL SELECT id, 'authority_level' FROM c WHERE coalesce(authority_level NOT BETWEEN 1 AND 4, true) UNION ALL SELECT id, 'max_follow' FROM c WHERE follow_links AND max_follow IS NULL")
 def q_catalogue_check(spark: SparkSession, d: str) -> DataFrame:
-    """Faults of the catalogue: repeated ids, missing fields; none are here."""
-    c = table(spark, d, "source_catalogue")
-    twice = c.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    bad = c.where(F.col("title").isNull() | (F.size("urls") == 0) | ~F.col("authority_level").between(1, 4) | (F.col("follow_links") & F.col("max_follow").isNull()))
-    return twice.unionByName(bad.select("id", F.lit(0).cast("bigint").alias("n")))
+    """Faults of a catalogue: the project's beside a spoilt copy of it."""
+    c = table(spark, d, "source_catalogue").select("id", "title", "urls", "authority_level", "follow_links", "max_follow")
+    level = F.col("authority_level")
+    spoilt = c.select(
+        F.when(level == 4, F.col("id")).otherwise(F.concat("id", F.lit("-2"))).alias("id"), F.when(level == 3, " ").otherwise(F.col("title")).alias("title"), F.when(level == 2, F.array().cast("array<string>")).otherwise(F.col("urls")).alias("urls"),
+        (level * 2).alias("authority_level"), "follow_links", F.lit(None).cast("int").alias("max_follow"),
+    )
+    return catalog.faults(c.unionByName(spoilt))
 
 
-@query()
+_NAMED_SQL = r"(?i)\blei\s*(?:n[ºo°.]*\s*)?(?:14[.\- ]133|8[.\- ]666|10[.\- ]520|12[.\- ]462)\b|\b(?:lei\s+complementar|lc)\s*(?:n[ºo°.]*\s*)?123\b"
+_KEYS_SQL = "MAP {'14133': 'lei_14133', '8666': 'lei_8666', '10520': 'lei_10520', '12462': 'lei_12462', '123': 'lei_123'}"
+
+
+def named_sql(c: str) -> str:
+    """The regime a text names first."""
+    return f"{_KEYS_SQL}[nullif(regexp_replace(regexp_extract({c}, '{_NAMED_SQL}'), '[^0-9]', '', 'g'), '')]"
+
+
+def cited_sql(c: str) -> str:
+    """Regimes a text names, in the order of the table."""
+    every = f"list_transform(regexp_extract_all({c}, '{_NAMED_SQL}'), lambda m: regexp_replace(m, '[^0-9]', '', 'g'))"
+    return f"list_transform(list_filter(['14133', '8666', '10520', '12462', '123'], lambda k: list_contains({every}, k)), lambda k: {_KEYS_SQL}[k])"
+
+
+def regime_sql(source: str, title: str, text: str, role: str) -> str:
+    """A document's own regime, rule after rule."""
+    turn = r"(?i)\b(transi[cç][aã]o(\s+legislativa|\s+entre\s+regimes?)?|compara[cç][aã]o(\s+entre\s+regimes?)?|regimes?\s+comparados|aplica[cç][aã]o\s+temporal\s+das\s+leis)\b"
+    header = rf"regexp_extract(array_to_string(string_split({text}, chr(10))[1:12], chr(10)), '(?im)^\s*((?:lei|lc|decreto|portaria|resolu[cç][aã]o|instru[cç][aã]o)\b[^\n]*)', 1)"
+    return (
+        f"coalesce(CASE WHEN regexp_matches({source}, '{turn}') THEN 'transicao' END, {named_sql(source)}, CASE WHEN regexp_matches({title}, '{turn}') THEN 'transicao' END, {named_sql(title)}, {named_sql(header)}, {named_sql(f'left({text}, 40000)')}, "
+        f"CASE WHEN {role} IN ('jurisprudencia', 'jurisprudencia_controle') THEN 'jurisprudencia' END, 'nao_especificado')"
+    )
+
+
+@query(f"SELECT doc_id, {regime_sql('source', 'title', 'text', 'source_role')} AS regime, array_to_string(coalesce({cited_sql('text')}, []), ',') AS cited FROM documents")
 def q_regime(spark: SparkSession, d: str) -> DataFrame:
     """Own and cited regimes of every document."""
     docs = table(spark, d, "documents")
@@ -1061,18 +1264,16 @@ def q_stale_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""
-    WITH n AS (SELECT DISTINCT doc_id, lower(doc_id || '.txt') AS n FROM legal_nodes),
-    f AS (SELECT doc_id, n, regexp_matches(n, '(^|[_\-.])sp([_\-.]|$)') AS sp, regexp_matches(n, '(^|[_\-.])(l|lei)?14[ ._\-]?133([_\-.]|$)') AS fed FROM n)
-    SELECT doc_id, NULL::VARCHAR AS orgao, CASE WHEN sp AND fed THEN NULL WHEN fed THEN 'federal' WHEN sp THEN 'estadual_sp' WHEN regexp_matches(n, '(^|[_\-.])(lei|decreto|portaria|resolucao)') THEN 'federal' END AS jurisdicao,
-           CASE WHEN sp AND fed THEN 'desconhecido' WHEN fed OR sp OR regexp_matches(n, '(^|[_\-.])(lei|decreto|portaria|resolucao)') THEN 'norma' ELSE 'desconhecido' END AS source_role, sp AND fed AS ambiguous
-    FROM f WHERE NOT regexp_matches(n, 'tcesp|tcu|stj|stf|tjsp|constituicao|doutrina')
+    f"""
+    WITH n AS (SELECT DISTINCT doc_id || '.txt' AS name FROM legal_nodes UNION SELECT id || '.pdf' FROM source_catalogue UNION SELECT unnest([{", ".join(repr(x) for x in NAMES)}])),
+    r AS (SELECT name, {rules_sql('lower(name)')} AS r FROM n)
+    SELECT name, r.orgao, r.jurisdicao, r.esfera, r.tribunal, r.tipo_documento, r.source_role, r.authority_level::VARCHAR AS authority_level, r.ambiguous FROM r
     """
 )
 def q_source_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Organ, jurisdiction and role that file names tell."""
-    n = table(spark, d, "legal_nodes").select("doc_id").distinct().select("doc_id", metadata.source_rules(F.concat("doc_id", F.lit(".txt"))).alias("r"))
-    return n.select("doc_id", "r.orgao", "r.jurisdicao", "r.source_role", "r.ambiguous")
+    """What file names tell: those of norms, of sources, and one for every rule."""
+    names = table(spark, d, "legal_nodes").select(F.concat("doc_id", F.lit(".txt")).alias("name")).union(table(spark, d, "source_catalogue").select(F.concat("id", F.lit(".pdf")))).union(spark.createDataFrame([(x,) for x in NAMES], "name string"))
+    return names.distinct().select("name", metadata.source_rules(F.col("name")).alias("r")).select("name", "r.*").withColumn("authority_level", F.col("authority_level").cast("string"))
 
 
 @query("SELECT doc_id, '[REGIME: - | SOURCE: ' || coalesce(nullif(trim(source), ''), '-') || ' | STATUS: - | ESFERA: - | JURISDIÇÃO: ' || coalesce(nullif(trim(lang), ''), '-') || ']' AS prefix FROM documents")
@@ -1082,12 +1283,34 @@ def q_embedding_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", metadata.embedding_prefix(none, F.col("source"), none, none, F.col("lang")).alias("prefix"))
 
 
-@query()
+_EXTRACT_HEAD = "left(coalesce(text, ''), 30000)"
+
+
+@query(
+    rf"""
+    WITH d AS (SELECT doc_id, text, {_EXTRACT_HEAD} AS head, lower({_EXTRACT_HEAD}) AS low, coalesce(source, 'local') || '.txt' AS name FROM documents),
+    r AS (SELECT *, {rules_sql('lower(name)')} AS r, nullif(trim(regexp_extract(head, '(?im)^[ \t]*TRIBUNAL[ \t]*:[ \t]*(.+)$', 1)), '') AS court,
+                 regexp_extract(left(text, 12000), '(?m)^\s*(LEI COMPLEMENTAR|LEI|DECRETO-LEI|DECRETO|PORTARIA|RESOLUÇÃO|INSTRUÇÃO NORMATIVA|EMENDA CONSTITUCIONAL)\s+N[ºo°]?\.?\s*([0-9][0-9.]*)[^\n]{{0,60}}?((?:19|20)[0-9]{{2}})', ['k', 'n', 'y']) AS h FROM d),
+    m AS (SELECT *, CASE WHEN court IN ('TCU', 'TCESP') THEN 'jurisprudencia_controle' WHEN court IN ('STF', 'STJ', 'TJSP') THEN 'jurisprudencia' ELSE r.source_role END AS role, CASE WHEN court IS NOT NULL THEN 'jurisprudencia' ELSE r.tipo_documento END AS kind,
+                 coalesce(court, r.tribunal) AS tribunal FROM r),
+    g AS (SELECT *, {regime_sql("''", "''", "head", "role")} AS regime FROM m)
+    SELECT doc_id, list_filter([{", ".join(repr(x) for x in metadata.MODALITIES)}], lambda x: contains(low, lower(x)))[1] AS modalidade, list_filter([{", ".join(repr(x) for x in metadata.AWARDS)}], lambda x: contains(low, lower(x)))[1] AS tipo,
+           coalesce(nullif(trim(regexp_extract(head, '(?im)^[ \t]*PROCESSO[ \t]*:[ \t]*(.+)$', 1)), ''), nullif(regexp_replace(regexp_extract(head, '(?i)processo\s*(?:administrativo)?\s*n[ºo°.]*\s*[:\-]?\s*([0-9./\-]{{4,30}})', 1), '^[ .-]+|[ .-]+$', '', 'g'), '')) AS processo,
+           replace(nullif(h.n, ''), '.', '') AS norm_numero,
+           coalesce(nullif(regexp_extract(left(text, 12000), '(?im)^\s*(?:lei|decreto|decreto-lei|portaria|resolu[cç][aã]o|instru[cç][aã]o\s+normativa|emenda\s+constitucional|lei\s+complementar)\s+(?:federal\s+)?n?[ºo°.]*\s*[0-9.\-/A-Za-z]*\s*,?\s*de\s+(?:[0-9]{{1,2}}[ºo]?\s+de\s+)?[^\n0-9]{{3,40}}\s+de\s+(20[0-9]{{2}})\b', 1), ''), nullif(h.y, '')) AS norm_ano,
+           role AS source_role,
+           CASE WHEN upper(tribunal) IN ('STF', 'STJ', 'TCU', 'TCESP', 'TJSP') THEN 2 ELSE CASE role WHEN 'norma' THEN 1 WHEN 'jurisprudencia' THEN 2 WHEN 'jurisprudencia_controle' THEN 2 WHEN 'orientacao_oficial' THEN 3 WHEN 'doutrina' THEN 4 END END::VARCHAR AS authority_level,
+           CASE WHEN role = 'norma' THEN CASE WHEN contains(coalesce(kind, ''), 'constituicao') THEN 1 WHEN kind IN ('lei', 'decreto_lei', 'emenda_constitucional') OR starts_with(kind, 'lei_') THEN 2 WHEN kind = 'decreto' OR starts_with(kind, 'decreto_') THEN 3 ELSE 4 END END::VARCHAR AS normative_rank,
+           regime AS regime_juridico, array_to_string(list_filter(coalesce({cited_sql('head')}, []), lambda x: x <> regime), ',') AS cited
+    FROM g
+    """
+)
 def q_extract_metadata(spark: SparkSession, d: str) -> DataFrame:
     """All metadata of every document, from its source, text and nothing given."""
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("local")), F.lit(".txt")).alias("name"), "text")
     m = metadata.extract(docs, "name", "text")
-    return m.select("doc_id", "modalidade", "tipo", "processo", "norm_numero", "norm_ano", "source_role", "authority_level", "normative_rank", "regime_juridico", F.array_join("cited_regimes", ",").alias("cited"))
+    whole = [F.col(c).cast("string").alias(c) for c in ("norm_ano", "authority_level", "normative_rank")]
+    return m.select("doc_id", "modalidade", "tipo", "processo", "norm_numero", "source_role", *whole, "regime_juridico", F.array_join("cited_regimes", ",").alias("cited"))
 
 
 @query("SELECT id, authority_level FROM source_catalogue WHERE source_role IN ('orientacao_oficial', 'norma') AND coalesce(follow_links, false) = true AND authority_level <= 3")

@@ -24,6 +24,19 @@ def select_sources(catalogue: DataFrame, roles: list[str] | None = None, only: l
     return catalogue.where(ok)
 
 
+def faults(catalogue: DataFrame) -> DataFrame:
+    """id, reason: sources of a catalogue that can't be used; an id that stands twice is named once."""
+    twice = catalogue.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("id", F.lit("id twice").alias("reason"))
+    checks = [
+        F.when(F.length(F.trim(F.coalesce("title", F.lit("")))) == 0, "title"),
+        F.when(F.size(F.coalesce("urls", F.array().cast("array<string>"))) == 0, "urls"),
+        F.when(~F.coalesce(F.col("authority_level").between(1, 4), F.lit(False)), "authority_level"),
+        F.when(F.coalesce("follow_links", F.lit(False)) & F.col("max_follow").isNull(), "max_follow"),
+    ]
+    each = catalogue.select("id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("reason"))
+    return twice.unionByName(each)
+
+
 def unknown_ids(catalogue: DataFrame, only: list[str]) -> DataFrame:
     """Ids asked for that the catalogue doesn't have."""
     asked = catalogue.sparkSession.createDataFrame([(x,) for x in only], "id string")

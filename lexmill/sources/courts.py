@@ -66,19 +66,23 @@ def envelope_records(hits: DataFrame, source: str) -> DataFrame:
     )
 
 
-def sumula_table(rows: DataFrame) -> DataFrame:
-    """Records from a table with NUMERO, ENUNCIADO, VIGENTE and more; rows without number or statement are left out; the last row of a number counts."""
+def sumula_table(rows: DataFrame, place: str | None = None) -> DataFrame:
+    """Records from a table with NUMERO, ENUNCIADO, VIGENTE and more; rows without number or statement are left out; the last row of a number counts.
+
+    place: the column that tells where a row stands in its file (``readers.csv_table`` gives one). Without it, of rows of a number
+    the one whose content sorts last counts, which no partitioning changes.
+    """
     have = set(rows.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     status = F.when(F.upper(F.trim(col("VIGENTE"))).startswith("S"), "VIGENTE").when(F.upper(F.trim(col("VIGENTE"))).startswith("N"), "REVOGADA").otherwise(X.decision_status(col("ENUNCIADO")))
     approved = F.nullif(F.concat_ws("/", X.blank_to_null(col("NUMAPROVACAO")), X.blank_to_null(col("ANOAPROVACAO"))), F.lit(""))
     made = rows.select(
         sumula_number(col("NUMERO")).alias("numero"), X.squeeze(F.regexp_replace(col("ENUNCIADO"), r"<[^<>]*>", " ")).alias("tese"), status.alias("situacao"), approved.alias("aprovacao"), X.blank_to_null(col("COLEGIADO")).alias("orgao_julgador"),
-        F.filter(F.array(*[X.blank_to_null(col(c)) for c in ("AREA", "TEMA", "SUBTEMA")]), lambda x: x.isNotNull()).alias("assunto"), F.monotonically_increasing_id().alias("_place"),
+        F.filter(F.array(*[X.blank_to_null(col(c)) for c in ("AREA", "TEMA", "SUBTEMA")]), lambda x: x.isNotNull()).alias("assunto"), (F.col(place).cast("bigint") if place else F.lit(0).cast("bigint")).alias("_place"),
     )
     good = made.where(F.col("numero").isNotNull() & (F.length("tese") > 0))
     others = [c for c in good.columns if c not in ("numero", "_place")]
-    return good.groupBy("numero").agg(F.max_by(F.struct(*others), "_place").alias("r")).select("numero", "r.*")
+    return good.groupBy("numero").agg(F.max(F.struct("_place", F.struct(*others).alias("r")))["r"].alias("r")).select("numero", "r.*")
 
 
 def sumula_text(c: Column) -> Column:

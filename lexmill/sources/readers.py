@@ -52,13 +52,18 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), western), "^\ufeff", "")
 
 
-def csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV whose delimiter is the commonest of , ; | and tab in its first line; upper-case trimmed headers and trimmed values."""
+def csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8", place: str | None = None) -> DataFrame:
+    """A CSV whose delimiter is the commonest of , ; | and tab in its first line; upper-case trimmed headers and trimmed values.
+
+    place: name of a column that rises from row to row of a file: it is numbered where the file is read, by one task from its
+    beginning, so it doesn't depend on what comes after.
+    """
     first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
     line = first[0][0] if first else ""
     sep = max([";", ",", "|", "\t"], key=lambda s: line.count(s)) if line else ";"
     df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return df.toDF(*[c.strip("﻿ ").upper() for c in df.columns])
+    df = df.toDF(*[c.strip("﻿ ").upper() for c in df.columns])
+    return df.withColumn(place, F.monotonically_increasing_id()) if place else df
 
 
 def json_rows(raw: Column, schema: str) -> Column:

@@ -29,8 +29,8 @@ def test_envelope(spark):
 
 
 def test_sumulas(spark):
-    rows = spark.createDataFrame([("247.0", "Uma <b>regra</b>", "SIM", "3", "2004", "Obra", None), ("247", "Outra", "NÃO", None, None, None, "x"), ("", "Sem número", "SIM", None, None, None, None), ("9", " ", "SIM", None, None, None, None)], "NUMERO string, ENUNCIADO string, VIGENTE string, NUMAPROVACAO string, ANOAPROVACAO string, AREA string, TEMA string").coalesce(1)
-    got = courts.sumula_table(rows).collect()
+    rows = spark.createDataFrame([("247.0", "Uma <b>regra</b>", "SIM", "3", "2004", "Obra", None, 1), ("247", "Outra", "NÃO", None, None, None, "x", 2), ("", "Sem número", "SIM", None, None, None, None, 3), ("9", " ", "SIM", None, None, None, None, 4)], "NUMERO string, ENUNCIADO string, VIGENTE string, NUMAPROVACAO string, ANOAPROVACAO string, AREA string, TEMA string, at int")
+    got = courts.sumula_table(rows.repartition(3), "at").collect()  # the last in its file, whatever the partitions
     assert [(r["numero"], r["tese"], r["situacao"], r["assunto"]) for r in got] == [(247, "Outra", "REVOGADA", ["x"])]
     assert courts.too_few_sumulas(courts.sumula_table(rows), 2).count() == 1 and courts.too_few_sumulas(courts.sumula_table(rows), 1).count() == 0
     t = spark.createDataFrame([("SÚMULA TCU 12: O prazo é de dez dias. Fundamento legal: x",), ("nada",)], "t string").select(courts.sumula_text(F.col("t")).alias("s")).collect()
@@ -72,12 +72,16 @@ def test_pages_and_dates(spark):
 
 
 def test_metadata_extract(spark):
-    df = spark.createDataFrame([("lei_14133_01022021.pdf", "LEI Nº 14.133, DE 1º DE ABRIL DE 2021\nMunicípio: Nova Lori\nProcesso nº 12/2020. Pregão Eletrônico. Menor preço. Lei 8.666.", None), ("acordao_tcu.txt", None, "XYZ")], "name string, text string, meta_orgao string")
+    df = spark.createDataFrame([("lei_14133_01022021.pdf", "LEI Nº 14.133, DE 1º DE ABRIL DE 2021\nMunicípio: Nova Lori\nProcesso nº 12/2020. Pregão Eletrônico. Menor preço. Lei 8.666.", None), ("acordao_tcu.txt", None, "XYZ"), ("acordao_tcu_2.txt", None, " "), ("x.txt", "TRIBUNAL: TJSP\nPROCESSO: 77/2019\nRELATOR: Ana", None), ("y.txt", "TRIBUNAL: TJMG\n", None)], "name string, text string, meta_orgao string")
     r = {x["name"]: x for x in metadata.extract(df, "name", "text", ["orgao"]).collect()}
     a, b = r["lei_14133_01022021.pdf"], r["acordao_tcu.txt"]
     assert (a["municipio"], a["modalidade"], a["tipo"], a["processo"], a["norm_numero"], a["norm_ano"], a["data_versao"]) == ("Nova Lori", "Pregão Eletrônico", "Menor Preço", "12/2020.", "14133", 2021, "2021-02-01") or a["processo"].startswith("12/2020")
     assert a["authority_level"] == 1 and a["normative_rank"] == 2 and a["regime_juridico"] == "lei_14133" and a["cited_regimes"] == ["lei_8666"]
-    assert b["orgao"] == "XYZ" and b["source_role"] == "jurisprudencia_controle" and b["regime_juridico"] == "jurisprudencia"
+    assert (b["orgao"], b["source_role"], b["regime_juridico"], b["jurisdicao"]) == ("XYZ", "desconhecido", "nao_especificado", None)  # a given scope: the name says nothing
+    c, x, y = r["acordao_tcu_2.txt"], r["x.txt"], r["y.txt"]
+    assert (c["orgao"], c["tribunal"], c["source_role"], c["authority_level"], c["regime_juridico"], c["norma_canonica"]) == ("TCU", "TCU", "jurisprudencia_controle", 2, "jurisprudencia", "Jurisprudência")
+    assert (x["orgao"], x["jurisdicao"], x["esfera"], x["authority_level"], x["processo"], x["relator"], x["status"], x["metadata_ambiguous"]) == ("TJSP", "estadual_sp", "estadual", 2, "77/2019", "Ana", "jurisprudencia", False)
+    assert (y["tribunal"], y["jurisdicao"], y["authority_level"], y["metadata_ambiguous"]) == ("TJMG", None, None, True)
 
 
 def test_titles_and_budget():

@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.functions import dates as D
 from lexmill.plans import ask, filters
@@ -21,7 +22,37 @@ def test_bad_filters(bad):
 
 def test_values():
     _, f = filters.parse_inline("@revogado=não @regime_juridico=jurisprudencia @jurisdicao=FEDERAL @ano=2020 @ano>2")
-    assert f["revogado"].any_of == [False] and f["jurisdicao"].any_of == ["federal"] and f["ano"] == Filter([2020])
+    assert f["revogado"].any_of == [False] and f["jurisdicao"].any_of == ["federal"] and f["ano"] == Filter([2020], {">": 2})  # both are kept, the value decides
+
+
+def test_inferred_filters(spark):
+    from lexmill.queries_core import QUESTIONS
+
+    texts = [q for _, q in QUESTIONS] + ["", "Manual de licitações e TCU", "segundo a constituição paulista e a constituição federal"]
+    rows = spark.createDataFrame([(q,) for q in texts], "q string").select("q", filters.inferred_columns(F.col("q")).alias("i")).select("q", "i.*").collect()
+    for r in rows:  # the same rules for one question and for a column of them
+        one = filters.inferred(r["q"])
+        assert (one.get("tribunal"), one.get("source_id"), one.get("jurisdicao")) == (r["tribunal"], r["source_id"], r["jurisdicao"]), r["q"]
+        assert filters.regimes(r["q"]) == r["regimes"] and filters.cross_source(r["q"]) == r["cross_source"] and filters.holds(r["q"], filters.COMPARING) == r["comparative"]
+    assert filters.inferred("segundo a constituição, o que é dever?") == {"source_id": "cf1988", "authority_level": 1, "normative_rank": 1}
+    plan = filters.plan("O manual de licitações do TCU explica a Lei 14.133/2021?")
+    assert not {"tribunal", "source_id", "regime_juridico"} & set(plan.filters) and plan.exclude_past
+    assert filters.plan("@tribunal=STJ decisões do TCU").filters["tribunal"].any_of == ["STJ"]
+
+
+@pytest.mark.parametrize(
+    ("question", "want"),
+    [
+        ("o que mudou na dispensa", ["lei_14133", "lei_8666"]),
+        ("o que mudou desde a lei 8.666", ["lei_14133", "lei_8666"]),
+        ("comparar o pregão da lei 8.666", ["lei_14133", "lei_8666", "lei_10520"]),
+        ("diferença entre o RDC e a lei 14.133", ["lei_14133", "lei_12462"]),
+        ("regime anterior na lei 10.520", ["lei_10520"]),
+    ],
+)
+def test_transition_regimes(question, want):
+    assert filters.transition_regimes(question) == want
+    assert filters.plan(question).search.endswith("[FOCO TEMPORAL: comparar os regimes " + "; ".join(filters.LABELS[r] for r in want) + "]")
 
 
 @pytest.mark.parametrize(

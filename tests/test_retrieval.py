@@ -15,7 +15,7 @@ def test_scores(spark):
     got = [r[0] for r in df.select(S.retrieval_score(e, F.lit(1.0), a, F.lit(0.5))).collect()]
     assert [round(x, 5) for x in got] == [0.81545, 0.89175]
     edge = spark.range(1).select(S.evidence_score(F.lit(1e9)), S.authority_score(F.lit(None).cast("int"), F.lit(1)), S.quality_score(F.lit(None)), S.jurisdiction_score(F.lit("federal"), F.lit("estadual_sp"))).first()
-    assert edge[0] <= 1 and tuple(edge)[1:] == (0.10, 1.0, 0.0)
+    assert edge[0] <= 1 and tuple(edge)[1:] == (0.10, 1.0, 0.25)
 
 
 def test_bm25_brute(spark):

@@ -7,9 +7,7 @@ or the one before it. Merges are anti-joins on doc_id and a union: one shuffle o
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,39 +83,69 @@ def pooled(vectors: DataFrame, group: list[str], vector: str, weight: Column) ->
     return sums.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v")).select(*group, V.unit(F.col("_v._m")).alias("vector"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, whatever its scheme, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small text file on any file system; null where there is none."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file written beside its place and then renamed to it."""
+    fs, at = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    stream = fs.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, at, overwrite)
+
+
 class Index:
     """An index in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self) -> Path:
-        return self.root / "current.json"
+    def _pointer(self) -> str:
+        return f"{self.root}/current.json"
 
     def manifest(self) -> dict:
         """The current manifest; empty where nothing was written."""
         try:
-            return json.loads(self._pointer().read_text(encoding="utf-8"))
-        except (OSError, ValueError):
+            return json.loads(read_file(self.spark, self._pointer()) or "{}")
+        except ValueError:
             return {}
 
     def read(self) -> DataFrame | None:
         """The current version."""
         at = self.manifest().get("version")
-        return self.spark.read.parquet(str(self.root / at)) if at else None
+        return self.spark.read.parquet(f"{self.root}/{at}") if at else None
 
     def write(self, points: DataFrame, config: dict, partition: str | None = "source_role", sort: list[str] = (), events: list[dict] = ()) -> str:
         """Write a version, then point to it. Sorted within files so that their statistics prune."""
         version = f"v-{uuid.uuid4().hex[:12]}"
         rows = points.sortWithinPartitions(*sort) if sort else points
         writer = rows.write.mode("errorifexists")
-        (writer.partitionBy(partition) if partition and partition in points.columns else writer).parquet(str(self.root / version))
+        (writer.partitionBy(partition) if partition and partition in points.columns else writer).parquet(f"{self.root}/{version}")
         old = self.manifest()
         new = {"version": version, "config": config, "events": ([*old.get("events", []), *events])[-KEPT_EVENTS:]}
-        self.root.mkdir(parents=True, exist_ok=True)
-        temporary = self._pointer().with_suffix(f".{uuid.uuid4().hex[:8]}.tmp")
-        temporary.write_text(json.dumps(new, ensure_ascii=False, sort_keys=True), encoding="utf-8")
-        os.replace(temporary, self._pointer())
+        replace_file(self.spark, self._pointer(), json.dumps(new, ensure_ascii=False, sort_keys=True))
         return version
 
     def check(self, config: dict) -> list[str]:

@@ -23,6 +23,8 @@ from lexmill.settings import Settings
 VOCABULARY = 10_000
 #: Query terms (a term of a query each) that are brought to the texts, and scores that a batch holds at once.
 PAIRS, SCORES = 200_000, 4_000_000
+#: Query vectors that a batch of rows is compared with at once.
+INNER = 256
 
 
 def _query_terms(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
@@ -100,6 +102,12 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", key: str = "doc_id",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; a zero vector stays one, so it is like none."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", extra: list[str] = (), block: int = 4096, exclude_self: bool = False) -> DataFrame:
     """query_id, key, score (cosine, six places), rank: exact search of a query set against all rows.
 
@@ -116,21 +124,28 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     def search(rows: list[tuple]) -> DataFrame:
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         q = np.array([r[1] for r in rows], dtype=np.float64)
-        held = sc.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+        held = sc.broadcast((ids, _scaled(q)))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = held.value
             for pdf in batches:
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                sim = np.round((x / np.where(n > 0, n, 1)) @ q.T, 6)
-                if exclude_self:
-                    sim[pdf[key].to_numpy()[:, None] == ids[None, :]] = -2
-                order = np.lexsort((pdf[key].to_numpy()[:, None].repeat(len(ids), 1), -sim), axis=0)[: min(k, len(pdf))]
-                col = np.broadcast_to(np.arange(len(ids)), order.shape)
-                flat = order.ravel()
-                got = pd.DataFrame({"query_id": ids[col.ravel()], key: pdf[key].to_numpy()[flat], "score": sim[flat, col.ravel()], **{c: pdf[c].to_numpy()[flat] for c in names}})
-                yield got[got["score"] > -2]
+                if not len(pdf):
+                    continue
+                keys = pdf[key].to_numpy()
+                x = _scaled(np.stack(pdf[vector].to_numpy()).astype(np.float64))
+                n = len(keys)
+                for at in range(0, len(ids), INNER):  # a matrix of rows x INNER at a time
+                    some = ids[at : at + INNER]
+                    sim = np.round(x @ q[at : at + INNER].T, 6)
+                    if exclude_self:
+                        sim[keys[:, None] == some[None, :]] = -2
+                    least = np.partition(sim, n - k, axis=0)[n - k] if n > k else np.full(len(some), -2.0)
+                    rows, cols = np.nonzero((sim >= least) & (sim > -2))
+                    order = np.lexsort((keys[rows], -sim[rows, cols], cols))
+                    rows, cols = rows[order], cols[order]
+                    place = np.arange(len(cols)) - np.searchsorted(cols, cols, side="left")
+                    rows, cols = rows[place < k], cols[place < k]
+                    yield pd.DataFrame({"query_id": some[cols], key: keys[rows], "score": sim[rows, cols], **{c: pdf[c].to_numpy()[rows] for c in names}})
 
         return vectors.where(F.col(vector).isNotNull()).select(key, vector, *names).mapInPandas(scan, schema)
 
@@ -160,15 +175,13 @@ def dense_best_per_group(vectors: DataFrame, queries: DataFrame, group: str, key
     while pending := [r for _, r in zip(range(block), rows, strict=False)]:
         ids = np.array([r[0] for r in pending], dtype=np.int64)
         q = np.array([r[1] for r in pending], dtype=np.float64)
-        held = sc.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+        held = sc.broadcast((ids, _scaled(q)))
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, q = held.value
             for pdf in batches:
                 pdf = pdf.sort_values(key)
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                sim = np.round((x / np.where(n > 0, n, 1)) @ q.T, 6)
+                sim = np.round(_scaled(np.stack(pdf[vector].to_numpy()).astype(np.float64)) @ q.T, 6)
                 for g, at in pdf.reset_index(drop=True).groupby(group, dropna=True).indices.items():
                     best = at[np.argmax(sim[at], axis=0)]  # the first of equals has the smallest key
                     yield pd.DataFrame({"query_id": ids, group: g, key: pdf[key].to_numpy()[best], "score": sim[best, np.arange(len(ids))]})
@@ -272,6 +285,36 @@ def within_budget(items: Column, budget: int) -> Column:
     return F.aggregate(items, zero, step)
 
 
+#: What is said of a source in the context, and what stands where it isn't known.
+TOLD = [
+    ("papel", ["source_role"], "desconhecido"), ("autoridade", ["authority_level"], "desconhecida"), ("status", ["status"], "desconhecido"), ("jurisdicao", ["jurisdicao"], "desconhecida"),
+]
+
+
+def context_label(points: DataFrame, number: Column) -> Column:
+    """Heading of a source in the context: title, file, pages, unit, role, authority, status, jurisdiction, validity, day of collection, version, origin.
+
+    Columns that the table lacks count as unknown; a version is told by its first twelve characters.
+    """
+    have = dict(points.dtypes)
+    text = lambda *names: F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in have], F.lit(None).cast("string"))
+    said = lambda names, other: F.coalesce(text(*names), F.lit(other))
+    flag = lambda c, words: F.when(F.coalesce(F.col(c).cast("boolean"), F.lit(False)), words).otherwise("") if c in have else F.lit("")
+    page, last = text("page"), F.coalesce(text("page_end"), text("page"))
+    pages = F.when(page.isNull(), "p. desconhecida").when(page == last, F.concat(F.lit("p. "), page)).otherwise(F.concat(F.lit("pp. "), page, F.lit("-"), last))
+    version = F.concat(F.lit(" | versão="), F.substring(text("version_sha256"), 1, 12))
+    origin = F.lit("")
+    if "text_origin" in have or "extraction_confidence" in have:
+        trust = F.format_string("%.3f", F.coalesce(text("extraction_confidence").cast("double"), F.lit(0.0)))
+        origin = F.concat(F.lit(" | origem_texto="), said(["text_origin"], "desconhecido"), F.lit(" | confianca_extracao="), trust)
+    return F.concat(
+        F.lit("[F"), number.cast("string"), F.lit("] "), said(["title", "source"], "fonte não identificada"), F.lit(" ("), said(["source"], "arquivo desconhecido"), F.lit("), "), pages, flag("page_uncertain", " (posição incerta)"),
+        F.coalesce(F.concat(F.lit(", "), text("unit_ref")), F.lit("")), *[x for name, names, other in TOLD for x in (F.lit(f" | {name}="), said(names, other))],
+        F.lit(" | vigencia="), said(["effective_from", "data_vigencia"], "desconhecida"), F.lit(" até "), said(["effective_to"], "indeterminada"), F.lit(" | recuperado_em="), said(["retrieved_at"], "desconhecido"),
+        F.coalesce(version, F.lit("")), flag("context_only", " | contexto_vizinho=true"), flag("metadata_ambiguous", " | metadados_ambiguos=true"), origin, F.lit(" | fonte="), said(["fonte_oficial"], "não informada"),
+    )
+
+
 def label(number: Column, title: Column, page: Column, page_end: Column, uncertain: Column, confidence: Column) -> Column:
     """Heading of a source in the context."""
     pages = F.when(page.isNull(), "").when((page_end.isNull()) | (page_end == page), F.concat(F.lit(", p. "), page.cast("string"))).otherwise(F.concat(F.lit(", pp. "), page.cast("string"), F.lit("-"), page_end.cast("string")))

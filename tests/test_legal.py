@@ -95,3 +95,16 @@ def test_child_kind(spark):
     marks = ["§ 1º", "Parágrafo único", "IV -", "a)", "(b)", "3)", "12 -", "texto"]
     got = [r[0] for r in spark.createDataFrame([(m,) for m in marks], "m string").select(L.child_kind(F.col("m"))).collect()]
     assert got == ["paragrafo", "paragrafo", "inciso", "alinea", "alinea", "item", "item", None]
+
+
+def test_composed_drops_general_levels_first():
+    import pytest
+
+    path = ["LEI Nº 1", "CAPÍTULO II", "Art. 3º"]
+    assert L.composed("[P]", path, "corpo", False, 1000) == ("[P] [HIERARQUIA: LEI Nº 1 > CAPÍTULO II > Art. 3º]\ncorpo", path)
+    text, kept = L.composed("[P]", path, "corpo", False, 45)
+    assert kept == ["CAPÍTULO II", "Art. 3º"] and len(text) <= 45
+    assert L.composed("[P]", path, "LEI Nº 1 > CAPÍTULO II > Art. 3º corpo", False, 1000)[0].count("LEI") == 1
+    assert "HIERARQUIA" not in L.composed("[P]", path, "corpo", True, 1000)[0]
+    with pytest.raises(ValueError):
+        L.composed("[P]", path, "corpo " * 40, False, 100)

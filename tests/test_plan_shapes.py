@@ -27,6 +27,16 @@ def test_no_cross_or_nested_loop_joins(spark, data):
         assert "CartesianProduct" not in p and "NestedLoop" not in p, name
 
 
+def test_no_pairs_of_query_and_document_are_shuffled(spark, data):
+    """Before the best are chosen nothing moves: scores are made where a document's terms lie."""
+    for name in ("q_bm25_topk", "q_dense_topk"):
+        p = plan(q.QUERIES[name](spark, data)).split("Initial Plan")[-1]
+        lines = p.splitlines()
+        first = next(i for i, x in enumerate(lines) if "MapInPandas" in x)
+        before = [x for x in lines[:first] if "Exchange" in x]
+        assert len(before) == 1 and "WindowGroupLimit" in p[p.index("Exchange") :] and not any("Exchange" in x for x in lines[first:]), name
+
+
 def test_columns_are_pruned(spark, data):
     p = plan(q.QUERIES["q_facet_counts"](spark, data))
     assert "ReadSchema: struct<l_returnflag:string,l_linestatus:string>" in p

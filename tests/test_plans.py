@@ -115,3 +115,18 @@ def test_ask(spark):
     got = ask.retrieve(spark, idx, "prazo de recurso na licitação federal").collect()
     assert got and [r["number"] for r in got] == list(range(1, len(got) + 1)) and all(r["doc_id"] != 99 for r in got)
     assert ask.retrieve(spark, idx, "xyzw").count() == 0
+
+
+def test_ask_puts_base_context_after_what_was_found(spark):
+    rows = [(i, f"prazo de recurso número {i} contrato", "s", f"u{i}", "artigo", 0, 1, 2, "federal", 1.0, [1.0, float(i)]) for i in range(4)] + [
+        (50, "texto base sobre princípios gerais", "base", "b1", "artigo", 0, 1, 1, "federal", 1.0, [1.0, 0.5]), (51, "outro texto base", "base", "b2", "artigo", 0, 1, 1, "federal", 1.0, [-1.0, 0.0]),
+    ]
+    idx = spark.createDataFrame(rows, "doc_id long, text string, source string, unit_id string, unit_kind string, chunk_index int, authority_level int, normative_rank int, jurisdicao string, extraction_confidence double, embedding array<double>")
+    from lexmill.settings import Settings
+
+    some = Settings(candidates_k=3)
+    got = ask.retrieve(spark, idx.where("source <> 'base' or doc_id > 0"), "prazo de recurso", [1.0, 0.4], some, base_sources=["base"]).collect()
+    ids = [r["doc_id"] for r in got]
+    assert set(ids) & {0, 1, 2, 3} and 51 not in ids or 50 in ids
+    if 50 in ids and not [r for r in got if r["doc_id"] == 50][0]["is_hit"]:
+        assert ids[-1] == 50 and got[-1]["context_only"]

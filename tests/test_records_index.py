@@ -109,3 +109,48 @@ def test_numbered_and_as_of(spark):
     pts = spark.createDataFrame([("k", 1, "p"), ("k", 5, "q"), ("k", 5, "r"), ("m", 3, "s")], "key string, at int, x string")
     marks = spark.createDataFrame([("k", 5, "five"), ("k", 2, "two"), ("z", 1, "no")], "key string, at int, v string")
     assert {(r["x"], r["v"]) for r in as_of(pts, marks, ["key"], "at", "v").collect()} == {("p", None), ("q", "five"), ("r", "five"), ("s", None)}
+
+
+def test_pointer_is_replaced_on_any_file_system(spark, tmp_path):
+    from lexmill.operators import index as ix
+
+    at = f"file://{tmp_path}/a/current.json"
+    assert ix.read_file(spark, at) is None
+    for text in ("{}", '{"versão": 2}'):
+        ix.replace_file(spark, at, text)
+        assert ix.read_file(spark, at) == text
+    assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")] == ["current.json"]
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    import pytest
+
+    from lexmill import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Here:
+        master = "spark://x:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class O:
+                            @staticmethod
+                            def isEmpty():
+                                return True
+
+                        return O
+
+                return S
+
+    class Session:
+        conf, sparkContext = Conf(), Here()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())

@@ -113,3 +113,37 @@ def test_inverted_file(spark, tmp_path):
     assert ann.recall(few, exact).agg(F.avg("recall")).first()[0] >= 0.9
     none = df.limit(0)
     assert ann.search(ann.assign(none, ann.fit(none, 4)), ann.fit(none, 4), q, 3, 2).count() == 0
+
+
+def test_zero_vectors_and_ties(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [0.0, 0.0]), (8, [3.0, 0.0])], "query_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"], r["rank"]) for r in R.dense_top_k(rows, asked, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(8, 2, 1.0, 1), (8, 3, 1.0, 2), (9, 1, 0.0, 1), (9, 2, 0.0, 2)]
+    assert R.dense_top_k(rows, asked.limit(0), 2).count() == 0
+
+
+def test_bm25_top_k_is_the_join_cut_short(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    words = [f"palavra{'abcdefghij'[i]}{'abcdefghij'[j]}" for i in range(6) for j in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(0, 30)))) for i in range(300)] + [(900, None), (901, "")], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, " ".join(words[:4])), (2, words[0] + " nada " + words[0]), (3, "xyz"), (4, None)], "query_id long, query string")
+    whole = R.top_k(R.bm25(docs, asked).withColumn("score", F.round("score", 6)), 7)
+    take = lambda df: sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in df.collect())
+    assert take(R.bm25_top_k(docs, asked, 7)) == take(whole)
+    monkeypatch.setattr(R, "VOCABULARY", 2)  # a larger query set is joined
+    assert take(R.bm25_top_k(docs, asked, 7)) == take(whole)
+    assert R.bm25_top_k(docs.limit(0), asked, 7).count() == 0
+
+
+def test_context_label(spark):
+    rows = [(1, "Lei de Tal", "lei.pdf", 3, 4, "Art. 5º", "norma", 1, "vigente", "federal", "2021-04-01", None, "abcdefghijklmnop", True, 0.5), (2, None, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "n int, title string, source string, page int, page_end int, unit_ref string, source_role string, authority_level int, status string, jurisdicao string, effective_from string, effective_to string, version_sha256 string, context_only boolean, extraction_confidence double")
+    a, b = [x[0] for x in df.orderBy("n").select(R.context_label(df, F.col("n"))).collect()]
+    assert a == (
+        "[F1] Lei de Tal (lei.pdf), pp. 3-4, Art. 5º | papel=norma | autoridade=1 | status=vigente | jurisdicao=federal | vigencia=2021-04-01 até indeterminada | recuperado_em=desconhecido | versão=abcdefghijkl"
+        " | contexto_vizinho=true | origem_texto=desconhecido | confianca_extracao=0.500 | fonte=não informada"
+    )
+    assert b.startswith("[F2] fonte não identificada (arquivo desconhecido), p. desconhecida | papel=desconhecido | autoridade=desconhecida") and "versão" not in b

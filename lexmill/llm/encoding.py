@@ -4,7 +4,7 @@ Garbled sequences are precomputed for all pairs of encodings. Those of several c
 encoding, once or twice) are found with a multi-pattern automaton and replaced where they match. Those of one character
 (a one-byte encoding read as another) may also stand in proper foreign words; a word is restored under a pair only if
 each restored letter stands between neighbours as such letters do in the corpus and the letter found there doesn't. The
-corpus's counts of a marked letter between two neighbours are a bounded table (alphabet x marked letters x alphabet).
+corpus's counts of a marked or garbled letter between two neighbours are a bounded table (alphabet x such letters x alphabet).
 Correct text around a match stays as it is.
 
 Defined results: null and text without a garbled stretch give no row; replacement characters are always a case and are
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,16 +32,13 @@ MARKED = "áàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇºª"
 SIGNS = "§°«»·©½²³"
 _PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CONTEXT = frozenset(_PLAIN + MARKED)
-_AROUND = re.compile(f"[{MARKED}]")
 LOST = "�"
 
 #: One-byte encodings that UTF-8 was read as.
 UTF8_AS = ["cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1250", "cp1251", "iso8859-2", "iso8859-15"]
-#: One-byte encodings read as one another: (written in, read as).
-ONE_AS = [
-    ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("cp1252", "koi8-r"), ("cp1252", "cp1253"), ("cp1252", "cp1257"), ("cp1252", "iso8859-5"),
-    ("cp850", "cp1252"), ("cp850", "latin-1"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("mac_roman", "latin-1"), ("cp860", "cp1252"),
-]
+#: One-byte encodings that Portuguese texts were written in, and those that they were read as; every pair counts.
+WRITTEN_IN = ["cp1252", "cp850", "cp437", "cp860", "mac_roman"]
+READ_AS = ["cp1252", "latin-1", "cp850", "cp437", "cp860", "mac_roman", "cp1250", "iso8859-2", "cp1251", "iso8859-5", "koi8-r", "cp1253", "cp1257"]
 
 
 def _read(data: bytes, encoding: str) -> str:
@@ -91,9 +89,9 @@ def _automaton():
 
 @lru_cache(maxsize=1)
 def one_as() -> list[tuple[str, dict[int, str]]]:
-    """For each pair, garbled character -> marked letter or sign."""
-    out = []
-    for was, read in ONE_AS:
+    """For each pair, garbled character -> marked letter or sign; pairs that garble alike count once, under the first."""
+    out: dict[tuple, tuple[str, dict[int, str]]] = {}
+    for was, read in product(WRITTEN_IN, READ_AS):
         table = {}
         for c in MARKED + SIGNS:
             try:
@@ -102,16 +100,19 @@ def one_as() -> list[tuple[str, dict[int, str]]]:
                 continue
             if g != c:
                 table.setdefault(ord(g), c)
-        out.append((f"{was}>{read}", table))
-    return out
+        if table:
+            out.setdefault(tuple(sorted(table.items())), (f"{was}>{read}", table))
+    return list(out.values())
 
 
 _FOREIGN = "".join(sorted({chr(g) for _, t in one_as() for g in t} - set(MARKED)))
+#: Letters whose neighbours are counted: marked ones, and what garbling turns them into.
+_AROUND = re.compile(f"[{MARKED}{re.escape(_FOREIGN)}]")
 #: A word with a sign of garbling: a character that is no Portuguese letter, or a capital mark after a small letter.
-_WORD = re.compile(rf"(?<!\S)[^\s]*(?:[{re.escape(_FOREIGN)}]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ])[^\s]*")
+_WORD = re.compile(rf"(?<![^ \t\n\r])[^ \t\n\r]*(?:[{re.escape(_FOREIGN)}]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ])[^ \t\n\r]*")
 #: Texts without any of this need no look.
 SUSPECT = (
-    rf"[^\x00-\x7f{MARKED}§°²³–—“”‘’•…·»©↑→½¼€\xa0\xad\u2010\u2011¬]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ“‘’”•…·»€°§][A-Za-zÀ-ÿ]"
+    rf"[^\x00-\x7f{MARKED}§°²³–—“”‘’•…·»©↑→½¼€\xa0\xad\u2010\u2011¬]|[a-zà-ú][ÀÁÂÃÇÉÊÍÓÔÕÚ“‘’”•…·»€°§–—\xa0][A-Za-zÀ-ÿ]"
     r"|[ÃÂ][^A-Za-zÀ-ÖØ-öø-ÿ\s.,;:)–-]|Ã[ \xa0][a-z ]|¬[^\sA-Za-zÀ-ÿ]"
 )
 
@@ -186,7 +187,7 @@ class Restorer:
                 if a == b:
                     continue
                 n = self._count(new, i) if b not in SIGNS else self.least
-                if n < self.least or not self._case(new, i) or n < 20 * (self._count(word, i) if a in MARKED else 0):
+                if n < self.least or not self._case(new, i) or n < 20 * self._count(word, i):
                     low = 0
                     break
                 low = min(low, n)

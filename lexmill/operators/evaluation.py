@@ -145,6 +145,33 @@ def summary(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("cases"), *[F.avg(F.col(c).cast("double")).alias(c) for c in metrics.columns if c != "case_id"])
 
 
+def device_key(device_id: Column, unit_id: Column) -> Column:
+    """What a device is known by: its own id, else that of its unit; blank counts as none."""
+    return F.coalesce(F.nullif(F.trim(device_id), F.lit("")), F.nullif(F.trim(unit_id), F.lit("")))
+
+
+def reference_metrics(rankings: DataFrame, cases: DataFrame, ks: list[int]) -> DataFrame:
+    """case_id, recall_k and fp_rate_k of references (articles, or devices by ``device_key``), each expected one once.
+
+    rankings: case_id, rank (from 1), ref (null or blank: none). cases: case_id, expected array<string>; blank entries don't count.
+    Recall is of distinct references; the rate is of all points, so one without reference is no false one but counts. Null where nothing is expected.
+    """
+    clean = F.array_distinct(F.filter(F.transform("expected", lambda x: F.trim(x)), lambda x: F.length(x) > 0))
+    wanted = cases.select("case_id", F.coalesce(clean, F.array().cast("array<string>")).alias("_e"))
+    rows = wanted.join(rankings.select("case_id", "rank", F.trim("ref").alias("_r")), "case_id", "left")
+    filled = F.length(F.coalesce("_r", F.lit(""))) > 0
+    hit = filled & F.array_contains("_e", F.col("_r"))
+    some = F.size(F.first("_e")) > 0
+    out = []
+    for k in ks:
+        top = F.col("rank") <= k
+        out += [
+            F.when(some, F.count_distinct(F.when(top & hit, F.col("_r"))) / F.size(F.first("_e"))).alias(f"recall_{k}"),
+            F.when(some, F.coalesce(F.avg(F.when(top, (filled & ~F.array_contains("_e", F.col("_r"))).cast("double"))), F.lit(0.0))).alias(f"fp_rate_{k}"),
+        ]
+    return rows.groupBy("case_id").agg(*out)
+
+
 def temporal_match(on: Column, start: Column, end: Column, low: Column, high: Column) -> Column:
     """Whether a validity interval [low, high] holds a day, or meets a window [start, end]; null where nothing is asked or known."""
     asked = on.isNotNull() | start.isNotNull() | end.isNotNull()

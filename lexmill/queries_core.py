@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import dates as D
@@ -784,6 +784,30 @@ def q_case_metrics(spark: SparkSession, d: str) -> DataFrame:
     return m.select("case_id", F.round("recall_10", 6).alias("recall_10"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "regime_correct", "jurisdiction_correct", "retrieval_rejected")
 
 
+_REFS_SQL = """
+    n AS (SELECT DISTINCT doc_id, edition, node_id, ref, source_start FROM legal_nodes WHERE kind = 'artigo'),
+    r AS (SELECT doc_id || '@' || edition AS case_id, trim(CASE WHEN source_start % 5 = 0 THEN ' ' ELSE ref END) AS ref, row_number() OVER (PARTITION BY doc_id, edition ORDER BY source_start, node_id) AS rank FROM n),
+    c AS (SELECT doc_id || '@' || edition AS case_id, list_distinct(list(trim(ref)) FILTER (source_start % 3 = 0 AND length(trim(ref)) > 0)) AS e FROM n GROUP BY 1)"""
+
+
+@query(
+    f"""
+    WITH {_REFS_SQL}, j AS (SELECT c.case_id, c.e, r.rank, coalesce(r.ref, '') AS ref FROM c LEFT JOIN r ON r.case_id = c.case_id AND r.rank <= 5)
+    SELECT case_id, round(CASE WHEN len(any_value(e)) > 0 THEN count(DISTINCT ref) FILTER (list_contains(e, ref) AND length(ref) > 0) / len(any_value(e))::DOUBLE END, 6) AS recall_5,
+           round(CASE WHEN len(any_value(e)) > 0 THEN avg((length(ref) > 0 AND NOT list_contains(e, ref))::INT) END, 6) AS fp_rate_5 FROM j GROUP BY 1
+    """
+)
+def q_article_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the articles expected of each edition (every third by its place), those among the first five; some points have no reference."""
+    n = table(spark, d, "legal_nodes").where(F.col("kind") == "artigo").select(F.concat_ws("@", "doc_id", F.col("edition").cast("string")).alias("case_id"), "node_id", "ref", "source_start").distinct()
+    w = Window.partitionBy("case_id").orderBy("source_start", "node_id")  # the articles of one edition
+    ranked = n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+    points = ranked.select("case_id", "rank", evaluation.device_key(F.when(F.col("source_start") % 5 != 0, F.col("ref")), F.lit(" ")).alias("ref"))
+    cases = n.groupBy("case_id").agg(F.collect_set(F.when(F.col("source_start") % 3 == 0, F.col("ref"))).alias("expected"))
+    m = evaluation.reference_metrics(points, cases, [5])
+    return m.select("case_id", F.round("recall_5", 6).alias("recall_5"), F.round("fp_rate_5", 6).alias("fp_rate_5"))
+
+
 @query(
     """
     SELECT item_id, array_to_string(list_filter([

@@ -101,11 +101,20 @@ def _inside(spans: list[tuple[int, int]], starts: list[int], at: int) -> bool:
     return k >= 0 and spans[k][0] <= at < spans[k][1]
 
 
+#: Fixed value: characters before an article in which a change announced counts.
+LOOK_BACK = 500
+_ARTICLE = re.compile(r"\bArt(?:igo)?\.?\s*\d", re.I)
+
+
 def _real_article(text: str, m: re.Match) -> bool:
     """Whether a mark begins an article or cites one."""
     word = m["artigo"]
     if word[0] == "a" or _CITED.match(text[m.end() : m.end() + 60]):
         return False
+    # within the wording that a changing act gives in quotes, as far as it looks back
+    back = text[max(0, m.start() - LOOK_BACK) : m.start()]
+    if (change := _CHANGES.search(back)) and not _ARTICLE.search(given := back[change.end() :]) and (given.count("“") > given.count("”") or given.count('"') % 2):
+        return False
     before = text[max(0, m.start() - 40) : m.start()].rstrip(" \t")
     if not before or before[-1] != "\n":
         return not before or before[-1] in ".;:”\"" or not _CITING.search(before)

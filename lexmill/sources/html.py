@@ -17,8 +17,18 @@ _BLOCK = frozenset("p div br li ul ol tr td th table section article main h1 h2
 _VOID = frozenset("br hr img input meta link base col source embed wbr".split())
 
 
+#: What holds an article's text, the surest first: (attribute or tag, value); and classes of what is no part of it.
+ARTICLE_NODES = [("itemprop", "articleBody"), ("tag", "article"), ("class", "entry-content"), ("class", "post-content"), ("class", "article-content"), ("class", "article-body"), ("class", "post__content"), ("tag", "main")]
+ARTICLE_NOISE = re.compile(r"share|social|related|coment|comment|advert|banner|cookie|newsletter|menu|breadcrumb|sidebar", re.I)
+#: Lines of pages that say nothing.
+NOISE = frozenset({"[Input]", "[Button: Pesquisar]", "expand_more", "collapse"})
+CONTENT_ID = re.compile(r"conteudo|content|corpo", re.I)
+#: Least characters of an article's node, most of a line.
+LEAST_ARTICLE, LONGEST_LINE = 800, 10_000
+
+
 class _Reader(HTMLParser):
-    """Collects visible text, links, meta tags, titles, JSON-LD and table rows in one pass."""
+    """Collects visible text, links, meta tags, titles, JSON-LD, table rows and the regions of elements that may hold the main text in one pass."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -31,13 +41,27 @@ class _Reader(HTMLParser):
         self._link: list | None = None
         self._into: str | None = None
         self._cell: list[str] | None = None
-        self._open: list[tuple[str, bool]] = []
+        self._open: list[tuple[str, bool, bool, list[int]]] = []
+        #: Places in text that belong to no article; regions by what marks them: first and last place in text.
+        self.noise: set[int] = set()
+        self.regions: list[tuple[str, str, list[int]]] = []
+        self._noisy = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
         struck = "line-through" in (a.get("style") or "") or tag in ("s", "strike", "del")
         if tag not in _VOID:
-            self._open.append((tag, struck))
+            noisy = bool(ARTICLE_NOISE.search(a.get("class") or ""))
+            self._noisy += noisy
+            region = [len(self.text), -1]
+            self._open.append((tag, struck, noisy, region))
+            if tag in ("main", "article", "body"):
+                self.regions.append(("tag", tag, region))
+            if a.get("itemprop"):
+                self.regions.append(("itemprop", a["itemprop"], region))
+            self.regions += [("class", c, region) for c in (a.get("class") or "").split() if ("class", c) in ARTICLE_NODES]
+            if CONTENT_ID.search(a.get("id") or ""):
+                self.regions.append(("id", a["id"], region))
         if tag in _DROPPED:
             self._hidden += 1
         if struck and tag not in _VOID:
@@ -62,9 +86,11 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i][0] == tag:
-                for t, struck in self._open[i:]:
+                for t, struck, noisy, region in self._open[i:]:
                     self._hidden -= t in _DROPPED
                     self._struck -= struck
+                    self._noisy -= noisy
+                    region[1] = len(self.text)
                 del self._open[i:]
                 break
         if tag in _BLOCK:
@@ -93,8 +119,17 @@ class _Reader(HTMLParser):
         if self._cell is not None:
             self._cell.append(data)
         if not self._hidden and not self._struck and self._into != "title":
+            if self._noisy:
+                self.noise.add(len(self.text))
             self.text.append(data)
 
+    def lines(self, region: list[int] | None = None, article: bool = False) -> list[str]:
+        """The lines of a region, or of the page, none blank; of an article without what is no part of it."""
+        a, b = region or (0, -1)
+        b = len(self.text) if b < 0 else b
+        parts = (x for i, x in enumerate(self.text[a:b], a) if not (article and i in self.noise))
+        return [x for x in (" ".join(x.split()) for x in "".join(parts).split("\n")) if x]
+
 
 def read(html: str) -> _Reader:
     """Read a page; broken markup is read as far as it goes."""
@@ -106,8 +141,24 @@ def read(html: str) -> _Reader:
 
 def page_text(html: str) -> str:
     """Visible text, a line for each block, none blank."""
-    lines = (" ".join(x.split()) for x in "".join(read(html).text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return "\n".join(read(html).lines())
+
+
+def main_text(html: str, noise: frozenset[str] = NOISE) -> str:
+    """Text of the page's main element, else of one whose id names content, else of the body; without noise lines and lines over LONGEST_LINE, which are no text by definition."""
+    r = read(html)
+    find = lambda kind, value=None: next((g for k, v, g in r.regions if k == kind and value in (None, v)), None)
+    root = find("tag", "main") or find("id") or find("tag", "body")
+    return "\n".join(x for x in r.lines(root) if x not in noise and len(x) <= LONGEST_LINE)
+
+
+def article_text(r: _Reader) -> str:
+    """Text of the surest node of an article that has LEAST_ARTICLE characters, else of the body."""
+    for kind, value in ARTICLE_NODES:
+        region = next((g for k, v, g in r.regions if k == kind and v == value), None)
+        if region and len(text := "\n".join(r.lines(region, True))) >= LEAST_ARTICLE:
+            return text
+    return "\n".join(r.lines(next((g for k, v, g in r.regions if (k, v) == ("tag", "body")), None), True))
 
 
 def json_ld(html: str) -> list[dict]:
@@ -137,13 +188,13 @@ def article(html: str) -> dict[str, str | None]:
     name = author.get("name") if isinstance(author, dict) else author
     first = lambda *v: next((str(x).strip() for x in v if x and str(x).strip()), None)
     m = r.meta.get
-    body = page_text(html)
+    body = article_text(r)
     return {
         "title": first(ld.get("headline"), m("og:title"), m("twitter:title"), r.h1, r.title),
         "date": first(ld.get("datePublished"), m("article:published_time"), m("datepublished"), m("date"), m("time")),
         "author": first(name, m("author"), m("article:author")),
         "section": first(ld.get("articleSection"), m("article:section")),
-        "body": body if len(body) >= 800 else first(ld.get("articleBody"), body),
+        "body": body if len(body) >= LEAST_ARTICLE else first(ld.get("articleBody"), body),
     }
 
 
@@ -181,6 +232,17 @@ def rows_of(v: pd.Series) -> pd.Series:
     return pd.Series([[] if x is None else [r for r in read(x).rows if r] for x in v])
 
 
+def main_text_of(html: Column, noise: list[str] = tuple(NOISE)) -> Column:
+    """Main text of pages, without lines that are noise; null for null."""
+    held = frozenset(noise)
+
+    @F.pandas_udf(T.StringType())
+    def text(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else main_text(x, held) for x in v], dtype=object)
+
+    return text(html)
+
+
 def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """key, url, link, label, place: every link made absolute, without fragment, each target once a page."""
     out = pages.select(key, F.col(url).alias("url"), F.posexplode(_links(html))).select(key, "url", "pos", F.col("col.href").alias("href"), F.col("col.label").alias("label"))

@@ -108,3 +108,10 @@ def test_composed_drops_general_levels_first():
     assert "HIERARQUIA" not in L.composed("[P]", path, "corpo", True, 1000)[0]
     with pytest.raises(ValueError):
         L.composed("[P]", path, "corpo " * 40, False, 100)
+
+
+def test_articles_quoted_by_a_change_are_no_articles():
+    text = 'Art. 1º A Lei passa a vigorar com a seguinte redação:\n"Art. 9º O novo texto vale."\nArt. 2º Esta lei entra em vigor.'
+    assert [n.ref for n in L.parse(text) if n.kind == "artigo"] == ["1º", "2º"]
+    closed = 'Art. 1º A Lei passa a vigorar com a redação "nova" e assim fica.\nArt. 2º Esta lei entra em vigor.'
+    assert [n.ref for n in L.parse(closed) if n.kind == "artigo"] == ["1º", "2º"]

@@ -152,3 +152,17 @@ def test_model_columns(spark):
     df = spark.createDataFrame([("a b", "a b c"), ("a b", "x"), ("q", None), (None, "b")], "q string, t string").coalesce(1)
     assert [r[0] for r in df.select(ports.embedded(Lengths(), F.col("t"), 2)).collect()] == [[5.0], [1.0], None, [1.0]]
     assert [r[0] for r in df.select(ports.reranked(Lengths(), F.col("q"), F.col("t"))).collect()] == [2.0, 0.0, None, None]
+
+
+def test_main_text_and_article_node():
+    from lexmill.sources import html as H
+
+    page = "<html><body><nav>Menu</nav><div id='x-conteudo'><p>Primeiro.</p><p>Ruído</p><p style='text-decoration: line-through'>Fora</p></div><p>Depois.</p></body></html>"
+    assert H.main_text(page, frozenset(["Ruído"])) == "Primeiro." and H.page_text(page) == "Primeiro.\nRuído\nDepois."
+    assert H.main_text(page.replace("<div", "<main><p>Núcleo</p></main><div")) == "Núcleo"
+    assert H.main_text("<p>" + "a" * 10_001 + "</p><p>b</p>") == "b" and H.main_text("") == ""
+    long = "<p>" + "Uma frase do artigo. " * 50 + "</p>"
+    art = f"<body><p>Topo</p><article><p>curto</p></article><div class='post-content extra'>{long}<div class='share-box'>Compartilhe</div></div><footer>Fim</footer></body>"
+    got = H.article(art)["body"]
+    assert got.startswith("Uma frase") and "Topo" not in got and "Compartilhe" not in got and "Fim" not in got
+    assert H.article("<body><p>Topo</p><article>curto</article></body>")["body"] == "Topo\ncurto"

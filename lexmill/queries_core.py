@@ -92,7 +92,41 @@ DATE_FIELDS = ["data", "data_publicacao", "data_autuacao"]
 # --- timestamps -------------------------------------------------------------------------------------------------------
 
 
-@query()
+_MONTH_NAMES = [
+    "janeiro|january|jan", "fevereiro|february|fev|feb", "março|marco|march|mar", "abril|april|abr|apr", "maio|may|mai", "junho|june|jun", "julho|july|jul", "agosto|august|ago|aug", "setembro|september|sept|set|sep", "outubro|october|out|oct",
+    "novembro|november|nov", "dezembro|december|dez|dec",
+]
+_WEEKDAY_NAMES = "segunda|terça|terca|quarta|quinta|sexta|sábado|sabado|domingo|seg|ter|qua|qui|sex|sáb|sab|dom|monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun"
+_NORMAL_SQL = r"' ' || lower(trim(regexp_replace(v, '\s+', ' ', 'g'))) || ' '"
+for _i, _names in enumerate(_MONTH_NAMES, 1):
+    _NORMAL_SQL = rf"regexp_replace({_NORMAL_SQL}, '([^\p{{L}}])(?:{_names})([^\p{{L}}])', '\1m{_i:02d}\2', 'g')"
+_NORMAL_SQL = rf"regexp_replace({_NORMAL_SQL}, '([^\p{{L}}])(?:{_WEEKDAY_NAMES})([^\p{{L}}])', '\1w\2', 'g')"
+_ZONE_RE = r"( ?z| ?(?:utc|gmt)? ?[+-]\d\d?(?::?\d\d)?| ?[a-z]{3,4})?(?: ?\[[a-z/_]+\])?"
+_TIME_RE = r"(?:,| -|t|)(?: ?às| ?as)? ?(\d\d?)(?:[:h](\d\d)(?:[:m](\d\d)s?(?:[.,]\d{1,9})?)?(?:min)?|h) ?([ap]\.?m\.?)?" + _ZONE_RE + r"(?: ?\((?:horário|horario) (?:de|oficial de) (?:brasília|brasilia)\))?"
+_ZONES = {"z": 0, "utc": 0, "gmt": 0, "brt": -180, "brst": -120, "amt": -240, "amst": -180, "act": -300, "fnt": -120}
+
+
+@query(
+    rf"""
+    WITH f AS (SELECT record_id, unnest(['data', 'data_publicacao', 'data_autuacao']) AS field_name, unnest([data, data_publicacao, data_autuacao]) AS v FROM decisions),
+    n AS (SELECT record_id, field_name, trim({_NORMAL_SQL}) AS t FROM f WHERE v IS NOT NULL),
+    p AS (SELECT record_id, field_name, t,
+            regexp_extract(t, '^(\d{{4}})([-./])(m?\d\d?)([-./])(\d\d?){_TIME_RE}$', ['y', 's', 'm', 's2', 'd', 'h', 'mi', 'se', 'pm', 'z']) AS a,
+            regexp_extract(t, '^(?:w(?:-feira)?,? )?(\d\d?)([-./ ])(m?\d\d?)([-./ ])(\d{{4}}|\d\d){_TIME_RE}$', ['d', 's', 'm', 's2', 'y', 'h', 'mi', 'se', 'pm', 'z']) AS b,
+            regexp_extract(t, '^(?:w(?:-feira)?,? )?(\d\d?)[ºo°]? de (m\d\d) de (\d{{4}}){_TIME_RE}$', ['d', 'm', 'y', 'h', 'mi', 'se', 'pm', 'z']) AS c,
+            regexp_extract(t, '^(\d{{4}})(\d\d)(\d\d)t(\d\d)(\d\d)(?:(\d\d)(?:[.,]\d{{1,9}})?)?{_ZONE_RE}$', ['y', 'm', 'd', 'h', 'mi', 'se', 'z']) AS e FROM n),
+    g AS (SELECT record_id, field_name, CASE WHEN a.y <> '' AND a.s = a.s2 THEN [a.y, a.m, a.d, a.h, a.mi, a.se, a.pm, a.z] WHEN b.y <> '' AND b.s = b.s2 THEN [b.y, b.m, b.d, b.h, b.mi, b.se, b.pm, b.z] WHEN c.y <> '' THEN [c.y, c.m, c.d, c.h, c.mi, c.se, c.pm, c.z]
+                 WHEN e.y <> '' THEN [e.y, e.m, e.d, e.h, e.mi, e.se, '', e.z] END AS x FROM p),
+    k AS (SELECT record_id, field_name, CASE WHEN length(x[1]) = 2 THEN '20' || x[1] ELSE x[1] END::INT AS y, try_cast(ltrim(x[2], 'm') AS INT) AS m, try_cast(x[3] AS INT) AS d, try_cast(x[4] AS INT) AS h0, coalesce(nullif(x[5], ''), '0')::INT AS mi, coalesce(nullif(x[6], ''), '0')::INT AS se, left(x[7], 1) AS pm, trim(x[8]) AS z FROM g WHERE x IS NOT NULL AND x[4] <> ''),
+    w AS (SELECT *, CASE WHEN pm = '' THEN h0 ELSE h0 % 12 + CASE pm WHEN 'p' THEN 12 ELSE 0 END END AS h, regexp_extract(z, '^(?:utc|gmt)? ?([+-])(\d\d?):?(\d\d)?$', ['s', 'h', 'm']) AS o,
+                 try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) AS day FROM k WHERE NOT (pm <> '' AND (h0 < 1 OR h0 > 12))),
+    i AS (SELECT *, day + to_hours(h) + to_minutes(mi) + to_seconds(se) AS local,
+                 CASE {' '.join(f"WHEN z = '{k}' THEN {v}" for k, v in _ZONES.items())} WHEN o.s <> '' AND try_cast(o.h AS INT) <= 18 AND coalesce(nullif(o.m, ''), '0')::INT <= 59 THEN CASE o.s WHEN '+' THEN 1 ELSE -1 END * (try_cast(o.h AS INT) * 60 + coalesce(nullif(o.m, ''), '0')::INT) END AS off
+          FROM w WHERE day IS NOT NULL AND h <= 23 AND mi <= 59 AND se <= 59)
+    SELECT DISTINCT record_id, field_name FROM i
+    WHERE day <> CASE WHEN z = '' THEN (timezone('America/Sao_Paulo', local) AT TIME ZONE 'UTC')::DATE WHEN off IS NOT NULL THEN (local - to_minutes(off))::DATE ELSE day END
+    """
+)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that write a day and a time whose day in UTC is another."""
     got = p7_timestamps(spark, d)

@@ -493,11 +493,43 @@ def q_date_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", D.date_key(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
 
 
-@query()
+#: Questions about times beside the test set's: (id, text).
+TIMES = [
+    (-5, "o que valia em março de 2022"), (-4, "antes de 2021-04-01 e depois de maio de 2023"), (-3, "em 05/10/2020"), (-2, "durante 2019 e em 2024"), (-1, "lei 14.133, de 1º de abril de 2021"), (-6, "em 31/02/2021 e no ano de 2020"),
+    (-7, "depois de 2020 e antes de 31/12/2019, na fevereiro de 2024"), (-8, "a 2021-04-30 e em 2021-04-30"),
+]
+_MONTHS_SQL = "['janeiro', 'fevereiro', 'marco', 'abril', 'maio', 'junho', 'julho', 'agosto', 'setembro', 'outubro', 'novembro', 'dezembro']"
+_MONTH_RE = "(?:janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)"
+_TIME_RES = {
+    "a": rf"\b(?:antes|depois)\s+de\s+(?:20\d\d-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}/\d{{1,2}}/20\d\d|{_MONTH_RE}\s+de\s+20\d\d|20\d\d)\b",
+    "i": r"20\d\d-\d{1,2}-\d{1,2}", "d": r"\b\d{1,2}/\d{1,2}/20\d\d\b", "m": rf"\b(?:em|no|na|durante)\s+{_MONTH_RE}\s+de\s+20\d\d\b", "y": r"\b(?:em|no|na|durante|ano\s+de)\s+20\d\d\b",
+}
+
+
+def _times_sql() -> str:
+    """CTEs up to ``found``: item_id, what: phrases, those of a kind taken out before the next kind is looked for."""
+    steps = ["t_a AS (SELECT item_id, " + fold_sql("coalesce(query, '')") + " AS t FROM asked)"]
+    for here, after in zip("aidmy", "idmyz", strict=True):
+        steps.append(f"t_{after} AS (SELECT item_id, regexp_replace(t, '{_TIME_RES[here]}', '#', 'g') AS t FROM t_{here})")
+    every = " UNION ALL ".join(f"SELECT item_id, unnest(regexp_extract_all(t, '{_TIME_RES[k]}')) AS what FROM t_{k}" for k in "aidmy")
+    return ", ".join([*steps, f"found AS ({every})"])
+
+
+@query(
+    rf"""
+    WITH asked AS (SELECT item_id, query FROM eval_items UNION ALL SELECT * FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in TIMES)}) AS x(item_id, query)), {_times_sql()},
+    p AS (SELECT item_id, regexp_extract(what, '^(antes|depois)', 1) AS turn, regexp_extract(what, '(20\d\d)-(\d\d)-(\d\d)$', ['y', 'm', 'd']) AS i, regexp_extract(what, '(\d{{1,2}})/(\d{{1,2}})/(20\d\d)$', ['d', 'm', 'y']) AS b,
+                 regexp_extract(what, '({_MONTH_RE})\s+de\s+(20\d\d)$', ['m', 'y']) AS n, regexp_extract(what, '\s(20\d\d)$', ['y']) AS y FROM found),
+    w AS (SELECT item_id, turn, CASE WHEN i.y <> '' THEN try_cast(i.y || '-' || i.m || '-' || i.d AS DATE) WHEN b.y <> '' THEN try_cast(b.y || '-' || lpad(b.m, 2, '0') || '-' || lpad(b.d, 2, '0') AS DATE) END AS day,
+                 CASE WHEN n.y <> '' THEN try_cast(n.y || '-' || lpad(list_position({_MONTHS_SQL}, n.m)::VARCHAR, 2, '0') || '-01' AS DATE) WHEN i.y = '' AND b.y = '' AND y.y <> '' THEN try_cast(y.y || '-01-01' AS DATE) END AS low,
+                 CASE WHEN n.y <> '' THEN last_day(try_cast(n.y || '-' || lpad(list_position({_MONTHS_SQL}, n.m)::VARCHAR, 2, '0') || '-01' AS DATE)) WHEN i.y = '' AND b.y = '' AND y.y <> '' THEN try_cast(y.y || '-12-31' AS DATE) END AS high FROM p)
+    SELECT DISTINCT item_id, CASE turn WHEN 'antes' THEN coalesce(day, low) - 1 WHEN 'depois' THEN coalesce(day, high) + 1 ELSE day END::VARCHAR AS "on", CASE WHEN turn = '' THEN low END::VARCHAR AS start, CASE WHEN turn = '' THEN high END::VARCHAR AS "end"
+    FROM w WHERE day IS NOT NULL OR low IS NOT NULL
+    """
+)
 def q_temporal_parse(spark: SparkSession, d: str) -> DataFrame:
     """Days and spans that questions name: the fixed test questions and some that compare times, read as on the driver for one."""
-    asked = [(r["item_id"], r["query"] or "") for r in table(spark, d, "eval_items").select("item_id", "query").collect()]
-    asked += list(enumerate(["o que valia em março de 2022", "antes de 2021-04-01 e depois de maio de 2023", "em 05/10/2020", "durante 2019 e em 2024", "lei 14.133, de 1º de abril de 2021"], start=-5))
+    asked = [(r["item_id"], r["query"] or "") for r in table(spark, d, "eval_items").select("item_id", "query").collect()] + TIMES
     rows = [(i, *(str(x) if x else None for x in (w.on, w.start, w.end))) for i, q in asked for w in filters.windows(q)]
     return spark.createDataFrame(rows, "item_id bigint, on string, start string, end string")
 
@@ -1124,7 +1156,7 @@ def q_vector_validate(spark: SparkSession, d: str) -> DataFrame:
     return index.vector_faults(_vectors(spark, d).withColumn("embedding", F.when(how > 4, v).when(how > 0, spoilt)), "embedding", 64, "vec_id")
 
 
-@query()
+@query(f"SELECT source_id, 32 AS n, CASE WHEN len({tokens_sql('text')}) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM excerpts WHERE text IS NOT NULL")
 def q_hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Default vectors of excerpts: hashed bags of tokens."""
     v = V.hashed_bag(X.tokens(F.col("text")), 32)

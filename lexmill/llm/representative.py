@@ -59,19 +59,20 @@ def says_something(c: Column) -> Column:
     return F.coalesce(~low.isin(*sorted(timestamps.FILLERS)) & low.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
-def described(decisions: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """record_id, group_key, mask (bit i: field i is filled), trust, seen (microseconds)."""
+def described(decisions: DataFrame, catalogue: DataFrame, whole: bool = False) -> DataFrame:
+    """record_id, group_key, mask (bit i: field i is filled), trust, seen (microseconds); whole: also _version and, for each of OTHERS, whether it says something."""
+    more = {"_version": content_version(decisions)} | {f"_f_{c}": says_something(F.col(c)) for c in OTHERS} if whole else {}
     trust = catalogue.groupBy(F.col("title").alias("_title")).agg(F.min("authority_level").alias("_level"))
     zone = timestamps.zone_table(decisions.sparkSession)
     key = decision_key(decisions)
-    rows = decisions.select("record_id", "origem", *FIELDS, F.when(key.rlike(r"^[SD]\|.+\|.+"), key).alias("group_key"), F.col("retrieved_at").alias("_at"))
+    rows = decisions.select("record_id", "origem", *FIELDS, F.when(key.rlike(r"^[SD]\|.+\|.+"), key).alias("group_key"), F.col("retrieved_at").alias("_at"), *[c.alias(k) for k, c in more.items()])
     # both dates in one call: one pass through Python
     both = rows.withColumns({f"_p_{c}": timestamps.parsed(F.col(c).cast("string"), zone) for c in DATES})
     filled = lambda c: F.coalesce(F.col(f"_p_{c}.kind").isin("day", "instant", "epoch"), F.lit(False)) if c in DATES else says_something(F.col(c))
     mask = reduce(lambda a, b: a + b, [F.when(filled(c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(FIELDS)])
     seen = F.coalesce(F.unix_micros("_at"), F.lit(-(2**62)))
     return both.join(trust, both["origem"] == trust["_title"], "left").select(
-        "record_id", "group_key", mask.cast("int").alias("mask"), F.coalesce("_level", F.lit(NO_TRUST)).cast("int").alias("trust"), seen.alias("seen")
+        "record_id", "group_key", mask.cast("int").alias("mask"), F.coalesce("_level", F.lit(NO_TRUST)).cast("int").alias("trust"), seen.alias("seen"), *more
     )
 
 
@@ -122,12 +123,10 @@ def survivors(decisions: DataFrame, catalogue: DataFrame) -> DataFrame:
     A row that names no decision is its own group. Values are fetched by a join on the unique record_id, so that no
     group's texts are gathered in one place.
     """
-    rows = described(decisions, catalogue).withColumn("group_key", F.coalesce("group_key", F.concat(F.lit("R|"), F.col("record_id").cast("string"))))
+    rows = described(decisions, catalogue, True).withColumn("group_key", F.coalesce("group_key", F.concat(F.lit("R|"), F.col("record_id").cast("string"))))
     picks = skyline_sources(rows)
-    flags = decisions.select("record_id", content_version(decisions).alias("_version"), *[says_something(F.col(c)).alias(f"_f_{c}") for c in OTHERS])
-    ranked = rows.join(flags, "record_id")
     order = F.struct("trust", (-F.col("seen")).alias("old"), "record_id")
-    versions = ranked.groupBy("group_key", "_version").agg(*[F.min(F.when(F.col(f"_f_{c}"), order)).alias(c) for c in OTHERS])
+    versions = rows.groupBy("group_key", "_version").agg(*[F.min(F.when(F.col(f"_f_{c}"), order)).alias(c) for c in OTHERS])
     rest = versions.groupBy("group_key").agg(F.count("*").alias("n_versions"), *[F.min(c)["record_id"].alias(c) for c in OTHERS])
     every = picks.join(rest, "group_key")
     names = [*FIELDS, *OTHERS]

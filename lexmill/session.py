@@ -20,6 +20,9 @@ def local_session(cpus: int | None = None, app: str = "lexmill") -> SparkSession
         .config("spark.driver.memory", os.environ.get("LEXMILL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
+        # small files of several row groups are read by several tasks; a cluster sizes this by its executors' memory
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")

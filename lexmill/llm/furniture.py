@@ -10,8 +10,9 @@ at a line end). The counts decide, no list of wordings: the only forms set apart
 marks of scans (those of ``scans``) and leftover markup. Template is found wherever it stands, within a line too: between
 capitals of a segment.
 
-The texts are read twice. The first pass gives the elements to be counted. Its result, as two bit tables of fixed size (first
-two words and whole forms of what may be template), tells the second which words of a text are worth a look; what passes is then
+The texts are read twice. The first pass gives the elements to be counted. Its result, as three bit tables of fixed size (first
+two words, these with the number of words, and whole forms of what may be template) and the numbers of words that occur, tells the
+second which words of a text are worth a look, and how many of them, so elements of any length are found; what passes is then
 joined exactly. Only hashes are shuffled. Of template keys, those with a share of all hits, at most 1 / ``HOT_SHARE`` of them
 whatever the size, are broadcast; no other key has more rows than that share, so none is a task of its own.
 
@@ -23,7 +24,7 @@ read as headings unless they have three entries or more; empty tables give an em
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -41,8 +42,8 @@ PAGES, WIDE_PAGES, WIDE_HOSTS = 3, 5, 3
 HOT_SHARE = 1e-4
 #: Bits of a hash that stand for the first words; and size of the bit tables.
 FIRST_BITS = 22
-#: Words that an element within a line has at most, and at least.
-LONGEST, SHORTEST = 20, 2
+#: Words that an element within a line has at least.
+SHORTEST = 2
 
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 #: Borders of elements: line ends, separators, wide spaces, path signs between names, sentence ends.
@@ -163,23 +164,32 @@ def own_elements(text: str) -> Iterator[tuple[int, int, int, bool]]:
             yield _key(_form(text[s.start : s.end])), s.start, s.end, s.broken
 
 
+def _pair(first, words):
+    """The bits of first words with a number of words; of numbers or columns."""
+    return (first + words * 40503) % (1 << FIRST_BITS)
+
+
 class Tables:
-    """Two bit tables: first two words of what may be template, and whole forms."""
-
-    def __init__(self, firsts: list[int], keys: list[int]) -> None:
-        self.firsts, self.keys = bytearray(1 << FIRST_BITS), bytearray(1 << FIRST_BITS)
-        for x in firsts:
-            self.firsts[x] = 1
-        for x in keys:
-            self.keys[x] = 1
+    """Three bit tables: first two words of what may be template, whole forms, and first words with the number of words; and the
+    numbers of words that occur. Without the last two, elements may have any number of words."""
+
+    def __init__(self, firsts: list[int], keys: list[int], pairs: list[int] | None = None, lengths: list[int] | None = None) -> None:
+        self.firsts, self.keys, self.pairs = bytearray(1 << FIRST_BITS), bytearray(1 << FIRST_BITS), bytearray(1 << FIRST_BITS)
+        for bits, table in ((firsts, self.firsts), (keys, self.keys), (pairs or [], self.pairs)):
+            for x in bits:
+                table[x] = 1
+        self.lengths = None if lengths is None else sorted(n for n in lengths if n > 1)
         self.begins = lru_cache(200_000)(self._begins)
 
-    def _begins(self, words: str) -> int:
-        """2: an element of two words or more may begin so; 1: the first word alone may be one; 0: none."""
+    def _begins(self, words: str) -> Sequence[int]:
+        """How many words an element that begins so may have, in order; 1: the first word alone may be one."""
         form = _form(words)
-        if " " in form and self.firsts[_first(form)]:
-            return 2
-        return int(self.firsts[_first(form.partition(" ")[0])])
+        one = (1,) if self.firsts[_first(form.partition(" ")[0])] else ()
+        if " " not in form or not self.firsts[first := _first(form)]:
+            return one
+        if self.lengths is None:
+            return range(1, 1 << 31)
+        return (*one, *(n for n in self.lengths if self.pairs[_pair(first, n)]))
 
     def holds(self, key: int) -> bool:
         """May be template."""
@@ -195,15 +205,15 @@ def elements(text: str, tables: Tables) -> list[Element]:
         for s in reversed(line):
             if not s.sentence:
                 notice = not s.broken
-            heads = []
+            heads = {}
             for m in _HEADS.finditer(text, s.start, s.end):
                 # one word alone counts only at the beginning
                 if got := begins(m[1] + (m[2] or "")):
-                    if got == 2:
-                        heads.append(m.start())
+                    if got[-1] > 1:
+                        heads[m.start()] = got
                     elif m.start() == s.start:
                         if m.end(1) == s.end:
-                            heads.append(s.start)
+                            heads[s.start] = got
                         elif s.sentence and holds(key := _key(_form(m[1]))):
                             out.append(Element(key, "start", s.start, m.end(1)))
             if heads:
@@ -212,24 +222,33 @@ def elements(text: str, tables: Tables) -> list[Element]:
     return out
 
 
-def _within(text: str, s: _Segment, heads: list[int], notice: bool, holds: Callable[[int], bool]) -> Iterator[Element]:
-    """What may be template within a segment: from a capital to where another follows, or to the end."""
-    words = [m.span() for m in _WORDS.finditer(text, s.start, s.end)]
-    n, high = len(words), [text[a].isupper() or text[a] in "[©" for a, _ in words]
-    forms = _form(text[s.start : s.end]).split(" ")
+def _within(text: str, s: _Segment, heads: dict[int, Sequence[int]], notice: bool, holds: Callable[[int], bool]) -> Iterator[Element]:
+    """What may be template within a segment: from a capital to where another follows, or to the end; heads: where, and of how many words."""
+    words = []
+    last, most = max(heads), max(got[-1] for got in heads.values())
+    left = most + 1
+    for m in _WORDS.finditer(text, min(heads), s.end):
+        words.append(m.span())
+        if m.start() >= last and not (left := left - 1):
+            break
+    # as many words as the longest may have, and one, follow the last head, so only the segment's last word is the last here
+    n = len(words)
     for i, (x, _) in enumerate(words):
-        if x not in heads:
+        if (got := heads.get(x)) is None or x > s.start and text[x - 1] not in " \t\n":
             continue
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
+        for length in got:
+            if (j := i + length) > n:
+                break
+            high = j < n and (text[c := words[j][0]].isupper() or text[c] in "[©")
             # the first words of a sentence count against what they are
-            start = not i and n > 1 and s.sentence and (j == 1 or j <= 3 and j < n and not high[j])
-            if not start and (j < n and not high[j] or j - i < SHORTEST and (i or j < n)):
+            start = x == s.start and s.sentence and (j == 1 or j < n and not high)
+            if not start and (j < n and not high or length < SHORTEST and (x > s.start or j < n)):
                 continue
             y = words[j - 1][1]
-            if holds(key := _key(" ".join(forms[i:j]))):
+            if holds(key := _key(_form(text[x:y]))):
                 if start:
                     kind = "start"
-                elif not i and j == n:
+                elif x == s.start and j == n:
                     kind = "broken" if s.broken else "running" if s.sentence and not notice else "own"
                 else:
                     kind = "running" if s.sentence else "inline"
@@ -267,7 +286,7 @@ def _place(host: Column, element: Column) -> Column:
 
 
 def candidates(src: DataFrame, fields: list[str]) -> DataFrame:
-    """place, element, pages: elements that recur on pages of a host, and (place of no host) over hosts; written out."""
+    """place, element, words, pages: elements that recur on pages of a host, and (place of no host) over hosts; written out."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -275,29 +294,28 @@ def candidates(src: DataFrame, fields: list[str]) -> DataFrame:
             for name in fields:
                 for h, p, t in zip(pdf["host"], pdf["page"], pdf[name], strict=True):
                     if t:
-                        rows += [(h, p, e, broken) for e, broken in {(k, broken) for k, _, _, broken in own_elements(t)}]
-            yield pd.DataFrame(rows, columns=["host", "page", "element", "broken"])
+                        rows += [(h, p, *e) for e in {(k, t.count(" ", a, b) + 1, broken) for k, a, b, broken in own_elements(t)}]
+            yield pd.DataFrame(rows, columns=["host", "page", "element", "words", "broken"])
 
     # one row for each page first, so that a hot element is spread by page; then counts, partly summed where the rows lie
-    once = src.mapInPandas(scan, "host string, page long, element long, broken boolean").distinct()
+    once = src.mapInPandas(scan, "host string, page long, element long, words int, broken boolean").distinct()
     pages = [F.count(F.when(~F.col("broken"), 1)).alias("pages"), F.count(F.when(F.col("broken"), 1)).alias("breaks")]
-    per_host = cut(once.groupBy("host", "element").agg(*pages))
+    per_host = cut(once.groupBy("host", "element", "words").agg(*pages))
     kept = F.col("pages") > F.col("breaks")
-    own = per_host.where(F.col("host").isNotNull() & (F.col("pages") >= PAGES) & kept).select(_place(F.col("host"), F.col("element")).alias("place"), "element", "pages")
+    own = per_host.where(F.col("host").isNotNull() & (F.col("pages") >= PAGES) & kept).select(_place(F.col("host"), F.col("element")).alias("place"), "element", "words", "pages")
     hosts = F.count(F.when(F.col("pages") > 0, F.col("host"))).alias("hosts")
-    wide = per_host.groupBy("element").agg(F.sum("pages").alias("pages"), F.sum("breaks").alias("breaks"), hosts).where((F.col("pages") >= WIDE_PAGES) & (F.col("hosts") >= WIDE_HOSTS) & kept)
-    return cut(own.unionByName(wide.select(_place(F.lit(None), F.col("element")).alias("place"), "element", "pages")))
+    wide = per_host.groupBy("element", "words").agg(F.sum("pages").alias("pages"), F.sum("breaks").alias("breaks"), hosts).where((F.col("pages") >= WIDE_PAGES) & (F.col("hosts") >= WIDE_HOSTS) & kept)
+    return cut(own.unionByName(wide.select(_place(F.lit(None), F.col("element")).alias("place"), "element", "words", "pages")))
 
 
-def _tables(found: DataFrame) -> tuple[list[int], list[int]]:
-    """Set bits of the two tables: at most 2 ** FIRST_BITS numbers each."""
+def _tables(found: DataFrame) -> tuple[list[int], ...]:
+    """Set bits of the three tables, at most 2 ** FIRST_BITS numbers each; and the numbers of words that occur."""
     low = F.col("element").bitwiseAND(F.lit((1 << FIRST_BITS) - 1))
     high = F.shiftright("element", 64 - FIRST_BITS) + F.lit(1 << (FIRST_BITS - 1))
-    bits = [[r[0] for r in found.select(b.cast("int")).distinct().collect()] for b in (high, low)]
-    return bits[0], bits[1]
+    return tuple([r[0] for r in found.select(b.cast("int")).distinct().collect()] for b in (high, low, _pair(high, F.col("words").cast("long")), F.col("words")))
 
 
-def page_elements(src: DataFrame, fields: list[str], bits: tuple[list[int], list[int]], texts: bool) -> DataFrame:
+def page_elements(src: DataFrame, fields: list[str], bits: tuple[list[int], ...], texts: bool) -> DataFrame:
     """_key, field_name, host, text (null unless asked for), found (element, kind): each value with anything that may be template; written out, as it is used twice."""
     held, call = src.sparkSession.sparkContext.broadcast(bits), worker.token()
 
@@ -318,7 +336,7 @@ def page_elements(src: DataFrame, fields: list[str], bits: tuple[list[int], list
     return cut(src.mapInPandas(scan, f"_key {kind}, field_name string, host string, text string, found array<struct<element: long, kind: string>>"))
 
 
-def _template_hits(df: DataFrame, key: str, fields: list[str], url: str, texts: bool) -> tuple[DataFrame, DataFrame, tuple[list[int], list[int]]]:
+def _template_hits(df: DataFrame, key: str, fields: list[str], url: str, texts: bool) -> tuple[DataFrame, DataFrame, tuple[list[int], ...]]:
     """The values as page_elements gives them; _key, field_name, element of what is template; the bits."""
     src = _sources(df, key, fields, url)
     may = candidates(src, fields)

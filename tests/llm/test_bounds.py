@@ -1,6 +1,7 @@
 """What lies beyond lengths and rounds that once were bounds."""
 
 from lexmill.llm import encoding as E
+from lexmill.llm import furniture as U
 from lexmill.llm import markup as M
 from lexmill.llm import scans as S
 from lexmill.llm import splitter
@@ -76,3 +77,23 @@ def test_pieces_of_a_long_text(spark):
     assert "".join(r["piece_text"][r["overlap"] :] for r in got) == text and all(len(r["piece_text"]) <= 300 for r in got)
     assert all(r["piece_text"] == text[r["start_char"] : r["start_char"] + len(r["piece_text"])] for r in got)
     assert all(r["overlap"] == 90 for r in got[1:])
+
+
+def test_furniture_of_many_words(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i)).capitalize()
+    piece = lambda a, n: f"Mural {name(a)} " + " ".join(f"palavra{name(i).lower()}" for i in range(n - 2))
+    pieces = [piece(100 + n, n) for n in (20, 21, 64, 700)]
+    body = "O pedido de {0} foi negado ontem mesmo pela turma.\n"
+    rows = [(i, f"https://a.gov.example/{i}", body.format(i) + "\n".join(pieces) + f"\nO resto {name(i)} segue aqui embaixo.") for i in range(3)]
+    rows += [(9, "https://a.gov.example/9", body.format(9) + " ".join(pieces) + " RELATÓRIO")]  # all within one line
+    df = spark.createDataFrame(rows, "record_id long, url string, ementa string")
+    got = {r["record_id"]: r for r in U.main_text(df, "record_id", ["ementa"], "url").collect()}
+    assert sorted(got) == [0, 1, 2, 9] and all(r["n_elements"] == len(pieces) for r in got.values())
+    assert all("palavra" not in r["main_text"] and "O pedido" in r["main_text"] for r in got.values())
+
+
+def test_furniture_words_that_begin_sentences():
+    text = "Mural de recados da casa segue aberto, por ora, ao leitor."
+    key = next(U.own_elements("Mural de recados da casa"))[0]
+    tables = U.Tables([(key + 2**63) >> (64 - U.FIRST_BITS)], [key & ((1 << U.FIRST_BITS) - 1)])
+    assert [e.kind for e in U.elements(text, tables)] == ["start"]

@@ -25,6 +25,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count
 from typing import NamedTuple
 
 import pandas as pd
@@ -42,13 +43,15 @@ BLOCK_WORDS = 200_000
 #: Words, or share of its part's words, from which a run of shared words is cut out.
 CUT_WORDS, CUT_SHARE = 8, 0.25
 
-_TOKEN = re.compile(r"[a-z0-9]+")
+#: ASCII letters without case and figures as they are, all else a space.
+_LETTERS = bytes(c if chr(c).isalnum() else 32 for c in bytes(range(128)).lower()).ljust(256)
 _RAW = re.compile(r"[^\W_]+")
+_SIGNS = re.compile(r"[^\w\x00-\x7f]+")
 
 
 def words(text: str) -> list[str]:
     """Words without case, accents, punctuation and spacing."""
-    return _TOKEN.findall(unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii").lower())
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").translate(_LETTERS).decode("ascii").split()
 
 
 @lru_cache(200_000)
@@ -56,6 +59,16 @@ def _words_of(token: str) -> tuple[str, ...]:
     return tuple(words(token))
 
 
+def raw_words(text: str) -> list[str]:
+    """The words of words_at alone: signs outside ASCII are borders."""
+    return words(_SIGNS.sub(" ", text))
+
+
+def _runs(tokens: list, n: int) -> Iterator[tuple]:
+    """The runs of n words."""
+    return zip(*(tokens[k:] for k in range(n)), strict=False)
+
+
 def words_at(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Words and where they stand in the text."""
     out, at = [], []
@@ -89,9 +102,18 @@ class SuffixAutomaton:
             if self.len[self.link[v]] >= SEED:
                 ends[self.link[v]] |= ends[v]
         self.texts = [tuple(sorted(e)) for e in ends]
+        numbers = [[self.ids[w] for w in text] for text in texts]
+        self.seeds = {g: self._after(g) for text in numbers for g in _runs(text, SEED)}
         self.ends: dict[tuple[int, int], tuple[tuple[int, int], ...]] = {}
         self.kept = 0
 
+    def _after(self, run: tuple[int, ...]) -> int:
+        """The state after a run of words of the texts."""
+        v = 0
+        for w in run:
+            v = self.next[v][w]
+        return v
+
     def _state(self, length: int, ends: list[set[int]]) -> int:
         self.next.append({})
         self.link.append(0)
@@ -175,24 +197,37 @@ class SuffixAutomaton:
         return got
 
     def own_matches(self, tokens: list[str]) -> dict[int, int]:
-        """For each text, the words of its own matches: each is counted where this text's match ends, whatever goes on in others."""
-        get, nxt, link, length = self.ids.get, self.next, self.link, self.len
+        """For each text, the words of its own matches: each is counted where this text's match ends, whatever goes on in others.
+
+        A match of SEED words or more is where runs of SEED words of the texts follow on one another: the first of them gives the state,
+        and only where they follow is it walked on.
+        """
+        nxt, link, length, seeds = self.next, self.link, self.len, self.seeds
+        numbers = [*map(self.ids.get, tokens)]
         got: dict[int, int] = {}
         v = n = 0
-        for t in [*tokens, None]:
-            w, was, had = get(t), v, n
-            if w is None:
-                v = n = 0
-            elif (to := nxt[v].get(w)) is not None:
-                v, n = to, n + 1
+        after = -1
+        for j in compress(count(), map(seeds.__contains__, _runs(numbers, SEED))):
+            was, had = v, n
+            if j != after:
+                v, n = seeds[tuple(numbers[j : j + SEED])], SEED
+                ended = self._ended(was, 0, 0) if was else ()
             else:
-                while to is None and v:
-                    v = link[v]
-                    to = nxt[v].get(w)
-                v, n = (0, 0) if to is None else (to, length[v] + 1)
-            if had >= SEED:
-                for x, k in self._ended(was, v, 0 if n == had + 1 else n):
-                    got[x] = got.get(x, 0) + (k or had)
+                w = numbers[j + SEED - 1]
+                if (to := nxt[v].get(w)) is not None:
+                    v, n = to, n + 1
+                else:
+                    while to is None:  # an end of SEED - 1 words goes on
+                        v = link[v]
+                        to = nxt[v].get(w)
+                    v, n = to, length[v] + 1
+                ended = self._ended(was, v, 0 if n == had + 1 else n)
+            for x, k in ended:
+                got[x] = got.get(x, 0) + (k or had)
+            after = j + 1
+        if v:
+            for x, k in self._ended(v, 0, 0):
+                got[x] = got.get(x, 0) + (k or n)
         return got
 
 
@@ -215,7 +250,7 @@ class Index:
 def runs_at(doc: list[str]) -> dict[tuple[str, ...], list[int]]:
     """Where the runs of RUN words of a document stand."""
     out: dict[tuple[str, ...], list[int]] = {}
-    for j, g in enumerate(zip(*(doc[k:] for k in range(RUN)), strict=False)):
+    for j, g in enumerate(_runs(doc, RUN)):
         out.setdefault(g, []).append(j)
     return out
 
@@ -228,7 +263,7 @@ def chain(part: list[str], places: dict[tuple[str, ...], list[int]]) -> list[tup
     """
     masks: dict[tuple[str, ...], int] = {}
     m = 0
-    for m, g in enumerate(zip(*(part[k:] for k in range(RUN)), strict=False), 1):
+    for m, g in enumerate(_runs(part, RUN), 1):
         if g in places:
             masks[g] = masks.get(g, 0) | 1 << (m - 1)
     rows = sorted((j, bits) for g, bits in masks.items() for j in places[g])
@@ -311,26 +346,26 @@ def leaks(index: Index, text: str) -> list[Leak]:
     items = index.candidates(words(text))
     if not items:
         return []
-    doc, at = words_at(text)
-    have = set(doc)
+    doc = raw_words(text)
+    have = set(doc).__contains__
     # no more of a part can be found in order than stands in the document at all
-    most = lambda p: sum(w in have for w in p.words) / max(len(p.words), 1)
-    items = {i for i in items if most((part := index.by_item[i])["passage"]) >= PASSAGE_SHARE or most(part["query"]) >= WHOLE_SHARE and most(part["answer"]) >= WHOLE_SHARE}
-    if not items:
+    may = lambda p, share: sum(map(have, p.words)) / max(len(p.words), 1) >= share
+    passages = {i for i in items if may(index.by_item[i]["passage"], PASSAGE_SHARE)}
+    wholes = {i for i in items if may((part := index.by_item[i])["query"], WHOLE_SHARE) and may(part["answer"], WHOLE_SHARE)}
+    if not passages and not wholes:
         return []
     places = runs_at(doc)
-    out = []
-    for i in sorted(items):
+    got: list[tuple[int, Part, Aligned]] = []
+    for i in sorted(passages | wholes):
         part = index.by_item[i]
-        found = align(part["passage"].words, doc, places)
-        if found.share >= PASSAGE_SHARE:
-            out.append(_leak(i, part["passage"], found, at))
-        query = align(part["query"].words, doc, places)
-        if query.share >= WHOLE_SHARE:
+        if i in passages and (found := align(part["passage"].words, doc, places)).share >= PASSAGE_SHARE:
+            got.append((i, part["passage"], found))
+        if i in wholes and (query := align(part["query"].words, doc, places)).share >= WHOLE_SHARE:
             answer = align(part["answer"].words, doc, places)
             if answer.share >= WHOLE_SHARE:
-                out += [_leak(i, part["query"], query, at), _leak(i, part["answer"], answer, at)]
-    return out
+                got += [(i, part["query"], query), (i, part["answer"], answer)]
+    at = words_at(text)[1] if got else []  # few documents leak
+    return [_leak(i, part, found, at) for i, part, found in got]
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> str:

@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 
 from lexmill.llm import contamination as C
 
@@ -32,3 +34,23 @@ def test_own_matches_against_brute_force():
             if total := sum(a for a, b in zip(own, own[1:], strict=False) if a >= C.SEED and b != a + 1):
                 want[n] = total
         assert C.SuffixAutomaton(texts).own_matches(doc) == want
+
+
+def test_words_alone_are_those_with_places():
+    r = random.Random(11)
+    odd = "aB9_ é§º½™–“…\xa0\xad\u0301\u200bßﬁ①Ω中\ud800|.\n"
+    for _ in range(3_000):
+        t = "".join(r.choice(odd) for _ in range(r.randint(0, 30)))
+        assert C.raw_words(t) == C.words_at(t)[0]
+        assert C.words(t) == re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
+
+
+def test_nothing_is_placed_or_aligned_that_cannot_leak(monkeypatch):
+    x, q = _words(40, 1), _words(12, 2)
+    ix = C.Index([(1, " ".join(x), " ".join(q), " ".join(_words(12, 3)))])
+    aligned = []
+    align = C.align
+    monkeypatch.setattr(C, "align", lambda part, *rest: aligned.append(part) or align(part, *rest))
+    assert [k.part for k in C.leaks(ix, " ".join(x + q))] == ["passage"] and aligned == [x]  # the answer isn't there, so the query alone is none
+    monkeypatch.setattr(C, "words_at", None)
+    assert C.leaks(ix, " ".join(q + _words(30, 4))) == [] and C.leaks(ix, " ".join(w for k in range(0, 40, 4) for w in x[36 - k : 40 - k])) == []

@@ -59,6 +59,7 @@ _NOT_ASCII_LETTER = re.compile(r"[^A-Za-z]+")
 _MARKUP = re.compile(r"<[a-zA-Z/!]|[`\\]|\]\(|\[\[|\{\{|\*\*|__|''")
 _MENU = re.compile(r"[|»›·•]")
 _WORDS = re.compile(r"[^ \t\n]+")
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 #: Words that elements within a segment may begin with.
 _HEADS = re.compile(rf"([^\s{_LOW}0-9(,.;:-](?<![^\s|][\s\S])[^ \t\n|]*)(?=( [^ \t\n|]+)?)")
 
@@ -82,11 +83,35 @@ def _first(words: str) -> int:
     return xxhash.xxh64_intdigest(words.encode()) >> (64 - FIRST_BITS)
 
 
+@lru_cache(200_000)
+def _word(form: str) -> int:
+    return xxhash.xxh64_intdigest(form.encode()) % _PRIME
+
+
+@lru_cache(10_000)
+def _power(n: int) -> int:
+    return pow(_BASE, n, _PRIME)
+
+
+def _sums(forms: list[str]) -> list[int]:
+    """Polynomials of the words up to each, so that the hash of any stretch is one step."""
+    out, x = [0], 0
+    for w in forms:
+        x = (x * _BASE + _word(w)) % _PRIME
+        out.append(x)
+    return out
+
+
+def _stretch(forms: list[str], sums: list[int], i: int, j: int) -> int:
+    """Hash of the form of words i to j: the high bits are those of its first two."""
+    rest = (sums[j] - sums[i] * _power(j - i)) % _PRIME & ((1 << (64 - FIRST_BITS)) - 1)
+    return (_first(forms[i] if j == i + 1 else f"{forms[i]} {forms[i + 1]}") << (64 - FIRST_BITS) | rest) - 2**63
+
+
 def _key(form: str) -> int:
-    """Hash of a form: the high bits are those of its first words."""
-    rest = xxhash.xxh64_intdigest(form.encode()) & ((1 << (64 - FIRST_BITS)) - 1)
-    two = form.find(" ", form.find(" ") + 1) if " " in form else -1
-    return (_first(form if two < 0 else form[:two]) << (64 - FIRST_BITS) | rest) - 2**63
+    """Hash of a form."""
+    forms = form.split(" ")
+    return _stretch(forms, _sums(forms), 0, len(forms))
 
 
 class _Segment(NamedTuple):
@@ -233,6 +258,8 @@ def _within(text: str, s: _Segment, heads: dict[int, Sequence[int]], notice: boo
             break
     # as many words as the longest may have, and one, follow the last head, so only the segment's last word is the last here
     n = len(words)
+    forms = _form(text[words[0][0] : words[-1][1]]).split(" ")
+    sums = _sums(forms)
     for i, (x, _) in enumerate(words):
         if (got := heads.get(x)) is None or x > s.start and text[x - 1] not in " \t\n":
             continue
@@ -245,7 +272,7 @@ def _within(text: str, s: _Segment, heads: dict[int, Sequence[int]], notice: boo
             if not start and (j < n and not high or length < SHORTEST and (x > s.start or j < n)):
                 continue
             y = words[j - 1][1]
-            if holds(key := _key(_form(text[x:y]))):
+            if holds(key := _stretch(forms, sums, i, j)):
                 if start:
                     kind = "start"
                 elif x == s.start and j == n:

@@ -97,3 +97,16 @@ def test_furniture_words_that_begin_sentences():
     key = next(U.own_elements("Mural de recados da casa"))[0]
     tables = U.Tables([(key + 2**63) >> (64 - U.FIRST_BITS)], [key & ((1 << U.FIRST_BITS) - 1)])
     assert [e.kind for e in U.elements(text, tables)] == ["start"]
+
+
+def test_furniture_stretches_of_a_long_line():
+    forms = U._form("Sobe tudo, 12 vezes em a.gov.example, já " * 30 + "fim").split(" ")
+    sums = U._sums(forms)
+    assert all(U._stretch(forms, sums, i, j) == U._key(" ".join(forms[i:j])) for i in range(0, 200, 7) for j in range(i + 1, 200, 5))
+    # templates of thousands of words that begin like every other word of a long line
+    pieces = ["Sobe tudo", "Sobe tudo " + "x " * 4_997 + "y", "Sobe tudo " + "x " * 20_997 + "y"]
+    keys, lengths = [next(U.own_elements(p))[0] for p in pieces], [p.count(" ") + 1 for p in pieces]
+    firsts = [(k + 2**63) >> (64 - U.FIRST_BITS) for k in keys]
+    tables = U.Tables(firsts, [k & ((1 << U.FIRST_BITS) - 1) for k in keys], [U._pair(f, n) for f, n in zip(firsts, lengths, strict=True)], lengths)
+    assert [e.key for e in U.elements("Sobe tudo " * 20_000 + "x", tables)] == [keys[0]] * 19_999
+    assert {e.key for e in U.elements(" ".join(pieces), tables)} == set(keys)
